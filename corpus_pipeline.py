@@ -49,10 +49,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     scratch = Scratch(spark, "mixed")
-    times = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = scratch.save(times.select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
-    joined = docs.select(*COLUMNS).join(small(times), "doc_id")
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    own = F.coalesce(F.col("doc_id"), F.xxhash64("text", "source", "lang", "n_chars"))  # rows without an id go by their content
+    docs = docs.select(*COLUMNS, own.alias("_id"))
+    times = mix_sources(docs, key="_id").where("taken > 0").groupBy("_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = scratch.save(times.select("_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
+    return docs.join(small(times), "_id").withColumn("_again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

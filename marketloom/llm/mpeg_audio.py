@@ -228,7 +228,7 @@ def store(payload: bytes) -> bytes:
     body = np.zeros((full, size), np.uint8)
     first = _start(320, MOST)
     body[:, : len(first)] = np.frombuffer(first, np.uint8)
-    body[:, len(first) : len(first) + MOST * UNIT] = np.frombuffer(payload, np.uint8, full * MOST * UNIT).reshape(full, -1)
+    body[:, len(first) : len(first) + MOST * UNIT] = np.frombuffer(payload, np.uint8, full * MOST * UNIT).reshape(full, MOST * UNIT)
     tail = b""
     if rest:
         start = _start(_RATE_OF[rest], rest)
