@@ -249,7 +249,12 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, extra) -> DataF
     """Pairs (a, b, shared) of postings that meet in enough shingles at levels within both prefixes and could link by size."""
     ell = F.least("ell", "r_ell")
     met = left.join(right, "tok").where(extra & (F.col("lvl") <= ell) & (F.col("r_lvl") <= ell) & (100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n")))
-    return met.groupBy(F.col("doc").alias("a"), F.col("r_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(ell).alias("need")).where("shared >= need")
+    # What is common but not in both prefixes lies in the tail of the one whose prefix ends first,
+    # so the overlap is at most shared + max(alpha) - l; both sizes say how much a link needs.
+    alpha = lambda c: F.ceil(F.col(c) * percent / 100.0 - 1e-9)
+    overlap = F.ceil((F.col("n") + F.col("r_n")) * percent / (100.0 + percent) - 1e-9)
+    need = F.greatest(ell, overlap - F.greatest(alpha("n"), alpha("r_n")) + ell)
+    return met.groupBy(F.col("doc").alias("a"), F.col("r_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need")).where("shared >= need")
 
 
 def jaccard_join(
