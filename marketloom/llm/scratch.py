@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's setting to delete the shuffle files of a query at its end; what is written needs them no more.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go at the end of the query, which needs them no
+#: more, and Arrow batches are small, since rows hold whole texts or sets.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 #: Most rows of ids that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -33,12 +34,15 @@ class Scratch:
         """``df`` written as Parquet and read again, with its schema."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
