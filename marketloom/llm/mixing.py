@@ -99,8 +99,9 @@ def mix_sources(
         inside = inside.withColumn("sum", F.sum("size").over(W.orderBy("f", "srank", "h", "key", "size").rowsBetween(W.unboundedPreceding, 0)))
         last = inside.where(F.col("sum") <= room).agg(F.max(order).alias("o")).first()["o"]
         if last:
-            at = F.struct(F.lit(last["f"]), F.lit(last["srank"]), F.lit(last["h"]), F.lit(last["key"]).cast(queued.schema["key"].dataType), F.lit(last["size"]))
-            fits = lambda f: F.struct(f, F.col("srank"), F.col("h"), F.col("key"), F.col("size")) <= at
+            columns = ("srank", "h", "key", "size")
+            at = F.struct(F.lit(last["f"]).alias("f"), *[F.lit(last[c]).cast(queued.schema[c].dataType).alias(c) for c in columns])
+            fits = lambda f: F.struct(f.alias("f"), *[F.col(c) for c in columns]) <= at
         else:
             fits = lambda f: slot(f) < cut[0]["slot"]
     else:
