@@ -155,13 +155,14 @@ def pack(
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema[key].dataType.simpleString()
     made = docs.select(F.col(key), F.col(text)).mapInArrow(_pieces(capacity, vocabulary, end_id, key), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
-    pieces = scratch.save(made, "pieces").withColumn("h", F.xxhash64(key, "piece", "ids_crc32")).withColumn("bucket", F.expr(f"cast(pmod(h, {BUCKETS}) as int)"))
+    pieces = scratch.save(made, "pieces").withColumn("h", F.xxhash64(key, "piece", "ids_crc32")).withColumn("bucket", F.expr(f"length * {BUCKETS} + pmod(h, {BUCKETS})"))
     sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
-    before = sums.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = W.partitionBy("length", "bucket").orderBy("h", key, "piece", "start")
-    ranked = pieces.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
+    before = sums.select("bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    # one key for length and bucket, or Spark would keep all pieces of a length together
+    own = W.partitionBy("bucket").orderBy("h", key, "piece", "start")
+    ranked = pieces.join(before, "bucket").withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
 
     def place(batches):
         for batch in batches:
