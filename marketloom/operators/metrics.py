@@ -23,7 +23,7 @@ def risk(rets: DataFrame, by: str = "symbol", rate: float = 0.03, least: int = 5
     """Sharpe and Sortino (0 with under ``least`` non-zero returns), volatility, returns and drawdown of each group."""
     x = F.col("ret") - daily_rate(rate)
     guard: Column = F.sum((F.col("ret") != 0).cast("int")) >= least
-    down = F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2.0))))
+    down = F.sqrt(F.avg(F.when(x.isNotNull(), F.pow(F.least(x, F.lit(0.0)), F.lit(2.0)))))
     n = F.count("ret")
     total = F.max_by("equity", "date") / F.min_by("equity", "date") - 1
     return rets.groupBy(by).agg(

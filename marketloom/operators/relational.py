@@ -62,7 +62,7 @@ def next_trading_day(events: DataFrame, calendar: DataFrame, day: str = "day") -
     row a calendar day), so that the join is an equi-join.
     """
     prev = F.coalesce(F.date_add(F.lag("date").over(W.orderBy("date")), 1), F.date_sub("date", 31))
-    days = calendar.select("date", F.explode(F.sequence(prev, "date")).alias("_day"))
+    days = calendar.select("date", prev.alias("_prev")).select("date", F.explode(F.sequence("_prev", "date")).alias("_day"))
     return events.join(days, events[day] == days["_day"], "left").drop("_day").withColumnRenamed("date", "session")
 
 
