@@ -104,7 +104,7 @@ def test_partitioned_source(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
     ev.coalesce(1).write.parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
     q = tick_bars(s, "1 hour").writeStream.outputMode("complete").format("memory").queryName("bars_out").start()
