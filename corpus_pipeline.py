@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the verdicts are made row by row, texts are not shuffled."""
-    return quality_rules(docs, keep=COLUMNS).where("kept").select(*[F.col(c) for c in COLUMNS])
+    return quality_rules(docs, keep=COLUMNS[1:]).where("kept").select(*[F.col(c) for c in COLUMNS])
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
