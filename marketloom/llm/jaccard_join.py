@@ -9,7 +9,9 @@ cheapest (candidates are at most the postings over l), and a pair must share min
 at levels within both prefixes before it is verified against the whole sets.
 
 Groups of copies never become all pairs. Equal sets collapse to one. Then, in rounds, every
-text is compared with a leader of the lists it stands in; what links becomes one component,
+text is compared with a leader of the lists it stands in, one whose shingles are the most
+frequent (of a group of near-copies the text that has most in common with the others, as it
+was changed least); what links becomes one component. Rounds end when they join little more,
 and only texts of lists that still hold more than one component are compared with each other
 across components. The result is exact: a pair is skipped only if both are known to be in
 one component.
@@ -27,7 +29,7 @@ from .scratch import Scratch, small
 from .textkit import U, chunks, mix, shingles, words
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
-_POST = "tok long, doc long, n int, ell int, lvl int"
+_POST = "tok long, doc long, n int, ell int, lvl int, hub int"
 
 
 def _signature(u: np.ndarray) -> tuple[int, int]:
@@ -119,7 +121,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
 
         def packed():
             tok, doc, lvl = np.concatenate(toks), np.concatenate(dix), np.concatenate(lvls)
-            info = np.array(table, dtype=[("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64)])
+            info = np.array(table, dtype=[("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32)])
             salt = np.zeros(len(tok), U)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
@@ -151,13 +153,14 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 if len(seen) > 500_000:
                     seen.clear()
                 alpha = _alpha(n, percent)
-                ell = 1
+                ell, hub = 1, 0
                 if len(known):
                     at = np.minimum(np.searchsorted(known, u), len(known) - 1)
                     there = known[at] == u
                     if there.any():
                         order = np.argsort(np.where(there, classes[at], 0), kind="stable")
                         u = u[order]
+                        hub = int(64 * classes[at[there]].sum() // n)
                         ell = choose_level(np.where(there, counts[at], 1)[order], n, percent)
                 k = n - alpha + ell
                 level = np.ones(k, np.uint8)
@@ -165,7 +168,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 toks.append(u[:k])
                 dix.append(np.full(k, len(table), np.uint32))
                 lvls.append(level)
-                table.append((ids[i], n, ell, s1, s2))
+                table.append((ids[i], n, ell, s1, s2, hub))
                 held += k
                 if held >= 1_000_000:
                     yield packed()
@@ -176,7 +179,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
     return run
 
 
-_INFO = [("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64)]
+_INFO = [("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32)]
 
 
 def _lists(rows: pa.Table) -> pa.Table:
@@ -204,8 +207,8 @@ def _lists(rows: pa.Table) -> pa.Table:
     more[:-1] |= same
     more |= hot > 0  # other salts of the shingle stand elsewhere
     tok, dix, lvl = tok[more], dix[more], lvl[more]
-    arrays = [tok.view(np.int64), info["id"][dix], info["n"][dix], info["ell"][dix], lvl.astype(np.int32)]
-    return pa.table([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["tok", "doc", "n", "ell", "lvl"])
+    arrays = [tok.view(np.int64), info["id"][dix], info["n"][dix], info["ell"][dix], lvl.astype(np.int32), info["hub"][dix]]
+    return pa.table([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["tok", "doc", "n", "ell", "lvl", "hub"])
 
 
 def _blobs(size: int):
@@ -267,7 +270,7 @@ def jaccard_join(
     part_rows: int = 1_000_000,
     frequent_rows: int = 1 << 18,
     split: int = 1 << 17,
-    pairs_at_once: int = 2_000_000,
+    pairs_a_posting: float = 2.0,
     rounds: int = 3,
 ) -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``.
@@ -281,7 +284,9 @@ def jaccard_join(
 
     Bounds: ``frequent_rows`` counts of frequent shingles reach the driver and are broadcast
     (they only order prefixes, whatever is missing costs time, not links); a part holds about
-    ``part_rows`` postings; lists of over ``split`` texts are dealt over several parts.
+    ``part_rows`` postings; lists of over ``split`` texts are dealt over
+    several parts. At most ``rounds`` rounds look for leaders; they end when the pairs left over
+    are at most ``pairs_a_posting`` times the postings or a round leaves over four fifths of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -303,28 +308,31 @@ def jaccard_join(
     )
 
     found: list[DataFrame] = []
-    lists, comp = post.withColumn("comp", F.col("doc")), None
+    lists, comp, last = post.withColumn("comp", F.col("doc")), None, None
+    postings = post.count()
     for r in range(rounds + 1):
         if r:
             links = found[0]
             for more in found[1:]:
                 links = links.union(more)
             comp = components(links, scratch)
-            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", F.coalesce("component", "doc").alias("comp"))
+            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", "hub", F.coalesce("component", "doc").alias("comp"))
             mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
             lists = scratch.save(named.join(mixed, "tok"), "lists")
             by = lists.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
             cross = by.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
             if cross == 0:
                 break
-            if cross <= pairs_at_once or r == rounds:
+            if cross <= pairs_a_posting * postings or r == rounds or (last is not None and cross > 0.8 * last):
                 right = lists.select("tok", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "ell", "lvl", "comp")])
                 pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp"))).select("a", "b")
                 pairs = scratch.save(pairs, "pairs")
                 found.append(scratch.save(_links(docs, pairs, size, percent), "links"))
                 break
-        first = F.struct(F.xxhash64("doc", F.lit(r)).alias("p"), *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "ell", "lvl", "comp")])
-        leaders = lists.groupBy("tok").agg(F.min(first).alias("l")).select("tok", "l.*").drop("p")
+            last = cross
+        # later rounds vary the leader among texts of nearly the same hub
+        first = F.struct((-F.col("hub") if r == 0 else F.floor(F.log2(1.0 + F.col("hub")) * -8)).alias("h"), F.xxhash64("doc", F.lit(r)).alias("p"), *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "ell", "lvl", "comp")])
+        leaders = lists.groupBy("tok").agg(F.min(first).alias("l")).select("tok", "l.*").drop("h", "p")
         pairs = _candidates(lists, leaders, percent, F.col("comp") != F.col("r_comp"))
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         pairs = scratch.save(best, "pairs")
