@@ -29,7 +29,7 @@ from .scratch import Scratch, small
 from .textkit import U, chunks, mix, shingles, words
 
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
-_POST = "tok long, doc long, n int, ell int, lvl int, hub int"
+_POST = "tok long, doc long, n int, ell int, lvl int, hub int, rare boolean, all_rare int"
 
 
 def _signature(u: np.ndarray) -> tuple[int, int]:
@@ -116,12 +116,13 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
         toks: list[np.ndarray] = []
         dix: list[np.ndarray] = []
         lvls: list[np.ndarray] = []
+        rares: list[np.ndarray] = []
         held = 0
         seen: set[tuple[int, int]] = set()
 
         def packed():
-            tok, doc, lvl = np.concatenate(toks), np.concatenate(dix), np.concatenate(lvls)
-            info = np.array(table, dtype=[("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32)])
+            tok, doc, lvl, rare = map(np.concatenate, (toks, dix, lvls, rares))
+            info = np.array(table, dtype=[("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32), ("all_rare", np.int32)])
             salt = np.zeros(len(tok), U)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
@@ -136,9 +137,9 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 own = order[ends[p] : ends[p + 1]]
                 if len(own):
                     used, at = np.unique(doc[own], return_inverse=True)
-                    rows.append((p, tok[own].tobytes(), at.astype(np.uint32).tobytes(), lvl[own].tobytes(), (salt[own] > 0).astype(np.uint8).tobytes(), info[used].tobytes()))
-            table.clear(), toks.clear(), dix.clear(), lvls.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)], ["part", "tok", "dix", "lvl", "hot", "info"])
+                    rows.append((p, tok[own].tobytes(), at.astype(np.uint32).tobytes(), lvl[own].tobytes(), ((salt[own] > 0) | rare[own].astype(np.uint8) << 1).astype(np.uint8).tobytes(), info[used].tobytes()))
+            table.clear(), toks.clear(), dix.clear(), lvls.clear(), rares.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)], ["part", "tok", "dix", "lvl", "flags", "info"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -153,13 +154,13 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 if len(seen) > 500_000:
                     seen.clear()
                 alpha = _alpha(n, percent)
-                ell, hub = 1, 0
+                ell, hub, common = 1, 0, np.zeros(n, bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, u), len(known) - 1)
                     there = known[at] == u
                     if there.any():
                         order = np.argsort(np.where(there, classes[at], 0), kind="stable")
-                        u = u[order]
+                        u, common = u[order], there[order]
                         hub = int(64 * classes[at[there]].sum() // n)
                         ell = choose_level(np.where(there, counts[at], 1)[order], n, percent)
                 k = n - alpha + ell
@@ -168,7 +169,10 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 toks.append(u[:k])
                 dix.append(np.full(k, len(table), np.uint32))
                 lvls.append(level)
-                table.append((ids[i], n, ell, s1, s2, hub))
+                rares.append(~common[:k])
+                rare = int(rares[-1].sum())
+                # -1: the prefix ends among the rare shingles, so others may follow
+                table.append((ids[i], n, ell, s1, s2, hub, rare if rare < k else -1))
                 held += k
                 if held >= 1_000_000:
                     yield packed()
@@ -179,36 +183,36 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
     return run
 
 
-_INFO = [("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32)]
+_INFO = [("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32), ("all_rare", np.int32)]
 
 
 def _lists(rows: pa.Table) -> pa.Table:
     """One part: the postings of shingles that two different sets have; of equal sets only the smallest id's."""
-    tok, dix, lvl, hot, info, base = [], [], [], [], [], 0
-    for t, d, l, h, x in zip(*(rows.column(c).to_pylist() for c in ("tok", "dix", "lvl", "hot", "info"))):
+    tok, dix, lvl, flags, info, base = [], [], [], [], [], 0
+    for t, d, l, h, x in zip(*(rows.column(c).to_pylist() for c in ("tok", "dix", "lvl", "flags", "info"))):
         info.append(np.frombuffer(x, _INFO))
         tok.append(np.frombuffer(t, U))
         dix.append(np.frombuffer(d, np.uint32).astype(np.int64) + base)
         lvl.append(np.frombuffer(l, np.uint8))
-        hot.append(np.frombuffer(h, np.uint8))
+        flags.append(np.frombuffer(h, np.uint8))
         base += len(info[-1])
-    tok, dix, lvl, hot, info = map(np.concatenate, (tok, dix, lvl, hot, info))
+    tok, dix, lvl, flags, info = map(np.concatenate, (tok, dix, lvl, flags, info))
     order = np.lexsort((info["id"], info["s2"], info["s1"]))
     s1, s2 = info["s1"][order], info["s2"][order]
     keep = np.zeros(len(info), bool)
     keep[order[np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])]] = True
     own = keep[dix]
-    tok, dix, lvl, hot = tok[own], dix[own], lvl[own], hot[own]
+    tok, dix, lvl, flags = tok[own], dix[own], lvl[own], flags[own]
     order = np.argsort(tok, kind="stable")
-    tok, dix, lvl, hot = tok[order], dix[order], lvl[order], hot[order]
+    tok, dix, lvl, flags = tok[order], dix[order], lvl[order], flags[order]
     same = tok[1:] == tok[:-1]
     more = np.zeros(len(tok), bool)
     more[1:] |= same
     more[:-1] |= same
-    more |= hot > 0  # other salts of the shingle stand elsewhere
-    tok, dix, lvl = tok[more], dix[more], lvl[more]
-    arrays = [tok.view(np.int64), info["id"][dix], info["n"][dix], info["ell"][dix], lvl.astype(np.int32), info["hub"][dix]]
-    return pa.table([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["tok", "doc", "n", "ell", "lvl", "hub"])
+    more |= flags & 1 > 0  # other salts of the shingle stand elsewhere
+    tok, dix, lvl, flags = tok[more], dix[more], lvl[more], flags[more]
+    arrays = [tok.view(np.int64), info["id"][dix], info["n"][dix], info["ell"][dix], lvl.astype(np.int32), info["hub"][dix], flags & 2 > 0, info["all_rare"][dix]]
+    return pa.table([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["tok", "doc", "n", "ell", "lvl", "hub", "rare", "all_rare"])
 
 
 def _blobs(size: int):
@@ -260,6 +264,17 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, extra) -> DataF
     return met.groupBy(F.col("doc").alias("a"), F.col("r_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need")).where("shared >= need")
 
 
+def _most_shared(post: DataFrame, lists: DataFrame) -> DataFrame:
+    """``lists`` with ``most``: a text's shingles less the rare ones of its prefix that no other prefix has.
+
+    Rare shingles (outside the frequent ones) come first in every prefix, so a text whose
+    prefix goes beyond them has listed all of them.
+    """
+    listed = post.where("rare").groupBy("doc").agg(F.count("*").alias("listed"))
+    gone = F.greatest(F.lit(0), F.col("all_rare") - F.coalesce("listed", F.lit(0)))
+    return lists.join(listed, "doc", "left").withColumn("most", F.when(F.col("all_rare") >= 0, F.col("n") - gone).otherwise(F.col("n"))).drop("listed")
+
+
 def jaccard_join(
     docs: DataFrame,
     *,
@@ -302,7 +317,7 @@ def jaccard_join(
     total = profile.where("kind = 2").agg(F.sum("a")).first()[0] or 0
     parts = max(8, -(-total // part_rows))
     post = scratch.save(
-        docs.mapInArrow(_prefixes(size, percent, parts, frequent, split), "part int, tok binary, dix binary, lvl binary, hot binary, info binary")
+        docs.mapInArrow(_prefixes(size, percent, parts, frequent, split), "part int, tok binary, dix binary, lvl binary, flags binary, info binary")
         .groupBy("part").applyInArrow(_lists, _POST),
         "postings",
     )
@@ -316,16 +331,22 @@ def jaccard_join(
             for more in found[1:]:
                 links = links.union(more)
             comp = components(links, scratch)
-            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", "hub", F.coalesce("component", "doc").alias("comp"))
+            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", "hub", "all_rare", F.coalesce("component", "doc").alias("comp"))
             mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-            lists = scratch.save(named.join(mixed, "tok"), "lists")
+            before, lists = lists, scratch.save(named.join(mixed, "tok"), "lists")
+            scratch.drop(before)
             by = lists.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
             cross = by.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
             if cross == 0:
                 break
             if cross <= pairs_a_posting * postings or r == rounds or (last is not None and cross > 0.8 * last):
-                right = lists.select("tok", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "ell", "lvl", "comp")])
-                pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp"))).select("a", "b")
+                before, lists = lists, scratch.save(_most_shared(post, lists), "left")
+                scratch.drop(before)
+                right = lists.select("tok", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "ell", "lvl", "comp", "all_rare", "most")])
+                # with a text whose prefix holds all its rare shingles, none is common that stands in no list
+                most = F.least(F.when(F.col("r_all_rare") >= 0, F.col("most")).otherwise(F.col("n")), F.when(F.col("all_rare") >= 0, F.col("r_most")).otherwise(F.col("r_n")))
+                could = (100 + percent) * most >= percent * (F.col("n") + F.col("r_n"))
+                pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp")) & could).select("a", "b")
                 pairs = scratch.save(pairs, "pairs")
                 found.append(scratch.save(_links(docs, pairs, size, percent), "links"))
                 break
