@@ -13,7 +13,10 @@ text is compared with a leader of the lists it stands in, one whose shingles are
 frequent (of a group of near-copies the text that has most in common with the others, as it
 was changed least); what links becomes one component. Rounds end when they join little more,
 and only texts of lists that still hold more than one component are compared with each other
-across components. The result is exact: a pair is skipped only if both are known to be in
+across components. Two sets share at most what is frequent in either plus the rare shingles
+that both list: where the first is too little for a link (texts that an edit moved away from
+a large group), only shared rare shingles can make one, and the group's frequent shingles
+aren't looked up for such texts at all. The result is exact: a pair is skipped only if both are known to be in
 one component.
 """
 
@@ -186,8 +189,17 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
 _INFO = [("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32), ("all_rare", np.int32)]
 
 
-def _lists(rows: pa.Table) -> pa.Table:
-    """One part: the postings of shingles that two different sets have; of equal sets only the smallest id's."""
+def _overlap(n, other, percent: int):
+    """The overlap that sets of ``n`` and ``other`` need to link."""
+    return -(-percent * (n + other) // (100 + percent))
+
+
+def _lists(rows: pa.Table, percent: int) -> pa.Table:
+    """One part: the postings of shingles that two different sets have; of equal sets only the smallest id's.
+
+    A frequent shingle isn't listed for a set whose frequent shingles are too few for a link
+    with any set of that list: shared rare shingles must find such links (`_candidates`).
+    """
     tok, dix, lvl, flags, info, base = [], [], [], [], [], 0
     for t, d, l, h, x in zip(*(rows.column(c).to_pylist() for c in ("tok", "dix", "lvl", "flags", "info"))):
         info.append(np.frombuffer(x, _INFO))
@@ -205,6 +217,12 @@ def _lists(rows: pa.Table) -> pa.Table:
     tok, dix, lvl, flags = tok[own], dix[own], lvl[own], flags[own]
     order = np.argsort(tok, kind="stable")
     tok, dix, lvl, flags = tok[order], dix[order], lvl[order], flags[order]
+    if len(tok):
+        n, rare = info["n"].astype(np.int64)[dix], info["all_rare"].astype(np.int64)[dix]
+        first = np.concatenate([[True], tok[1:] != tok[:-1]])
+        least = np.minimum.reduceat(np.where(flags & 1 > 0, 0, n), np.flatnonzero(first))[np.cumsum(first) - 1]  # of a salted list only a part is here
+        far = (flags & 2 == 0) & (rare >= 0) & (_overlap(n, np.maximum(least, -(-percent * n // 100)), percent) > n - rare)
+        tok, dix, lvl, flags = tok[~far], dix[~far], lvl[~far], flags[~far]
     same = tok[1:] == tok[:-1]
     more = np.zeros(len(tok), bool)
     more[1:] |= same
@@ -252,15 +270,24 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return met.mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int, extra) -> DataFrame:
-    """Pairs (a, b, shared) of postings that meet in enough shingles at levels within both prefixes and could link by size."""
+def _candidates(left: DataFrame, right: DataFrame, percent: int, extra, rare: bool = False) -> DataFrame:
+    """Pairs (a, b, shared) of postings that meet in enough shingles at levels within both prefixes and could link by size.
+
+    ``rare``: pairs whose frequent shingles are too few for a link meet in rare shingles
+    only, of any level, and in as many as are missing; both must have listed all of theirs.
+    """
     ell = F.least("ell", "r_ell")
-    met = left.join(right, "tok").where(extra & (F.col("lvl") <= ell) & (F.col("r_lvl") <= ell) & (100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n")))
+    within = (F.col("lvl") <= ell) & (F.col("r_lvl") <= ell)
     # What is common but not in both prefixes lies in the tail of the one whose prefix ends first,
     # so the overlap is at most shared + max(alpha) - l; both sizes say how much a link needs.
     alpha = lambda c: F.ceil(F.col(c) * percent / 100.0 - 1e-9)
     overlap = F.ceil((F.col("n") + F.col("r_n")) * percent / (100.0 + percent) - 1e-9)
     need = F.greatest(ell, overlap - F.greatest(alpha("n"), alpha("r_n")) + ell)
+    if rare:
+        missing = overlap - F.least(F.col("n") - F.col("all_rare"), F.col("r_n") - F.col("r_all_rare"))
+        by_rare = (F.col("all_rare") >= 0) & (F.col("r_all_rare") >= 0) & (missing > 0)
+        within, need = F.when(by_rare, F.col("rare")).otherwise(within), F.when(by_rare, missing).otherwise(need)
+    met = left.join(right, "tok").where(extra & within & (100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n")))
     return met.groupBy(F.col("doc").alias("a"), F.col("r_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need")).where("shared >= need")
 
 
@@ -318,7 +345,7 @@ def jaccard_join(
     parts = max(8, -(-total // part_rows))
     post = scratch.save(
         docs.mapInArrow(_prefixes(size, percent, parts, frequent, split), "part int, tok binary, dix binary, lvl binary, flags binary, info binary")
-        .groupBy("part").applyInArrow(_lists, _POST),
+        .groupBy("part").applyInArrow(lambda rows: _lists(rows, percent), _POST),
         "postings",
     )
 
@@ -331,7 +358,7 @@ def jaccard_join(
             for more in found[1:]:
                 links = links.union(more)
             comp = components(links, scratch)
-            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", "hub", "all_rare", F.coalesce("component", "doc").alias("comp"))
+            named = post.join(comp, post["doc"] == comp["id"], "left").select("tok", "doc", "n", "ell", "lvl", "hub", "rare", "all_rare", F.coalesce("component", "doc").alias("comp"))
             mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
             before, lists = lists, scratch.save(named.join(mixed, "tok"), "lists")
             scratch.drop(before)
@@ -346,7 +373,7 @@ def jaccard_join(
                 # with a text whose prefix holds all its rare shingles, none is common that stands in no list
                 most = F.least(F.when(F.col("r_all_rare") >= 0, F.col("most")).otherwise(F.col("n")), F.when(F.col("all_rare") >= 0, F.col("r_most")).otherwise(F.col("r_n")))
                 could = (100 + percent) * most >= percent * (F.col("n") + F.col("r_n"))
-                pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp")) & could).select("a", "b")
+                pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp")) & could, rare=True).select("a", "b")
                 pairs = scratch.save(pairs, "pairs")
                 found.append(scratch.save(_links(docs, pairs, size, percent), "links"))
                 break
