@@ -31,6 +31,8 @@ from .components import components
 from .scratch import Scratch, small
 from .textkit import U, chunks, mix, shingles, words
 
+#: Shingles known to stand in fewer texts than two to this power are rare, as are those not known at all.
+RARE_POWER = 5
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 _POST = "tok long, doc long, n int, ell int, lvl int, hub int, rare boolean, all_rare int"
 
@@ -54,7 +56,7 @@ def _alpha(n: int, percent: int) -> int:
 
 
 def _profile(size: int, percent: int, block: int):
-    """Map: a row of each text (kind 0: id, n, signature), counts of shingles that a block repeats (kind 1), prefix sizes (kind 2)."""
+    """Map: a row of each text (kind 0: id, n, signature), counts of shingles that stand twice or more in a block (kind 1), prefix sizes (kind 2)."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -65,7 +67,7 @@ def _profile(size: int, percent: int, block: int):
             every = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
             times = np.diff(np.append(first, len(every)))
-            keep = times >= 3
+            keep = times >= 2
             held.clear()
             k = int(keep.sum())
             zero = np.zeros(k, np.int64)
@@ -163,7 +165,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                     there = known[at] == u
                     if there.any():
                         order = np.argsort(np.where(there, classes[at], 0), kind="stable")
-                        u, common = u[order], there[order]
+                        u, common = u[order], (there & (classes[at] >= RARE_POWER))[order]
                         hub = int(64 * classes[at[there]].sum() // n)
                         ell = choose_level(np.where(there, counts[at], 1)[order], n, percent)
                 k = n - alpha + ell
