@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import select as T
 from ..operators import simulate as B
+from ..operators import statistics as Q
 from ..sources import market as S
 from ..streaming.bars import tick_bars
 
@@ -384,3 +385,49 @@ def fundamentals_trailing(spark, d):
 @query(RB + " SELECT symbol, date, lead(close) OVER w / close - 1 AS ret1, coalesce((lead(close) OVER w / close - 1 > 0)::INT, 0) AS mov1 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)")
 def forward_labels(spark, d):
     return I.forward_label(S.stand_in_bars(spark, d, "region")).select("symbol", "date", "ret1", "mov1")
+
+
+@query(RB + RET + """, p AS (SELECT x.symbol AS a, y.symbol AS b, x.ret - y.ret AS d FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol WHERE x.ret <> y.ret),
+k AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY a, b, abs(d)) AS t FROM p),
+s AS (SELECT a, b, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0)::DOUBLE AS wp, coalesce(sum(rk) FILTER (d < 0), 0)::DOUBLE AS wm, sum(t * t - 1)::DOUBLE AS ties FROM k GROUP BY ALL)
+SELECT a, b, n, wp AS w_plus, wm AS w_minus, round((wp - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s""")
+def wilcoxon_pairs(spark, d):
+    return Q.wilcoxon(Q.pairs(M.returns(S.stand_in_bars(spark, d, "region")))).withColumn("z", F.round("z", 9))
+
+
+@query(RB + RET + """, e AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos, sign(ret)::INT AS act FROM r WHERE ret IS NOT NULL)
+SELECT x.symbol AS a, y.symbol AS b, count(*) AS steps, round(avg((x.act = y.act)::INT), 9) AS overlap FROM e x JOIN e y ON x.pos = y.pos AND x.symbol < y.symbol GROUP BY ALL""")
+def episode_overlap(spark, d):
+    r = M.returns(S.stand_in_bars(spark, d, "region")).where("ret IS NOT NULL")
+    e = r.select(F.col("symbol").alias("episode"), F.row_number().over(W.partitionBy("symbol").orderBy("date")).alias("pos"), F.signum("ret").cast("int").alias("action"))
+    return Q.episode_overlap(e).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(RB + """, a AS (SELECT symbol, date, sign(close - open) * ln(lead(close) OVER (PARTITION BY symbol ORDER BY date) / close) * 0.1::DOUBLE AS r FROM b),
+t AS (SELECT symbol, r, sum(r) OVER w AS total, date FROM a WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT symbol, r, max(total) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - total AS fall FROM t)
+SELECT symbol, count(*) AS n, round(sum(r), 6) AS reward, round(stddev_samp(r), 6) AS std, round(exp(sum(ln(1 + r))) - 1, 6) AS compounded, round(max(fall), 6) AS max_fall FROM f GROUP BY symbol""")
+def log_reward_metrics(spark, d):
+    bars = S.stand_in_bars(spark, d, "region").withColumn("action", F.signum(F.col("close") - F.col("open")) * 0.1)
+    return Q.log_rewards(bars).select("symbol", "n", *[F.round(c, 6).alias(c) for c in ("reward", "std", "compounded", "max_fall")])
+
+
+@query("""WITH k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations)
+SELECT conv_id, role, count(*) AS items, substr(string_agg(substr(coalesce(text, ''), 1, 100), ' | ' ORDER BY r), 1, 500) AS summary FROM k WHERE r <= 3 GROUP BY ALL""")
+def working_memory(spark, d):
+    return Q.last_items(table(spark, d, "conversations"), ["conv_id", "role"], "turn")
+
+
+@query("""WITH g AS (SELECT DISTINCT o_orderpriority AS setup FROM orders), w AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS win FROM orders),
+h AS (SELECT o_orderpriority AS setup, strftime(o_orderdate, '%Y-%m') AS win, count(*) AS have FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+SELECT setup, win, coalesce(have, 0) AS have, CASE WHEN have >= 8 THEN 'complete' WHEN have > 0 THEN 'partial' ELSE 'missing' END AS status FROM g CROSS JOIN w LEFT JOIN h USING (setup, win)""")
+def job_inventory(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("setup"), F.date_format("o_orderdate", "yyyy-MM").alias("win"), "o_orderstatus")
+    windows = o.agg(F.collect_set("win").alias("w"))  # the grid's months and setups are few
+    grid = o.select("setup").distinct().join(F.broadcast(windows)).select("setup", F.explode("w").alias("win"))
+    return Q.inventory(grid, o.where("o_orderstatus = 'F'"), ["setup", "win"], 8)
+
+
+@query()
+def turbulence_index(spark, d):
+    return Q.turbulence(M.returns(S.stand_in_bars(spark, d, "region")))

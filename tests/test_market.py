@@ -119,3 +119,30 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_turbulence(spark):
+    import numpy as np
+
+    from marketloom.operators import statistics
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(35, 3))
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(35)]
+    rows = [(s, day, float(v[i, k])) for i, day in enumerate(days) for k, s in enumerate("abc")]
+    rows += [("a", dt.date(2023, 1, 1), 1.0), ("b", days[0] - dt.timedelta(1), None)]  # a date that one symbol has alone
+    got = dict(map(tuple, statistics.turbulence(spark.createDataFrame(rows, "symbol string, date date, ret double"), history=8).collect()))
+    want = {}
+    for i, day in enumerate(days):
+        past = v[i - 8 : i]
+        diff = v[i] - past.mean(axis=0) if i >= 8 else None
+        want[day] = 0.0 if i < 10 else float(diff @ np.linalg.pinv(np.cov(past.T)) @ diff)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_wilcoxon_ties(spark):
+    from marketloom.operators import statistics
+
+    rows = [("p", "q", float(x), 0.0) for x in (1, -1, 2, 3, 0, -4)]
+    r = statistics.wilcoxon(spark.createDataFrame(rows, "a string, b string, x double, y double")).first()
+    assert (r.n, r.w_plus, r.w_minus) == (5, 8.5, 6.5)
