@@ -35,8 +35,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_jaccard_join(docs):
-    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+def components(rows):
+    """Brute force: (id, set size, smallest id of its component) of (id, set) rows."""
     known = [(i, s) for i, s in rows if i is not None]
     top = {i: i for i, _ in known}
 
@@ -50,8 +50,36 @@ def test_jaccard_join(docs):
             if x and y and 100 * len(x & y) >= 80 * len(x | y) and find(a) != find(b):
                 lo, hi = sorted((find(a), find(b)))
                 top[hi] = lo
-    want = Counter((i, len(s), None if i is None else find(i)) for i, s in rows)
-    assert Counter(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
+    return Counter((i, len(s), None if i is None else find(i)) for i, s in rows)
+
+
+@pytest.mark.parametrize("edits, words", [(6, 150), (9, 200)])
+def test_jaccard_join_of_a_large_group(spark, edits, words):
+    """Copies with few and with many edits: some link with the base, some only with each other, some with nothing."""
+    rng = random.Random(edits)
+    base = ["b%d" % i for i in range(words)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(rng.randint(0, edits)):
+            at = rng.randrange(words)
+            text[at] = rng.choice(("x%d" % rng.randrange(4), "y%d" % rng.randrange(10**6)))
+        if rows and rng.random() < 0.25:  # a copy of a copy
+            text = rng.choice(rows)[1].split()
+            text[rng.randrange(len(text))] = "z%d" % rng.randrange(10**6)
+        if rng.random() < 0.1:
+            text = text[: rng.randint(words * 3 // 4, words)]
+        rows.append((i, " ".join(text)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = components([(i, shingles(t)) for i, t in rows])
+    assert len({c for _, _, c in want}) > 5
+    for more in ({}, {"rounds": 1, "pairs_a_posting": 0.0}, {"split": 50}):
+        assert Counter(map(tuple, jaccard_join.jaccard_join(table, **more).collect())) == want
+
+
+def test_jaccard_join(docs):
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    assert Counter(map(tuple, jaccard_join.jaccard_join(docs).collect())) == components(rows)
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
