@@ -10,7 +10,9 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -203,3 +205,30 @@ def hindsight(prices: list[float], cash: float, fee: float) -> tuple[float, list
             actions.append("SELL" if turned else "HOLD")
             holding = turned
     return final, actions[::-1]
+
+
+def trading_env(bars: DataFrame, initial: float = 10_000.0, cost: float = 1e-3, fade: float = 0.99) -> DataFrame:
+    """Account of an agent's actions over (win, ticker, date, price, action), action from -1 to 1.
+
+    A buy spends that share of the cash (cost included), a sale gives that share of the
+    shares held; both round down to whole shares (doubles, as an account can outgrow a long). Null actions hold. ``total_return`` sums
+    the day's returns, each day's weight ``fade`` times the last one's.
+    """
+
+    def account(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        cash, held, value, weight, total, out = initial, 0.0, initial, 1.0, 0.0, []
+        for price, action in zip(rows["price"], rows["action"].fillna(0.0)):
+            most = cash / price / (1 + cost) if action > 0 else held
+            traded = math.copysign(math.floor(abs(action) * math.floor(most)), action)
+            cash -= traded * price + abs(traded) * price * cost
+            held += traded
+            before, value = value, cash + held * price
+            total += weight * (value / before - 1)
+            weight *= fade
+            out.append((traded, held, cash, value, value / before - 1, total))
+        done = pd.DataFrame(out, columns=["traded", "held", "cash", "value", "ret", "total_return"], index=rows.index)
+        return pd.concat([rows[["win", "ticker", "date"]], done], axis=1)
+
+    schema = "win string, ticker string, date date, traded double, held double, cash double, value double, ret double, total_return double"
+    return bars.select("win", "ticker", "date", F.col("price").cast("double"), F.col("action").cast("double")).groupBy("win", "ticker").applyInPandas(account, schema)

@@ -431,3 +431,10 @@ def job_inventory(spark, d):
 @query()
 def turbulence_index(spark, d):
     return Q.turbulence(M.returns(S.stand_in_bars(spark, d, "region")))
+
+
+@query()
+def trading_env(spark, d):
+    w = W.partitionBy("win", "ticker").orderBy("date")
+    bars = _window_bars(spark, d).withColumn("price", F.col("adjusted_close"))
+    return B.trading_env(bars.withColumn("action", F.coalesce(F.signum(F.col("price") - F.lag("price").over(w)) / 2, F.lit(0.0))))

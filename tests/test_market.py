@@ -146,3 +146,13 @@ def test_wilcoxon_ties(spark):
     rows = [("p", "q", float(x), 0.0) for x in (1, -1, 2, 3, 0, -4)]
     r = statistics.wilcoxon(spark.createDataFrame(rows, "a string, b string, x double, y double")).first()
     assert (r.n, r.w_plus, r.w_minus) == (5, 8.5, 6.5)
+
+
+def test_trading_env(spark):
+    acts = [(10.0, 1.0), (20.0, -0.5), (20.0, None), (5.0, -1.0), (5.0, -1.0)]
+    rows = [("w", "t", dt.date(2024, 1, 1 + i), p, a) for i, (p, a) in enumerate(acts)]
+    bars = spark.createDataFrame(rows, "win string, ticker string, date date, price double, action double")
+    got = [tuple(r) for r in B.trading_env(bars, initial=101.0, cost=0.01).orderBy("date").select("traded", "held", "cash", "value").collect()]
+    want = [(10, 10, 0.0, 100.0), (-5, 5, 99.0, 199.0), (0, 5, 99.0, 199.0), (-5, 0, 123.75, 123.75), (0, 0, 123.75, 123.75)]
+    assert [tuple(round(x, 9) for x in r) for r in got] == want
+    assert B.trading_env(bars.limit(0)).count() == 0
