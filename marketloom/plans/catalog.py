@@ -209,6 +209,16 @@ def range_state(spark, d):
     return R.state_window(rows, rows.where("pos % 50 = 0"), 4).groupBy("symbol", "at").agg(F.count("*").alias("n"), F.sum("close").alias("total"))
 
 
+@query(RB + """, p AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM b)
+SELECT symbol, pos AS at, count(*) OVER (w ROWS 4 PRECEDING) AS n, sum(close) OVER (w ROWS 4 PRECEDING) AS total, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS n_ahead, sum(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS ahead
+FROM p WINDOW w AS (PARTITION BY symbol ORDER BY pos)""")
+def range_state_all(spark, d):
+    """The window [pos - 4, pos + 2] of every position, clamped at the ends; what lies after the position is summed apart."""
+    rows = S.stand_in_bars(spark, d, "region").select("symbol", "close", F.row_number().over(I.series()).cast("long").alias("pos"))
+    past, ahead = F.when(F.col("pos") <= F.col("at"), F.col("close")), F.when(F.col("pos") > F.col("at"), F.col("close"))
+    return R.state_window(rows, rows, 4, 2).groupBy("symbol", "at").agg(F.count(past).alias("n"), F.sum(past).alias("total"), F.count(ahead).alias("n_ahead"), F.sum(ahead).alias("ahead"))
+
+
 @query(RB + """, g AS (SELECT symbol, unnest(generate_series((SELECT min(date) FROM b), (SELECT max(date) FROM b), INTERVAL 1 DAY))::DATE AS date FROM (SELECT DISTINCT symbol FROM b)),
 j AS (SELECT g.symbol, g.date, open, high, low, close, volume, coalesce(last_value(close IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(close IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS c FROM g LEFT JOIN b ON b.symbol = g.symbol AND b.date = g.date WINDOW w AS (PARTITION BY g.symbol ORDER BY g.date))
 SELECT symbol, date, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, coalesce(close, c) AS close, coalesce(volume, 0) AS volume FROM j""")
