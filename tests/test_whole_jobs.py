@@ -1,5 +1,8 @@
 """Queries and stages do the whole job: every position, language and row."""
 
+import random
+
+from marketloom.llm import quality_rules
 from marketloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -16,3 +19,25 @@ def test_range_state_of_every_position(spark):
             assert (r["n"], r["n_ahead"]) == (len(past), len(ahead))
             assert abs(r["total"] - sum(past)) < 1e-6 and abs((r["ahead"] or 0) - sum(ahead)) < 1e-6
     assert not got
+
+
+def test_quality_rules_has_a_reference_for_every_language(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(20):
+        # each its own short words; the last but one in a script without case, the last without short words
+        letters = "\u05d0\u05d1\u05d2\u05d3\u05d4\u05d5\u05d6\u05d7" if k >= 18 else "abcdefghijklmnopqrstuvwxyz"
+        vocab = ["".join(rng.choice(letters) for _ in range(9 if k == 19 else 4)) for _ in range(16)]
+        for _ in range(60 - 2 * k):
+            words = [rng.choice(vocab) for _ in range(60)]
+            rows.append((len(rows), " ".join(words), f"l{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.quality_rules(docs, keep=("lang",)).collect()
+    assert len(got) == len(rows)
+    assert {r["lang"] for r in got if not r["base_failed"] and not r["kept"]} == set()
+    assert {r["lang"] for r in got if r["kept"]} == {f"l{k:02}" for k in range(20)}
+    literals = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, keep=("lang",), languages=100).collect()}
+    for r in got:
+        for c in ("char_distance", "word_distance"):
+            assert abs(r[c] - literals[r["doc_id"]][c]) < 1e-9
+        assert r["kept"] == literals[r["doc_id"]]["kept"]
