@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs; all but the last return the columns of documents.
+Verdicts hold for rows: ids may be null or repeated, so stages carry the columns along or
+give each row of their input a number of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.llm.jaccard_join import jaccard_join
@@ -26,34 +27,37 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on those of its input that have labels, does not reject."""
+    """Rows that the quality classifier, trained on those of its input whose id has a label, does not reject; verdicts are made row by row."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scratch = Scratch(spark, "classified")
-    out = scratch.save(quality_classifier(docs, labels).where("predicted = 0").select("doc_id", F.lit(True).alias("gone")).distinct(), "rejected")
-    return _without(docs, out)
+    return quality_classifier(docs, labels, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-copies the document with the smallest id; rows that repeat an id count as one group."""
+    """Of every group of near-copies the row with the smallest id (null last), of equal ids the one least by hashes of its columns.
+
+    Texts without words are no copies of each other; rows that repeat an id with other texts stay.
+    """
     scratch = Scratch(spark, "copies")
-    groups = scratch.save(jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    left = _without(docs, groups)
-    repeated = scratch.save(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if not repeated.limit(1).count():
-        return left
-    again = left.join(small(repeated), "doc_id", "left_semi")
-    one = again.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"]))).where("_r = 1").drop("_r")
-    return _without(left, repeated).unionByName(one)
+    docs = _numbered(scratch, docs)
+    groups = scratch.save(jaccard_join(docs, key="_row").select(F.col("_row").alias("_r"), "component_id"), "groups")
+    # only rows of groups of two and more
+    heads = scratch.save(groups.where("component_id <> _r").select("component_id").distinct(), "heads")
+    members = scratch.save(groups.join(small(heads), "component_id", "left_semi"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_content", "_row")
+    ranked = docs.select("doc_id", "_content", "_row").join(small(members), F.col("_row") == F.col("_r"))
+    first = scratch.save(ranked.groupBy("component_id").agg(F.min(order)["_row"].alias("_row")), "first").select("_row")
+    gone = scratch.save(members.select(F.col("_r").alias("_row")).join(small(first), "_row", "left_anti"), "copies")
+    return docs.join(small(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it."""
     scratch = Scratch(spark, "mixed")
-    own = F.coalesce(F.col("doc_id"), F.xxhash64("text", "source", "lang", "n_chars"))  # rows without an id go by their content
-    docs = docs.select(*COLUMNS, own.alias("_id"))
-    times = mix_sources(docs, key="_id").where("taken > 0").groupBy("_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = scratch.save(times.select("_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
-    return docs.join(small(times), "_id").withColumn("_again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    own = F.coalesce(F.col("doc_id"), F.col("_content"))  # rows without an id go by their content
+    docs = _numbered(scratch, docs)
+    times = mix_sources(docs.withColumn("_id", own), key="_id", keep=("_content", "_row")).where("taken > 0")
+    times = scratch.save(times.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
+    return docs.join(small(times), "_row").withColumn("_again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +65,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id isn't in a written table; texts move only if the table is large."""
-    return docs.select(*COLUMNS).join(small(ids.select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number of each row (_row) and a hash of its columns but the id (_content)."""
+    numbered = docs.select(*COLUMNS, F.xxhash64("text", "source", "lang", "n_chars").alias("_content"), F.monotonically_increasing_id().alias("_row"))
+    return scratch.save(numbered, "numbered")
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("jaccard_join", near_copies), ("mixing", mixing), ("packing", packing)]

@@ -49,6 +49,7 @@ def mix_sources(
     repeats: int = 2,
     seed: str = "mix",
     buckets: int = 4096,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(key, size, source_size, target, taken) of every row; taken is 0 to ``repeats`` times size.
 
@@ -57,13 +58,14 @@ def mix_sources(
     after the other. An empty table gives an empty result, other columns are ignored. Each
     source's taken words differ from its target by less than its largest documents; equal
     input gives equal results. The sources' sums (one row a source) are windowed in one task.
+    ``keep`` names further columns to carry; rows of equal key and size are queued by them.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f"/{seed}")))
     sized = scratch.save(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), *keep,
         ).withColumn("bucket", F.expr(f"cast(pmod(cast(conv(substr(h, 1, 6), 16, 10) as long), {buckets}) as int)")),
         "sized",
     )
@@ -75,9 +77,9 @@ def mix_sources(
         .select("source", F.col("bucket").alias("b"), "before", "source_size", "srank", "target")
     )
     queued = sized.alias("d").join(starts.withColumnRenamed("source", "s"), F.col("d.source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    within = W.partitionBy("srank", "bucket").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("srank", "bucket").orderBy("h", "key", "size", *keep).rowsBetween(W.unboundedPreceding, 0)
     queued = scratch.save(
-        queued.select("key", "size", "source_size", "target", "srank", "h", "bucket", (F.col("before") + F.sum("size").over(within)).alias("upto")), "queued"
+        queued.select("key", "size", "source_size", "target", "srank", "h", "bucket", *keep, (F.col("before") + F.sum("size").over(within)).alias("upto")), "queued"
     )
 
     def finish(p: int):
@@ -107,7 +109,7 @@ def mix_sources(
     else:
         fits = lambda f: F.lit(True)
     times = sum((F.when(finish(p).isNotNull() & fits(finish(p)), 1).otherwise(0) for p in range(repeats)), F.lit(0))
-    return queued.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return queued.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *keep)
 
 
 def oracle(documents: str = "documents") -> str:
