@@ -59,10 +59,12 @@ def next_trading_day(events: DataFrame, calendar: DataFrame, day: str = "day") -
     """As-of forward join: each row's first calendar date on or after its day, null beyond the end.
 
     The calendar becomes the interval of days that lead to each date, exploded to days (one
-    row a calendar day), so that the join is an equi-join.
+    row a calendar day), so that the join is an equi-join. The first interval starts at the
+    smallest day of the events.
     """
-    prev = F.coalesce(F.date_add(F.lag("date").over(W.orderBy("date")), 1), F.date_sub("date", 31))
-    days = calendar.select("date", prev.alias("_prev")).select("date", F.explode(F.sequence("_prev", "date")).alias("_day"))
+    least = events.agg(F.to_date(F.min(day)).alias("_least"))
+    prev = F.coalesce(F.date_add(F.lag("date").over(W.orderBy("date")), 1), F.least("date", "_least"))
+    days = calendar.crossJoin(F.broadcast(least)).select("date", prev.alias("_prev")).select("date", F.explode(F.sequence("_prev", "date")).alias("_day"))
     return events.join(days, events[day] == days["_day"], "left").drop("_day").withColumnRenamed("date", "session")
 
 

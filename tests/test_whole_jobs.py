@@ -1,10 +1,12 @@
 """Queries and stages do the whole job: every position, language and row."""
 
+import datetime
 import random
 from collections import Counter
 
 import corpus_pipeline
 from marketloom.llm import quality_rules
+from marketloom.operators import relational
 from marketloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -69,3 +71,11 @@ def test_pipeline_stages_judge_rows(spark, tmp_path):
     got = texts(corpus_pipeline.mixing(spark, one, str(tmp_path)))
     mixed = corpus_pipeline.mix_sources(one).where("taken > 0").selectExpr("sum(taken div size) AS n").first()["n"]
     assert sum(got.values()) == mixed and set(got.values()) <= {1, 2}
+
+
+def test_next_trading_day_long_before_the_calendar(spark):
+    day = datetime.date
+    events = spark.createDataFrame([(day(2019, 1, 1),), (day(2020, 1, 3),), (day(2021, 1, 1),)], "day date")
+    calendar = spark.createDataFrame([(day(2020, 1, 2),), (day(2020, 1, 6),)], "date date")
+    got = {r["day"]: r["session"] for r in relational.next_trading_day(events, calendar).collect()}
+    assert got == {day(2019, 1, 1): day(2020, 1, 2), day(2020, 1, 3): day(2020, 1, 6), day(2021, 1, 1): None}
