@@ -5,7 +5,8 @@ round every sequence finds its lowest-ranked pair and applies it at all its plac
 (left to right where places overlap); rounds end when no sequence has a mergeable pair, and
 the symbols that survive are counted. A merge needs both its parts to exist, so every pair
 that a round creates ranks after the pair applied, and the result is that of merging one
-pair at a time.
+pair at a time. Long pre-tokens would need as many rounds as they have merges: their places
+are listed by rank, so that a round touches only what it merges.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .pretokens import PATTERN, SPECIAL, Bounded, blanks
 from .textkit import chunks
 
 
+#: Bytes of the longest piece that takes part in the rounds; longer ones would make many rounds.
+SHORT = 48
+
+
 class Merges:
     """The merge ranks of a tokenizers file, as sorted arrays over pairs of symbol ids."""
 
@@ -46,17 +51,33 @@ class Merges:
         letter |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letter)}
         self.byte = np.array([vocab[letter[b]] for b in range(256)], np.int64)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; ``len(self.key)`` where no merge makes it."""
+        key = left * self.span + right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], len(self.key))
+
     def count(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of symbols left of each piece."""
+        """The number of symbols left of each piece; pieces of over ``SHORT`` bytes are swept by rank."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        left = sizes.copy()
+        long = np.flatnonzero(sizes > SHORT)
+        short = np.flatnonzero(sizes <= SHORT)
+        if len(short):
+            left[short] = self._rounds([pieces[i] for i in short.tolist()])
+        if len(long):
+            left[long] = self._sweep([pieces[i] for i in long.tolist()])
+        return left
+
+    def _rounds(self, pieces: list[bytes]) -> np.ndarray:
+        """Round by round, every sequence applies its own lowest-ranked pair; as many rounds as the longest piece has merges."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         left = sizes.copy()
         sym = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         row = np.repeat(np.arange(len(pieces)), sizes)
         none = len(self.key)
         while len(sym) > 1:
-            key = sym[:-1] * self.span + sym[1:]
-            at = np.minimum(np.searchsorted(self.key, key), none - 1)
-            rank = np.where((self.key[at] == key) & (row[:-1] == row[1:]), self.rank[at], none)
+            rank = np.where(row[:-1] == row[1:], self._ranks(sym[:-1], sym[1:]), none)
             rank = np.append(rank, none)
             start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             best = np.minimum.reduceat(rank, start)
@@ -66,9 +87,7 @@ class Merges:
             place = np.flatnonzero(hit)
             if not len(place):
                 break
-            run = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))
-            within = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
-            place = place[within % 2 == 0]
+            place = place[_every_second(np.diff(place) > 1)]
             sym[place] = self.made[rank[place]]
             alive = np.ones(len(sym), bool)
             alive[place + 1] = False
@@ -77,6 +96,72 @@ class Merges:
             sym, row = sym[live], row[live]
         return left
 
+    def _sweep(self, pieces: list[bytes]) -> np.ndarray:
+        """All sequences at once, rank by rank: the places of a rank are listed, so a round costs what it merges.
+
+        A merge makes only pairs of higher ranks, so when a rank's turn comes it is the lowest
+        of every sequence that has it. Symbols are linked, about 25 bytes a byte of text.
+        """
+        import heapq
+
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        sym = self.byte[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
+        n, none = len(sym), len(self.key)
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        rank = np.full(n, none, np.int32)
+        rank[:-1] = self._ranks(sym[:-1].astype(np.int64), sym[1:].astype(np.int64))
+        rank[ends - 1] = none
+        gone = np.zeros(n, bool)
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        ranked = rank[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        listed = {int(ranked[f]): order[f:t] for f, t in zip(first, np.append(first[1:], n)) if ranked[f] < none}
+        fresh: dict[int, list[int]] = {}
+        turn = sorted(listed)
+        while turn:
+            r = heapq.heappop(turn)
+            place = listed.pop(r, None)
+            more = fresh.pop(r, None)
+            if more is not None:
+                more = np.unique(np.array(more, np.int32))
+                place = more if place is None else np.union1d(place, more)
+            place = place[(rank[place] == r) & ~gone[place]]
+            if not len(place):
+                continue
+            if len(place) > 1:
+                place = place[_every_second(after[place[:-1]] != place[1:])]
+            lost = after[place]
+            follows = after[lost]
+            sym[place] = self.made[r]
+            gone[lost] = True
+            after[place] = follows
+            before[follows[follows >= 0]] = place[follows >= 0]
+            prior = before[place]
+            at = np.concatenate([place, prior[prior >= 0]])
+            to = after[at]
+            new = np.where(to >= 0, self._ranks(sym[at].astype(np.int64), sym[to].astype(np.int64)), none)
+            rank[at] = new
+            for x, i in zip(new.tolist(), at.tolist()):
+                if x < none:
+                    if x in fresh:
+                        fresh[x].append(i)
+                    else:
+                        fresh[x] = [i]
+                        if x not in listed:
+                            heapq.heappush(turn, x)
+        gone = np.concatenate([[0], np.cumsum(gone)])
+        return sizes - (gone[ends] - gone[ends - sizes])
+
+
+def _every_second(apart: np.ndarray) -> np.ndarray:
+    """Of sorted places, every second one of each run; ``apart`` says where a run ends."""
+    run = np.flatnonzero(np.concatenate([[True], apart]))
+    within = np.arange(len(apart) + 1) - np.repeat(run, np.diff(np.append(run, len(apart) + 1)))
+    return within % 2 == 0
+
 
 @lru_cache(maxsize=2)
 def _merges(path: str) -> Merges:
