@@ -2,9 +2,11 @@
 
 Every document of a source, in an order shuffled by a hash of its id, finishes at virtual
 time (words of its source up to and with it) / (the source's target); a second pass over the
-source follows the first. Documents of all sources are taken in order of finish time while
-the words taken fit the total budget. Running sums go by buckets of the hash (and of the
-finish time), whose sums are summed first, so that no source is ever one task.
+source follows the first. Documents of all sources are sorted by finish time, range by range,
+and taken while the words taken fit the total budget. Running sums within a source and over
+the finish times go by ranges of the full order, whose sums are summed first, so that neither
+a source nor a repeated key is ever one task; only the range in which the budget ends is
+looked at row by row.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """(source, source_size, srank, target) of a table (source, size) of source sizes.
+    """(source, source_size, srank, target, rows) of a table (source, size, rows) of source sizes.
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` of all sizes;
     what exceeds ``repeats`` times a source's size is shared by weight among the others. A
@@ -35,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
     level = left / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
     leveled = ranked.withColumn("level", level).withColumn("full", F.col("cap") / F.col("w") <= F.col("level"))
     final = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), F.col("srank"), F.col("level")))).over(everything)["level"]
-    return leveled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * final)).select("source", F.col("size").alias("source_size"), "srank", "target")
+    return leveled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * final)).select("source", F.col("size").alias("source_size"), "srank", "target", "rows")
 
 
 def mix_sources(
@@ -49,6 +51,7 @@ def mix_sources(
     repeats: int = 2,
     seed: str = "mix",
     buckets: int = 4096,
+    range_rows: int = 500_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(key, size, source_size, target, taken) of every row; taken is 0 to ``repeats`` times size.
@@ -57,59 +60,65 @@ def mix_sources(
     are one source; null keys are ordered first within equal hashes; equal rows are queued one
     after the other. An empty table gives an empty result, other columns are ignored. Each
     source's taken words differ from its target by less than its largest documents; equal
-    input gives equal results. The sources' sums (one row a source) are windowed in one task.
-    ``keep`` names further columns to carry; rows of equal key and size are queued by them.
+    input gives equal results. Rows of equal key and size are queued by their ``keep`` columns,
+    which are carried, and then as they were read. A range holds about ``range_rows`` rows. Only
+    tables of one row a source, a range, or both are windowed in one task.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f"/{seed}")))
     sized = scratch.save(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), *keep,
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), *[F.col(c).alias(f"keep_{c}") for c in keep],
+            F.monotonically_increasing_id().alias("u"),
         ).withColumn("bucket", F.expr(f"cast(pmod(cast(conv(substr(h, 1, 6), 16, 10) as long), {buckets}) as int)")),
         "sized",
     )
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    per = targets(sums.groupBy("source").agg(F.sum("size").alias("size")), weights, share, repeats)
-    before = sums.select("source", "bucket", (F.sum("size").over(W.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("before"))
-    starts = (
-        before.withColumnRenamed("source", "s").join(per, F.col("s").eqNullSafe(F.col("source")))
-        .select("source", F.col("bucket").alias("b"), "before", "source_size", "srank", "target")
-    )
-    queued = sized.alias("d").join(starts.withColumnRenamed("source", "s"), F.col("d.source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    within = W.partitionBy("srank", "bucket").orderBy("h", "key", "size", *keep).rowsBetween(W.unboundedPreceding, 0)
-    queued = scratch.save(
-        queued.select("key", "size", "source_size", "target", "srank", "h", "bucket", *keep, (F.col("before") + F.sum("size").over(within)).alias("upto")), "queued"
-    )
+    kept = [f"keep_{c}" for c in keep]
+    per = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, share, repeats), "targets")
+    found = per.agg(F.sum("target").alias("t"), F.sum("rows").alias("n")).first()
+    total, ranges = found["t"] or 0.0, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (found["n"] or 0) // range_rows + 1)
+    queue = ("srank", "bucket", "h", "key", "size", *kept, "u")
+    dealt = sized.withColumnRenamed("source", "s").join(small(per.drop("rows")), F.col("s").eqNullSafe(F.col("source")))
+    queued = _running(scratch, dealt.select("source_size", "target", *queue), queue, ["srank"], ranges, "queued")
 
     def finish(p: int):
         return F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + F.col("source_size") * p).cast("double") / F.col("target"))
 
-    def slot(f):
-        return F.least(F.floor(f * 2048), F.lit(8192)).cast("int")
-
-    passes = queued.select("size", "srank", "h", "key", F.explode(F.array(*[finish(p) for p in range(repeats)])).alias("f")).where("f IS NOT NULL")
-    budget = F.lit(0.0) + F.sum("target")
-    total = per.agg(budget.alias("t")).first()["t"] or 0.0
-    running = passes.groupBy(slot(F.col("f")).alias("slot")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
-    cut = running.where(F.col("upto") > total).orderBy("slot").limit(1).collect()
-    order = F.struct("f", "srank", "h", F.col("key"), "size")
+    order = ("f", "srank", "h", "key", "size", "u")
+    passes = queued.select(*order[1:], F.explode(F.array(*[finish(p) for p in range(repeats)])).alias("f")).where("f IS NOT NULL")
+    passes = scratch.save(_ranged(passes, order, ranges * repeats), "passes")
+    running = passes.groupBy("at").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("at")))  # one row a range
+    cut = running.where(F.col("upto") > total).orderBy("at").limit(1).collect()
+    fits = lambda f: F.lit(True)
     if cut:
-        # the slot in which the budget ends: its last document that still fits
+        # the range in which the budget ends: up to its last document that still fits
         room = total - (cut[0]["upto"] - cut[0]["n"])
-        inside = passes.where(slot(F.col("f")) == cut[0]["slot"])
-        inside = inside.withColumn("sum", F.sum("size").over(W.orderBy("f", "srank", "h", "key", "size").rowsBetween(W.unboundedPreceding, 0)))
-        last = inside.where(F.col("sum") <= room).agg(F.max(order).alias("o")).first()["o"]
-        if last:
-            columns = ("srank", "h", "key", "size")
-            at = F.struct(F.lit(last["f"]).alias("f"), *[F.lit(last[c]).cast(queued.schema[c].dataType).alias(c) for c in columns])
-            fits = lambda f: F.struct(f.alias("f"), *[F.col(c) for c in columns]) <= at
-        else:
-            fits = lambda f: slot(f) < cut[0]["slot"]
-    else:
-        fits = lambda f: F.lit(True)
+        inside = passes.where(F.col("at") == cut[0]["at"])
+        upto = F.sum("size").over(W.partitionBy("at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+        inside = inside.withColumn("sum", upto).select((F.col("sum") <= room).alias("fits"), F.struct(*order).alias("o"))
+        first = inside.where("NOT fits").agg(F.min("o").alias("o")).first()["o"]
+        at = F.struct(F.lit(first["f"]).alias("f"), *[F.lit(first[c]).cast(queued.schema[c].dataType).alias(c) for c in order[1:]])
+        fits = lambda f: F.struct(f.alias("f"), *order[1:]) < at
     times = sum((F.when(finish(p).isNotNull() & fits(finish(p)), 1).otherwise(0) for p in range(repeats)), F.lit(0))
-    return queued.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *keep)
+    return queued.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * times).alias("taken"), *[F.col(c).alias(c[5:]) for c in kept])
+
+
+def _ranged(rows: DataFrame, order: tuple[str, ...], ranges: int) -> DataFrame:
+    """``rows`` dealt in ranges of ``order``, with the number of the range; to be written, as ranges are sampled."""
+    return rows.repartitionByRange(ranges, *order).withColumn("at", F.spark_partition_id())
+
+
+def _running(scratch: Scratch, rows: DataFrame, order: tuple[str, ...], by: list[str], ranges: int, name: str) -> DataFrame:
+    """``rows`` with ``upto``, the sum of size within ``by`` up to and with the row in ``order``; ``by`` leads the order."""
+    rows = scratch.save(_ranged(rows, order, ranges), f"{name}-ranges")
+    sums = rows.groupBy("at", *by).agg(F.sum("size").alias("n"))
+    before = sums.select("at", *by, (F.sum("n").over(W.partitionBy(*by).orderBy("at")) - F.col("n")).alias("before"))
+    # a number of ranges a source; the key of the window holds the range, so a source is dealt over all tasks
+    own = W.partitionBy("at", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(small(scratch.save(before, f"{name}-before")), ["at", *by]).withColumn("upto", F.col("before") + F.sum("size").over(own))
+    return scratch.save(out.drop("at", "before"), name)
 
 
 def oracle(documents: str = "documents") -> str:

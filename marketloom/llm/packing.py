@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only the number of pieces of each length matters for the plan, and that histogram has at most
-``capacity`` entries. From the longest length down, a gap is looked up among the single
-lengths, then the sums of two, then of three lengths at hand; a combination that fills it
-exactly is taken as often as the counts allow, which uses up a length each time. What no
+``capacity`` entries. The sums of one, two and three lengths are hashed to the combinations
+that make them. From the longest length down, a gap is looked up in this index; a
+combination that fills it exactly is taken as often as the counts allow, which uses up a
+length each time. What no
 combination fills is packed by best fit. The pieces then find their places by their rank
 among the pieces of their length.
 """
@@ -29,37 +30,82 @@ from .textkit import chunks
 BUCKETS = 4096
 
 
+#: Characters beyond which a text is encoded by the tokenizers library: its ids are the same, and no run of blanks is too long for it.
+LONG = 100_000
+
+
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    """text -> ids of a public vocabulary; tests hold it against the tokenizers library, whose ids these are."""
+def encoder(vocabulary: str, whole: str = "byte_bpe_50k.json"):
+    """text -> ids of a public vocabulary, given in tiktoken's form and in that of the tokenizers library, whose ids these are."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-    return lambda text: own.encode(text, allowed_special="all")
+    library = Tokenizer.from_file(public_tokenizers.path(whole))
+    return lambda text: own.encode(text, allowed_special="all") if len(text) <= LONG else library.encode(text, add_special_tokens=False).ids
+
+
+class Sums:
+    """Sums of one, two and three lengths, each hashed to the combinations that make it.
 
+    Counts only fall while gaps are filled, so a combination that is used up never comes back
+    and is taken off its sum's list, which begins with the longest first length. A triple is
+    kept as its longest length; the rest of it is a pair, found by its own sum.
+    """
 
-def _fill(gap: int, have: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """One to three lengths at hand that sum to ``gap``, the longest first; ``have`` is the count by length."""
-    if gap <= 0:
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.held = 0
+        there = np.flatnonzero(have)
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}
+        capacity = len(have) - 1
+        for a in there[::-1].tolist():
+            for b in there[there <= min(a, capacity - a)].tolist():
+                self.pairs.setdefault(a + b, []).append((a, b))
+        sums = np.array(sorted(self.pairs), np.int64)
+        for a in there[::-1].tolist():
+            for rest in sums[(sums <= 2 * a) & (sums <= capacity - a)].tolist():
+                self.triples.setdefault(a + rest, []).append(a)
+
+    def fill(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """One to three lengths at hand that sum to ``gap`` beside one piece of ``length``."""
+        if gap <= 0:
+            return None
+        self.have[length] -= 1
+        self.held = length
+        found = (gap,) if self.have[gap] else self._pair(gap) or self._triple(gap)
+        self.have[length] += 1
+        return found
+
+    def _left(self, x: int) -> int:
+        """Pieces of a length, with the one that waits for its gap to be filled."""
+        return int(self.have[x]) + (x == self.held)
+
+    def _pair(self, total: int) -> tuple[int, int] | None:
+        own = self.pairs.get(total, [])
+        while own and not (self._left(own[0][0]) and self._left(own[0][1]) > (own[0][0] == own[0][1])):
+            own.pop(0)
+        return next(((a, b) for a, b in own if self.have[a] > 0 and self.have[b] > (a == b)), None)
+
+    def _triple(self, total: int) -> tuple[int, ...] | None:
+        own = self.triples.get(total, [])
+        while own and not (self._left(own[0]) and self.pairs.get(total - own[0])):
+            own.pop(0)
+        for a in own:
+            if self.have[a] > 0:
+                self.have[a] -= 1
+                rest = self._pair_beside(total - a)
+                self.have[a] += 1
+                if rest:
+                    return (a, *rest)
         return None
-    if have[gap]:
-        return (gap,)
-    if most >= 2:
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        ok = np.flatnonzero((have[a] > 0) & (have[gap - a] > (a == gap - a)))
-        if len(ok):
-            return int(a[ok[0]]), int(gap - a[ok[0]])
-    if most >= 3:
-        for x in range(gap - 2, (gap - 1) // 3, -1):
-            if have[x]:
-                have[x] -= 1
-                rest = _fill(gap - x, have, 2)
-                have[x] += 1
-                if rest and len(rest) == 2 and rest[0] <= x:
-                    return (x, *rest)
-    return None
+
+    def _pair_beside(self, total: int) -> tuple[int, int] | None:
+        """As ``_pair``, while a further length is held back: nothing is taken off the list."""
+        return next(((a, b) for a, b in self.pairs.get(total, []) if self.have[a] > 0 and self.have[b] > (a == b)), None)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -76,17 +122,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             have[x] -= k * times
         out.append((pattern, times))
 
+    sums = Sums(have)
     for length in range(capacity, 0, -1):
         while have[length]:
             if length == capacity:
                 take((length,))
                 continue
-            have[length] -= 1
-            rest = _fill(capacity - length, have)
-            have[length] += 1
+            rest = sums.fill(length, capacity - length)
             if not rest:
                 break
             take((length, *rest))
+    # best fit of what no combination fills
     for length in range(capacity, 0, -1):
         while have[length]:
             pattern, gap = [length], capacity - length
@@ -148,20 +194,23 @@ def pack(
     A row's tokens are its text's ids (null: none; the special string is its one id) and
     ``end_id``. Longer rows than ``capacity`` are cut into full pieces, the first may be
     shorter. Equal rows and null keys are packed like any other; other columns are ignored;
-    an empty table gives an empty result. The text is read and tokenized once; the histogram
+    an empty table gives an empty result. Texts of over ``LONG`` characters are encoded by the
+    tokenizers library, so no run of blanks or letters is too long. The text is read and tokenized once; the histogram
     of lengths (at most ``capacity`` rows) goes to the driver, the plan (at most two patterns
-    for each length, as each use ends a length) to the executors.
+    for each length, as each use ends a length) to the executors. Pieces of a length are dealt
+    over ``BUCKETS`` buckets; only these sums (at most ``BUCKETS`` rows) meet by length.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema[key].dataType.simpleString()
     made = docs.select(F.col(key), F.col(text)).mapInArrow(_pieces(capacity, vocabulary, end_id, key), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
-    pieces = scratch.save(made, "pieces").withColumn("h", F.xxhash64(key, "piece", "ids_crc32")).withColumn("bucket", F.expr(f"length * {BUCKETS} + pmod(h, {BUCKETS})"))
+    # written row numbers spread rows that repeat a key and text over the buckets
+    pieces = scratch.save(made.withColumn("u", F.monotonically_increasing_id()), "pieces").withColumn("h", F.xxhash64(key, "piece", "ids_crc32", "u")).withColumn("bucket", F.expr(f"length * {BUCKETS} + pmod(h, {BUCKETS})"))
     sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     before = sums.select("bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     # one key for length and bucket, or Spark would keep all pieces of a length together
-    own = W.partitionBy("bucket").orderBy("h", key, "piece", "start")
+    own = W.partitionBy("bucket").orderBy("h", "u")
     ranked = pieces.join(before, "bucket").withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
 
     def place(batches):

@@ -1,11 +1,14 @@
 """Tables that cut lineage, in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names the folder; where the session does not set it (tests,
-one machine) a folder of the local disk is used instead.
+``spark.checkpoint.dir`` names the folder. Where the session does not set it, a folder of the
+local disk is used if the master is local; a cluster's executors would not share it, so there
+it is an error. Results read their tables until they are written themselves; ``clear`` deletes
+what this process wrote, also at its end.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,6 +22,28 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 BROADCAST_ROWS = 2_000_000
 
 
+#: Folders of this process.
+_ROOTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables of this process; only once their results are written."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
+@atexit.register
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
+
+
 class Scratch:
     """Written tables of one operator run; ``drop`` frees one that nothing needs any more."""
 
@@ -26,9 +51,12 @@ class Scratch:
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = f"file://{tempfile.gettempdir()}/marketloom-checkpoints"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """``df`` written as Parquet and read again, with its schema."""
@@ -52,9 +80,7 @@ class Scratch:
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                jvm = self.spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 Tree = list[tuple[str, str, int, float]]
 
 
@@ -57,22 +59,26 @@ def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards: i
     run from 0 in each shard without gaps. Null keys are one key; equal keys share a shard and
     get different slots; an empty table gives an empty result; other columns are ignored.
     Slots come from sums over buckets of a hash (at most ``shards`` x ``buckets`` rows are
-    broadcast), so no shard is one task.
+    broadcast), so neither a shard nor a repeated row is one task; they follow the order in
+    which the rows were read.
     """
-    # a key may hold a third of all rows: such rows are spread over buckets by their text
-    spread = F.xxhash64(F.col(key), F.crc32(F.col(text).cast("binary")))
-    rows = docs.select(
-        F.col(key),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        spread.alias("h"),
+    # the texts are read once; written row numbers spread rows that repeat a key and text
+    scratch = Scratch(docs.sparkSession, "sharding")
+    rows = scratch.save(
+        docs.select(
+            F.col(key).alias("key"),
+            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+            F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+            F.monotonically_increasing_id().alias("u"),
+        ),
+        "rows",
     )
-    rows = rows.withColumn("bucket", F.expr(f"cast(pmod(h, {buckets}) as int)")).withColumn("shard", choose(tree(shards), F.col(key)))
+    rows = rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(key, text_crc32, u), {buckets}) as int)")).withColumn("shard", choose(tree(shards), F.col("key")))
     sums = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = sums.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = W.partitionBy("shard", "bucket").orderBy("h", key, "size")
+    own = W.partitionBy("shard", "bucket").orderBy("u")
     return rows.join(F.broadcast(before), ["shard", "bucket"]).select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("before") + F.row_number().over(own) - 1).alias("slot"),
-        choose(tree(shards + 1), F.col(key)).alias("grown_shard"),
+        choose(tree(shards + 1), F.col("key")).alias("grown_shard"),
     )
