@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, small
+from .scratch import BROADCAST_ROWS, Scratch, small
 from .textkit import U, chunks, mix, shingles, words
 
 #: Shingles known to stand in fewer texts than two to this power are rare, as are those not known at all.
 RARE_POWER = 5
+#: Postings of a shingle in a pack below which long lists are looked for by measuring.
+MEASURED = 4096
+#: Texts of a list, or partners of a text, that one key of a join may have.
+STRIPE = 4096
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 _POST = "tok long, doc long, n int, ell int, lvl int, hub int, rare boolean, all_rare int"
 
@@ -129,11 +133,22 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
             tok, doc, lvl, rare = map(np.concatenate, (toks, dix, lvls, rares))
             info = np.array(table, dtype=[("id", np.int64), ("n", np.int32), ("ell", np.int32), ("s1", np.int64), ("s2", np.int64), ("hub", np.int32), ("all_rare", np.int32)])
             salt = np.zeros(len(tok), U)
+            spread = np.zeros(len(tok), bool)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
-                hot = (known[at] == tok) & (counts[at] > split)
-                ways = (counts[at[hot]] // split + 1).astype(U)
-                salt[hot] = U(1) + info["s2"][doc[hot]].view(U) % ways
+                spread = (known[at] == tok) & (counts[at] > split)
+                ways = (counts[at[spread]] // split + 1).astype(U)
+                salt[spread] = U(1) + info["s2"][doc[spread]].view(U) % ways
+            # a shingle whose list would be long if all packs (about one a part) hold as many
+            if split < parts * MEASURED:
+                rest = np.flatnonzero(~spread)
+                _, head, which, times = np.unique(tok[rest], return_index=True, return_inverse=True, return_counts=True)
+                long = times > max(1, split // parts)
+                if long.any():
+                    own = rest[long[which]]
+                    spread[own] = True
+                    salt[own] = U(1) + info["s2"][doc[own]].view(U) % (times[which[long[which]]] * parts // split + 1).astype(U)
+                    salt[rest[head[long]]] = 0  # tells the list's first part that there are others
             part = (mix(tok + salt * U(0x9E3779B9)) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -142,7 +157,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 own = order[ends[p] : ends[p + 1]]
                 if len(own):
                     used, at = np.unique(doc[own], return_inverse=True)
-                    rows.append((p, tok[own].tobytes(), at.astype(np.uint32).tobytes(), lvl[own].tobytes(), ((salt[own] > 0) | rare[own].astype(np.uint8) << 1).astype(np.uint8).tobytes(), info[used].tobytes()))
+                    rows.append((p, tok[own].tobytes(), at.astype(np.uint32).tobytes(), lvl[own].tobytes(), (spread[own] | rare[own].astype(np.uint8) << 1).astype(np.uint8).tobytes(), info[used].tobytes()))
             table.clear(), toks.clear(), dix.clear(), lvls.clear(), rares.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)], ["part", "tok", "dix", "lvl", "flags", "info"])
 
@@ -222,14 +237,15 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     if len(tok):
         n, rare = info["n"].astype(np.int64)[dix], info["all_rare"].astype(np.int64)[dix]
         first = np.concatenate([[True], tok[1:] != tok[:-1]])
-        least = np.minimum.reduceat(np.where(flags & 1 > 0, 0, n), np.flatnonzero(first))[np.cumsum(first) - 1]  # of a salted list only a part is here
+        least = np.minimum.reduceat(np.where(flags & 1 > 0, 0, n), np.flatnonzero(first))[np.cumsum(first) - 1]  # 0: of a list dealt over parts only some is here
+        flags = np.where(least == 0, flags | 1, flags)
         far = (flags & 2 == 0) & (rare >= 0) & (_overlap(n, np.maximum(least, -(-percent * n // 100)), percent) > n - rare)
         tok, dix, lvl, flags = tok[~far], dix[~far], lvl[~far], flags[~far]
     same = tok[1:] == tok[:-1]
     more = np.zeros(len(tok), bool)
     more[1:] |= same
     more[:-1] |= same
-    more |= flags & 1 > 0  # other salts of the shingle stand elsewhere
+    more |= flags & 1 > 0  # the list goes on in other parts
     tok, dix, lvl, flags = tok[more], dix[more], lvl[more], flags[more]
     arrays = [tok.view(np.int64), info["id"][dix], info["n"][dix], info["ell"][dix], lvl.astype(np.int32), info["hub"][dix], flags & 2 > 0, info["all_rare"][dix]]
     return pa.table([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["tok", "doc", "n", "ell", "lvl", "hub", "rare", "all_rare"])
@@ -263,16 +279,27 @@ def _compare(percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of written pairs (a, b) those whose whole sets link. Sets are made again from the texts that occur."""
-    left = docs.join(small(pairs), F.col("key") == F.col("a")).select("a", "b", "text").mapInArrow(_blobs(size), "a long, b long, set binary")
-    ids = pairs.select(F.col("b").alias("key")).distinct()
-    right = docs.join(small(ids), "key").select("key", "text").mapInArrow(_blobs(size), "key long, set binary")
-    met = left.join(right.select(F.col("key").alias("b"), F.col("set").alias("other")), "b").select("a", "b", "set", "other")
-    return met.mapInArrow(_compare(percent), "a long, b long").distinct()
+def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of written pairs (a, b) those whose whole sets link.
 
-
-def _candidates(left: DataFrame, right: DataFrame, percent: int, extra, rare: bool = False) -> DataFrame:
+    The sets of the texts that occur are made once. A text with many partners is dealt over
+    several keys, its set once to each.
+    """
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ids")
+    sets = scratch.save(docs.join(small(ids), "key").select("key", "text").mapInArrow(_blobs(size), "key long, set binary"), "sets")
+    busy = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > STRIPE)
+    busy = scratch.save(busy.select("b", F.floor(F.col("k") / STRIPE).cast("int").alias("more")), "busy")
+    more = F.coalesce("more", F.lit(0))
+    dealt = pairs.join(small(busy), "b", "left").select("a", "b", F.expr("cast(pmod(xxhash64(a), coalesce(more, 0) + 1) as int)").alias("way"))
+    left = dealt.join(sets.withColumnRenamed("key", "a"), "a")
+    right = sets.withColumnsRenamed({"key": "b", "set": "other"}).join(small(busy), "b", "left").select("b", "other", F.explode(F.sequence(F.lit(0), more)).alias("way"))
+    met = left.join(right, ["b", "way"]).select("a", "b", "set", "other")
+    links = scratch.save(met.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
+    scratch.drop(ids, sets, busy)
+    return links
+
+
+def _candidates(left: DataFrame, right: DataFrame, percent: int, extra, rare: bool = False, on: tuple[str, ...] = ("tok",)) -> DataFrame:
     """Pairs (a, b, shared) of postings that meet in enough shingles at levels within both prefixes and could link by size.
 
     ``rare``: pairs whose frequent shingles are too few for a link meet in rare shingles
@@ -289,7 +316,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, extra, rare: bo
         missing = overlap - F.least(F.col("n") - F.col("all_rare"), F.col("r_n") - F.col("r_all_rare"))
         by_rare = (F.col("all_rare") >= 0) & (F.col("r_all_rare") >= 0) & (missing > 0)
         within, need = F.when(by_rare, F.col("rare")).otherwise(within), F.when(by_rare, missing).otherwise(need)
-    met = left.join(right, "tok").where(extra & within & (100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n")))
+    met = left.join(right, list(on)).where(extra & within & (100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n")))
     return met.groupBy(F.col("doc").alias("a"), F.col("r_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need")).where("shared >= need")
 
 
@@ -324,14 +351,17 @@ def jaccard_join(
     is the one shingle). component_id is the smallest key reachable by links, the row's own
     included. Null and word-less texts have n_shingles 0 and link with nothing; rows with a
     null key have a null component_id and link with nothing. Rows that share a key are one
-    document: each comes back, with one component. Other columns are ignored.
+    document: each comes back, with one component. Other columns are ignored; an empty table
+    gives an empty result.
 
     Bounds: ``frequent_rows`` counts of frequent shingles reach the driver and are broadcast
     (they only order prefixes, whatever is missing costs time, not links); a part holds about
-    ``part_rows`` postings; lists of over ``split`` texts are dealt over
-    several parts. At most ``rounds`` rounds look for leaders; they end when the pairs left over
+    ``part_rows`` postings; lists of over ``split`` texts, by the counts or by what a task sees
+    of them, are dealt over several parts. At most ``rounds`` rounds look for leaders; they end when the pairs left over
     are at most ``pairs_a_posting`` times the postings or a round leaves over four fifths of them.
     """
+    if rounds < 1:
+        raise ValueError("the pairs left over are compared after at least one round")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -343,11 +373,12 @@ def jaccard_join(
     known = counted.column("a").to_numpy().view(U)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], counted.column("times").to_numpy()[order]))
-    total = profile.where("kind = 2").agg(F.sum("a")).first()[0] or 0
+    sizes = profile.agg(F.sum(F.when(F.col("kind") == 2, F.col("a"))).alias("total"), F.count_if(F.col("kind") == 0).alias("rows")).first()
+    total, n_rows = sizes["total"] or 0, sizes["rows"]
     parts = max(8, -(-total // part_rows))
     post = scratch.save(
         docs.mapInArrow(_prefixes(size, percent, parts, frequent, split), "part int, tok binary, dix binary, lvl binary, flags binary, info binary")
-        .groupBy("part").applyInArrow(lambda rows: _lists(rows, percent), _POST),
+        .repartition(parts, "part").groupBy("part").applyInArrow(lambda rows: _lists(rows, percent), _POST),
         "postings",
     )
 
@@ -364,7 +395,7 @@ def jaccard_join(
             mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
             before, lists = lists, scratch.save(named.join(mixed, "tok"), "lists")
             scratch.drop(before)
-            by = lists.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+            by = scratch.save(lists.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")), "by")
             cross = by.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
             if cross == 0:
                 break
@@ -375,9 +406,15 @@ def jaccard_join(
                 # with a text whose prefix holds all its rare shingles, none is common that stands in no list
                 most = F.least(F.when(F.col("r_all_rare") >= 0, F.col("most")).otherwise(F.col("n")), F.when(F.col("all_rare") >= 0, F.col("r_most")).otherwise(F.col("r_n")))
                 could = (100 + percent) * most >= percent * (F.col("n") + F.col("r_n"))
-                pairs = _candidates(lists, right, percent, (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp")) & could, rare=True).select("a", "b")
+                # a long list meets itself in stripes
+                long = by.where(F.col("k") > STRIPE).select("tok", F.floor(F.col("k") / STRIPE).cast("int").alias("more"))
+                long = small(scratch.save(long, "long"))
+                striped = lists.join(long, "tok", "left").withColumn("way", F.expr("cast(pmod(xxhash64(doc), coalesce(more, 0) + 1) as int)")).drop("more")
+                right = right.join(long, "tok", "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
+                differ = (F.col("doc") < F.col("r_doc")) & (F.col("comp") != F.col("r_comp")) & could
+                pairs = _candidates(striped, right, percent, differ, rare=True, on=("tok", "way")).select("a", "b")
                 pairs = scratch.save(pairs, "pairs")
-                found.append(scratch.save(_links(docs, pairs, size, percent), "links"))
+                found.append(_links(scratch, docs, pairs, size, percent))
                 break
             last = cross
         # later rounds vary the leader among texts of nearly the same hub
@@ -386,12 +423,18 @@ def jaccard_join(
         pairs = _candidates(lists, leaders, percent, F.col("comp") != F.col("r_comp"))
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         pairs = scratch.save(best, "pairs")
-        found.append(scratch.save(_links(docs, pairs, size, percent), "links"))
+        found.append(_links(scratch, docs, pairs, size, percent))
 
     rows = profile.where("kind = 0").select(F.col("a").alias(key), F.col("b").cast("int").alias("n_shingles"), "c", "d").withColumn("n_shingles", F.col("n_shingles").cast("long"))
     sets = rows.where(F.col("n_shingles") > 0).where(F.col(key).isNotNull())
-    first = sets.groupBy("n_shingles", "c", "d").agg(F.min(key).alias("rep"))
-    equal = sets.join(first, ["n_shingles", "c", "d"]).where(F.col(key) != F.col("rep")).select(F.col(key).alias("a"), F.col("rep").alias("b"))
+    # only sets that two rows or more have; large groups are few and meet their rows by broadcast
+    first = sets.groupBy("n_shingles", "c", "d").agg(F.min(key).alias("rep"), F.count("*").alias("k")).where("k > 1")
+    first = scratch.save(first, "equal")
+    large = F.greatest(F.lit(64), F.lit(n_rows // BROADCAST_ROWS))
+    few, many = (first.where(x).drop("k") for x in (F.col("k") <= large, F.col("k") > large))
+    same = ["n_shingles", "c", "d"]
+    rest = sets.join(F.broadcast(many.select(*same)), same, "left_anti")
+    equal = rest.join(few, same).unionByName(sets.join(F.broadcast(many), same)).where(F.col(key) != F.col("rep")).select(F.col(key).alias("a"), F.col("rep").alias("b"))
     for links in found:
         equal = equal.union(links)
     comp = components(equal, scratch)

@@ -54,8 +54,9 @@ def components(rows):
 
 
 @pytest.mark.parametrize("edits, words", [(6, 150), (9, 200)])
-def test_jaccard_join_of_a_large_group(spark, edits, words):
+def test_jaccard_join_of_a_large_group(spark, monkeypatch, edits, words):
     """Copies with few and with many edits: some link with the base, some only with each other, some with nothing."""
+    monkeypatch.setattr(jaccard_join, "STRIPE", 16)
     rng = random.Random(edits)
     base = ["b%d" % i for i in range(words)]
     rows = []
@@ -70,10 +71,11 @@ def test_jaccard_join_of_a_large_group(spark, edits, words):
         if rng.random() < 0.1:
             text = text[: rng.randint(words * 3 // 4, words)]
         rows.append((i, " ".join(text)))
+    rows += [(1000 + i, rows[7][1]) for i in range(90)]  # more equal texts than a broadcast group needs
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = components([(i, shingles(t)) for i, t in rows])
     assert len({c for _, _, c in want}) > 5
-    for more in ({}, {"rounds": 1, "pairs_a_posting": 0.0}, {"split": 50}):
+    for more in ({}, {"rounds": 1, "pairs_a_posting": 0.0}, {"split": 50}, {"split": 20, "frequent_rows": 5, "rounds": 1}):
         assert Counter(map(tuple, jaccard_join.jaccard_join(table, **more).collect())) == want
 
 
