@@ -2,21 +2,22 @@
 
 A rule is a regular expression over ``host/path`` with the literal tokens that every URL it
 matches must hold whole. Token counts over all URLs give the rarest token of each rule; a
-URL's tokens fetch the rules under them, and only those run their expression.
+URL's tokens fetch the rules under them, and only those run their expression. The index is a
+hashed table in the plan: fetching is one step a token, and no row is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+"
-#: Most rules whose index is broadcast; beyond it the index is joined by a shuffle.
-BROADCAST_RULES = 200_000
+#: Most index tokens that stand in the plan as a literal; beyond them the index is joined.
+LITERAL_TOKENS = 4096
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,61 @@ DOMAIN_RULES = (
     domain_rule("block", "com/en/"), domain_rule("allow", "example.com/en/7"), domain_rule("allow", "net/de/"),
     domain_rule("block", "example.net/de/8"), domain_rule("block", "org/es/"),
 )
-#: Patterns of link farms and pill shops, for URLs that no domain rule fits.
-PATTERN_RULES = (
-    pattern_rule("block", "spam-farm", r"^(?:[^/]*[.-])?spam-farm[.-]", ("spam", "farm")),
-    pattern_rule("block", "cheap-pills", r"^(?:[^/]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
-)
+#: Unwanted kinds of sites and pages, for URLs that no domain rule fits: name, where, words that stand side by side.
+_UNWANTED = """
+spam-farm | host start | spam farm
+cheap-pills | host start | cheap pills
+link-farm | anywhere | link farm
+link-exchange | anywhere | link exchange
+buy-links | anywhere | buy backlinks
+online-pharmacy | anywhere | online pharmacy
+no-prescription | anywhere | no prescription
+buy-viagra | anywhere | buy viagra
+buy-cialis | anywhere | buy cialis
+diet-pills | anywhere | diet pills
+weight-loss-pills | anywhere | weight loss pills
+online-casino | anywhere | online casino
+free-slots | anywhere | free slots
+sports-betting | anywhere | sports betting
+poker-bonus | anywhere | poker bonus
+payday-loans | anywhere | payday loans
+quick-cash | anywhere | quick cash loans
+debt-relief | anywhere | debt relief offer
+replica-watches | anywhere | replica watches
+fake-id | anywhere | fake id
+essay-writing | anywhere | essay writing service
+adult-chat | anywhere | adult chat
+sex-cams | anywhere | sex cams
+porn-videos | anywhere | porn videos
+escort-service | anywhere | escort service
+xxx | host | xxx
+warez | anywhere | warez
+keygen | path | keygen
+crack-download | anywhere | crack download
+free-mp3 | anywhere | free mp3 download
+torrent-download | anywhere | torrent download
+malware-sample | anywhere | malware
+phishing | anywhere | phishing
+miracle-cure | anywhere | miracle cure
+bitcoin-doubler | anywhere | bitcoin doubler
+earn-money-fast | anywhere | earn money fast
+work-from-home | anywhere | work from home offer
+click-tracker | path | click track
+ad-server | host start | adserver
+doorway | path | doorway
+session-trap | path | phpsessid
+"""
+
+
+def _side_by_side(name: str, where: str, words: tuple[str, ...]) -> Rule:
+    """Words with one sign other than a slash between them, whole: nothing of a word goes on before or after."""
+    middle = "[^A-Za-z0-9/]".join(map(re.escape, words))
+    lead = {"host start": r"^(?:[^/]*[^A-Za-z0-9/])?", "host": r"^(?:[^/]*[^A-Za-z0-9/])?", "path": r"(?s)/(?:.*[^A-Za-z0-9])?", "anywhere": r"(?:^|[^A-Za-z0-9])"}[where]
+    end = r"[^A-Za-z0-9/]" if where == "host start" else r"(?:[^A-Za-z0-9]|\z)"
+    return pattern_rule("block", name, lead + middle + end, words)
+
+
+PATTERN_RULES = tuple(_side_by_side(n, w, tuple(t.split())) for n, w, t in ([x.strip() for x in line.split("|")] for line in _UNWANTED.strip().splitlines()))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,16 +119,31 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.concat(host, path), F.lit(r"(?<![A-Za-z0-9])[a-z0-9]+(?![A-Za-z0-9])"), F.lit(0)))
 
 
-def index(rules: tuple[Rule, ...], counts: DataFrame, spark: SparkSession) -> DataFrame:
-    """(token, name, verdict, regex, weight): each rule under its token with the least count; ties by the token.
+def _lookup(table: dict[str, list[Column]], kind: str, token: Column) -> Column:
+    """The entries of a token in a hashed table that stands in the plan as a literal; ``kind`` is an entry's type, whose field token is the key."""
+    n = 1 << max(1, 2 * len(table) - 1).bit_length()
+    buckets: list[list[Column]] = [[] for _ in range(n)]
+    for t, entries in table.items():
+        buckets[zlib.crc32(t.encode()) % n] += entries
+    held = F.array(*[F.array(*b).cast(f"array<{kind}>") if b else F.array().cast(f"array<{kind}>") for b in buckets])
+    return F.filter(F.get(held, (F.crc32(token.cast("binary")) % n).cast("int")), lambda e: e["token"] == token)
 
-    Rules without a token stand under null and are tried on every URL.
-    """
-    table = spark.createDataFrame([(i, r.name, r.verdict, r.regex, r.weight, list(r.tokens) or [None]) for i, r in enumerate(rules)], "id int, name string, verdict string, regex string, weight int, tokens array<string>")
-    spread = table.withColumn("token", F.explode("tokens")).drop("tokens")
-    found = spread.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = W.partitionBy("id").orderBy("n", "token")
-    return found.withColumn("r", F.row_number().over(first)).where("r = 1").select("token", "name", "verdict", "regex", "weight")
+
+_ENTRY = "struct<token: string, name: string, verdict: string, regex: string, weight: int>"
+
+
+def rarest(rules: tuple[Rule, ...], tokens: DataFrame) -> dict[str, str]:
+    """rule name -> its token that the fewest URLs hold, ties by the token. The counts of the rules' tokens, no others, reach the driver."""
+    wanted = {t for r in rules for t in r.tokens}
+    if len(wanted) <= LITERAL_TOKENS:
+        known = {t: [F.struct(F.lit(t).alias("token"))] for t in sorted(wanted)}
+        mine = F.filter("tokens", lambda t: F.size(_lookup(known, "struct<token: string>", t)) > 0)
+        counts = tokens.select(F.explode(mine).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    else:
+        table = tokens.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "token string")
+        counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(table, "token", "left_semi")
+    n = {r["token"]: r["n"] for r in counts.collect()} if wanted else {}
+    return {r.name: min(r.tokens, key=lambda t: (n.get(t, 0), t)) for r in rules if r.tokens}
 
 
 def filter_urls(
@@ -89,31 +155,37 @@ def filter_urls(
     then by name. rule is the domain rule's name; it is null where none fits, and the verdict is then
     that of a fitting pattern, or ``default``. Null URLs and URLs without ``://`` have an empty
     host and path and the default verdict. Equal rows are judged alike and all come back; null
-    keys stay null; other columns are ignored.
+    keys stay null; other columns are ignored; an empty table gives an empty result. Up to
+    ``LITERAL_TOKENS`` index tokens the rows pass in one go, without a shuffle; beyond them
+    URLs meet the rules by token in a join.
     """
-    spark = pages.sparkSession
+    if len({r.name for r in rules}) != len(rules):
+        raise ValueError("rules must have names of their own")
     host, path = split_url(F.col(url))
-    rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if len(wanted) <= BROADCAST_RULES:
-        lookup = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "token string"))
+    by_token: dict[str, list[Rule]] = {}
+    first = rarest(rules, pages.select(_tokens(*split_url(F.col(url))).alias("tokens")))
+    for r in rules:
+        if r.tokens:
+            by_token.setdefault(first[r.name], []).append(r)
+    rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
+    hit = lambda r: F.struct(F.lit(r.weight).alias("weight"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))
+    if len(by_token) <= LITERAL_TOKENS:
+        entry = lambda t, r: F.struct(F.lit(t).alias("token"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"), F.lit(r.weight).alias("weight"))
+        table = {t: [entry(t, r) for r in rs] for t, rs in sorted(by_token.items())}
+        found = F.flatten(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: _lookup(table, _ENTRY, t)))
+        fits = F.filter(found, lambda e: F.rlike(F.concat("host", "path"), e["regex"]))
+        best = rows.withColumn("hit", F.array_max(F.transform(fits, lambda e: F.struct(e["weight"].alias("weight"), e["name"].alias("name"), e["verdict"].alias("verdict")))))
     else:
-        lookup = spark.createDataFrame([(t,) for t in wanted], "token string")
-    tokens = pages.select(_tokens(*split_url(F.col(url))).alias("tokens")).select(F.explode("tokens").alias("token"))
-    counts = tokens.join(lookup, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    table = index(rules, counts, spark)
-    if len(rules) <= BROADCAST_RULES:
-        table = F.broadcast(table)
-    loose = [r for r in rules if not r.tokens]
-    fetch = rows.withColumn("token", F.explode_outer(_tokens(F.col("host"), F.col("path"))))
-    fits = F.expr("concat(host, path) rlike regex")
-    met = fetch.join(table.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token"), "left")
-    hit = F.when(F.col("regex").isNotNull() & fits, F.struct("weight", F.col("name"), F.col("verdict")))
-    best = met.groupBy("_row", "_key", "host", "path").agg(F.max(hit).alias("hit"))
+        table = pages.sparkSession.createDataFrame([(t, r.name, r.verdict, r.regex, r.weight) for t, rs in by_token.items() for r in rs], "_token string, name string, verdict string, regex string, weight int")
+        # one row of a URL a token, so that a frequent token's URLs meet its rules in many tasks
+        urls = rows.select("host", "path").distinct().withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
+        met = urls.join(table, F.col("token") == F.col("_token")).where(F.expr("concat(host, path) rlike regex"))
+        hits = met.groupBy("host", "path").agg(F.max(F.struct("weight", "name", "verdict")).alias("hit"))
+        best = rows.join(hits, ["host", "path"], "left")
     choice = F.col("hit")
-    for r in loose:
-        own = F.when(F.concat("host", "path").rlike(r.regex), F.struct(F.lit(r.weight).alias("weight"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict")))
-        choice = F.greatest(choice, own)
+    for r in rules:
+        if not r.tokens:
+            choice = F.greatest(choice, F.when(F.concat("host", "path").rlike(r.regex), hit(r)))
     best = best.withColumn("hit", choice)
     return best.select(
         F.col("_key").alias(key), "host", "path",
@@ -132,5 +204,5 @@ p AS (SELECT page_id, rid, coalesce(translate(regexp_extract(rest, '^([^/?#]*)',
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 m AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p JOIN r
   ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid)
-SELECT page_id, host, path, m.rule AS rule, coalesce(m.v, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?(spam-farm|cheap-pills)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.v, CASE WHEN regexp_matches(host || path, '(?s){"|".join(f"(?:{r.regex})" for r in PATTERN_RULES)}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (rid)"""
