@@ -1,11 +1,10 @@
 """Toxicity by a classifier chain over hashed word features.
 
-The chain predicts three categories in turn: ``abusive`` (a toxic document with at least one
-strong marker), ``severe`` (one with at least the median number of markers) and ``toxic``.
-Markers are features that toxic sample documents hold far more often than others; the first
-two categories are thus derived from the toxic labels of the sample. Every category is a
-logistic model of the text's features and of the probabilities of the categories before it;
-it is trained with out-of-fold probabilities, so that it sees what it will see of new texts.
+The chain predicts the labelled categories in turn, toxic last: every link is a logistic
+model of the text's features and of the probabilities of the links before it. Each link is
+trained with out-of-fold probabilities of the earlier ones, so that it sees what it will see
+of new texts. Folds go by the least hash of a text's features, so that near-copies share one.
+A labels table with more categories makes a longer chain.
 """
 
 from __future__ import annotations
@@ -15,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textkit import U, chunks, mix, words
 
 BITS = 18
 PREFIXES = (4, 5, 6)
-CATEGORIES = ("abusive", "severe", "toxic")
+#: The label columns that the chain predicts, in order.
+CATEGORIES = ("quality", "toxic")
 
 
 def features(column: pa.Array):
@@ -64,42 +65,62 @@ def _predict(rows, cols, n, extra, model):
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, fold: np.ndarray, *, folds: int = 4, least: int = 5, markers: int = 200) -> dict:
-    """The chain, from feature pairs of ``len(toxic)`` documents. Features of fewer than ``least`` documents are left out."""
-    n = len(toxic)
-    df = np.bincount(cols, minlength=1 << BITS)
-    used = np.flatnonzero(df >= least)
+def folds_of(rows: np.ndarray, cols: np.ndarray, n: int, folds: int) -> np.ndarray:
+    """The fold of each document: the least hash of its features, which near-copies mostly share, mod ``folds``."""
+    least = np.full(n, np.iinfo(np.uint64).max, U)
+    np.minimum.at(least, rows, mix(cols.astype(U) + U(1)))
+    return (least % U(folds)).astype(np.int64)
+
+
+def _link(rows, cols, n, extra, y, dims, chosen):
+    """A model of the ``chosen`` documents whose label is known; with one class only, a constant."""
+    chosen = chosen & ~np.isnan(y)
+    known = y[chosen]
+    if not len(known) or known.min() == known.max():
+        return np.zeros(dims), np.zeros(extra.shape[1]), (10.0 if len(known) and known[0] else -10.0)
+    at, own = np.cumsum(chosen) - 1, chosen[rows]
+    return _logistic(at[rows[own]], cols[own], int(chosen.sum()), extra[chosen], known, dims)
+
+
+def _cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The log odds at which out-of-fold probabilities part the classes with the best F-measure; 0 without both classes."""
+    known = ~np.isnan(y)
+    p, y = np.clip(p[known], 1e-9, 1 - 1e-9), y[known]
+    if not len(y) or y.min() == y.max():
+        return 0.0
+    order = np.argsort(-p, kind="stable")
+    s = np.log(p[order]) - np.log1p(-p[order])
+    hit = np.cumsum(y[order])
+    f = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f[:-1][s[:-1] == s[1:]] = 0  # equal scores stay together
+    best = int(np.argmax(f))
+    return float((s[best] + s[min(best + 1, len(s) - 1)]) / 2)
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarray, *, least: int = 5) -> dict:
+    """The chain, from feature pairs of ``len(y)`` documents and their labels (a column a category, NaN: not known).
+
+    Features of fewer than ``least`` documents are left out. The last link's bias is moved so
+    that its probability is 0.5 where the out-of-fold ones part the classes best.
+    """
+    n = len(y)
+    used = np.flatnonzero(np.bincount(cols, minlength=1 << BITS) >= least)
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
     keep = place[cols] >= 0
     rows, cols = rows[keep], place[cols[keep]]
-    yes = np.bincount(cols, weights=toxic[rows], minlength=len(used))
-    no = np.bincount(cols, minlength=len(used)) - yes
-    odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / (n - toxic.sum() + 1))
-    strong = np.zeros(len(used), bool)
-    best = np.argsort(-odds * np.sqrt(yes), kind="stable")[:markers]
-    strong[best[odds[best] > 2]] = True
-    hits = np.bincount(rows, weights=strong[cols], minlength=n)
-    median = np.median(hits[toxic == 1]) if toxic.any() else 0
-    y = np.stack([(toxic == 1) & (hits >= 1), (toxic == 1) & (hits >= max(median, 1)), toxic == 1], 1).astype(float)
     chain, extra = [], np.zeros((n, 0))
-    for c in range(len(CATEGORIES)):
-        if not 0 < y[:, c].sum() < n:
-            chain.append((np.zeros(len(used)), np.zeros(extra.shape[1]), -10.0 if not y[:, c].any() else 10.0))
-            extra = np.hstack([extra, y[:, c : c + 1]])
-            continue
+    for c in range(y.shape[1]):
         out = np.zeros(n)
-        for k in range(folds):
-            test = fold % folds == k
-            if not test.any():
-                continue
-            at = np.cumsum(~test) - 1
-            own = ~test[rows]
-            part = _logistic(at[rows[own]], cols[own], int((~test).sum()), extra[~test], y[~test, c], len(used)) if (~test).any() else (np.zeros(len(used)), np.zeros(extra.shape[1]), 0.0)
-            at = np.cumsum(test) - 1
-            out[test] = _predict(at[rows[~own]], cols[~own], int(test.sum()), extra[test], part)
-        chain.append(_logistic(rows, cols, n, extra, y[:, c], len(used)))
+        for k in np.unique(fold):
+            test = fold == k
+            part = _link(rows, cols, n, extra, y[:, c], len(used), ~test)
+            at, own = np.cumsum(test) - 1, test[rows]
+            out[test] = _predict(at[rows[own]], cols[own], int(test.sum()), extra[test], part)
+        chain.append(_link(rows, cols, n, extra, y[:, c], len(used), np.ones(n, bool)))
         extra = np.hstack([extra, out[:, None]])
+    w, v, b = chain[-1]
+    chain[-1] = (w, v, b - _cut(extra[:, -1], y[:, -1]))
     return {"place": place, "chain": chain, "oof": extra}
 
 
@@ -113,57 +134,76 @@ def probabilities(rows, cols, n, model) -> np.ndarray:
     return extra
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, sample: int, folds: int) -> dict | None:
-    """A chain from at most ``sample`` labelled rows with a key hash mod ``folds`` other than 0; None without any."""
+def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, categories: tuple[str, ...], folds: int, sample: int, features_held: int, chain_folds: int = 4) -> dict | None:
+    """A chain from labelled rows with a key hash mod ``folds`` other than 0; None without any.
+
+    At most ``sample`` rows, those with the least hash of their key, and of these as many as
+    hold ``features_held`` features together reach the driver.
+    """
+    last = F.col(categories[-1]).cast("int")
+    kept = labels.select(F.col(key).alias("k"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)], last.alias("last"))
+    order = (F.xxhash64("k"), "k", *[f"y{i}" for i in range(len(categories))])
     chosen = (
-        labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-        .where("k IS NOT NULL AND y IN (0, 1)").where(F.expr(f"crc32(cast(cast(k as string) as binary)) % {folds} <> 0"))
-        .orderBy(F.xxhash64("k"), "k", "y").limit(sample)
+        kept.where("k IS NOT NULL AND last IN (0, 1)").where(F.expr(f"crc32(cast(cast(k as string) as binary)) % {folds} <> 0"))
+        .orderBy(*order).limit(sample).drop("last")
     )
-    rows = docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("dk") == F.col("k")).select("k", "y", "t")
+    ys = [f"y{i}" for i in range(len(categories))]
+    rows = docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("dk") == F.col("k")).select(F.xxhash64("k").alias("h"), *ys, "t")
 
     def run(batches):
         for batch in batches:
             out = [b""] * batch.num_rows
-            for lo, hi, row, col in features(batch.column(2)):
+            for lo, hi, row, col in features(batch.column(batch.num_columns - 1)):
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     out[lo + i] = col[ends[i] : ends[i + 1]].astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(out, pa.binary())], ["k", "y", "x"])
-
-    got = rows.mapInArrow(run, "k long, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(sample).toArrow()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int32())], ["h", *ys, "x", "size"])
+
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    made = scratch.save(rows.mapInArrow(run, f"h long, {', '.join(f'{c} int' for c in ys)}, x binary, size int"), "features")
+    # rows that repeat a key could exceed the bound
+    order = ("h", *ys, F.xxhash64("x"))
+    sizes = made.orderBy(*order).limit(sample).select("size").toArrow().column("size").to_numpy()
+    fits = int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), features_held, "right"))
+    got = made.orderBy(*order).limit(fits).select(*ys, "x").toArrow()
+    scratch.drop(made)
     if not got.num_rows:
         return None
     sets = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
-    y = got.column("y").to_numpy()
+    y = np.stack([got.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ys], 1)
+    y[(y != 0) & (y != 1)] = np.nan
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    model = fit(rows, np.concatenate(sets).astype(np.int64), y, np.arange(len(sets)))
+    cols = np.concatenate(sets).astype(np.int64)
+    model = fit(rows, cols, y, folds_of(rows, cols, len(sets), chain_folds))
     del model["oof"]
     return model
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, sample: int = 6_000, threshold: float = 0.5
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", categories: tuple[str, ...] = CATEGORIES, folds: int = 5, sample: int = 6_000, features_held: int = 20_000_000, threshold: float = 0.5
 ) -> DataFrame:
-    """(key, p_abusive, p_severe, p_toxic, toxic) of every row.
+    """(key, p_<category> of each category, toxic) of every row; ``categories`` are columns of ``labels``.
 
-    toxic is 1 if p_toxic is at least ``threshold``. Labelled rows with crc32(key as text) mod
-    ``folds`` = 0 are never learned from; of the others at most ``sample`` are. Null and empty
+    toxic is 1 if the last category's probability is at least ``threshold``. Labelled rows with
+    crc32(key as text) mod ``folds`` = 0 are never learned from; of the others at most
+    ``sample`` rows and ``features_held`` features are. The key is of any type. Null and empty
     texts have no features and are never toxic; null keys stay null; equal texts get equal
-    probabilities; other columns are ignored; without labels nothing is toxic.
+    probabilities; other columns are ignored; without labels nothing is toxic (probabilities
+    0); an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key=key, text=text, label=label, sample=sample, folds=folds))
+    chain = train(docs, labels, key=key, text=text, categories=categories, folds=folds, sample=sample, features_held=features_held)
+    model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         for batch in batches:
-            p = np.zeros((batch.num_rows, len(CATEGORIES)))
+            p = np.zeros((batch.num_rows, len(categories)))
             for lo, hi, row, col in features(batch.column(1)):
                 if model.value is not None:
                     p[lo:hi] = probabilities(row, col, hi - lo, model.value) * (np.bincount(row, minlength=hi - lo) > 0)[:, None]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(p[:, c]) for c in range(len(CATEGORIES))], pa.array((p[:, -1] >= threshold).astype(np.int32))],
-                [key, *[f"p_{c}" for c in CATEGORIES], "toxic"],
+                [batch.column(0), *[pa.array(p[:, c]) for c in range(len(categories))], pa.array((p[:, -1] >= threshold).astype(np.int32))],
+                [key, *[f"p_{c}" for c in categories], "toxic"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic int")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic int")
