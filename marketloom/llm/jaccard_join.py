@@ -378,7 +378,7 @@ def jaccard_join(
     parts = max(8, -(-total // part_rows))
     post = scratch.save(
         docs.mapInArrow(_prefixes(size, percent, parts, frequent, split), "part int, tok binary, dix binary, lvl binary, flags binary, info binary")
-        .repartition(parts, "part").groupBy("part").applyInArrow(lambda rows: _lists(rows, percent), _POST),
+        .repartitionById(parts, "part").groupBy("part").applyInArrow(lambda rows: _lists(rows, percent), _POST),
         "postings",
     )
 
