@@ -48,6 +48,7 @@ class Header:
     samples: int
     size: int
     side: int
+    joint: int | None = None
 
     @property
     def body(self) -> int:
@@ -56,24 +57,72 @@ class Header:
 
 
 @lru_cache(maxsize=4096)
-def header(word: int) -> Header | None:
-    """The frame header in 32 bits, or None if they are not one of a frame of known size."""
+def header(word: int, free: int = 0) -> Header | None:
+    """The frame header in 32 bits, or None if they are not one; of a frame in free format the size must be given.
+
+    ``joint`` is the first subband that both channels share, where they do.
+    """
     if word >> 21 != 0x7FF:
         return None
     version = {0: 2.5, 2: 2, 3: 1}.get(word >> 19 & 3)
     layer = 4 - (word >> 17 & 3)
     rate, slot = word >> 10 & 3, word >> 12 & 15
-    if version is None or layer == 4 or rate == 3 or not 0 < slot < 15 or word & 3 == 2:
+    if version is None or layer == 4 or rate == 3 or slot == 15 or (slot == 0 and not free) or word & 3 == 2:
         return None
     one = version == 1
-    kbps = BITRATES[one, layer][slot - 1]
+    kbps = BITRATES[one, layer][slot - 1] if slot else 0
     hz = RATES[rate] // {1: 1, 2: 2, 2.5: 4}[version]
     pad = word >> 9 & 1
     mono = word >> 6 & 3 == 3
     samples = 384 if layer == 1 else 1152 if one or layer == 2 else 576
-    size = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
+    size = free if not slot else (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
     side = 0 if layer < 3 else (17 if mono else 32) if one else (9 if mono else 17)
-    return Header(version, layer, not word >> 16 & 1, kbps, hz, 1 if mono else 2, samples, size, side)
+    joint = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else None
+    return Header(version, layer, not word >> 16 & 1, kbps, hz, 1 if mono else 2, samples, size, side, joint)
+
+
+#: Bits of the allocation of each subband of Layer II, by table.
+ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 1:
+        return ALLOCATION["low"]
+    each = h.kbps // h.channels
+    if 0 < each < 56:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if h.rate == 48000 or 0 < each < 96 else "b"]
+
+
+def _protected(data: bytes, at: int, h: Header) -> tuple[int, int]:
+    """The bits that a frame's checksum covers, as a number and its length: the header's last half and the side information or allocation."""
+    start = at + 6
+    if h.layer == 3:
+        body = data[start : start + h.side]
+        return int.from_bytes(data[at + 2 : at + 4] + body, "big"), 16 + 8 * len(body)
+    frame = data[start : at + h.size]
+    bits, total = int.from_bytes(frame, "big"), 8 * len(frame)
+    read = lambda p, n: bits >> max(total - p - n, 0) & ((1 << n) - 1)
+    p, given = 0, 0
+    for band, n in enumerate(_allocation(h)):
+        for channel in range(1 if h.joint is not None and band >= h.joint else h.channels):
+            # scale factor selections of Layer II follow for every channel of a subband in use
+            shared = h.channels if h.joint is not None and band >= h.joint else 1
+            given += (read(p, n) > 0) * shared
+            p += n
+    p += 2 * given if h.layer == 2 else 0
+    return int.from_bytes(data[at + 2 : at + 4], "big") << p | read(0, p), 16 + p
+
+
+def bit_checksum(bits: int, n: int) -> int:
+    """``checksum`` of the first ``n`` bits of a number's binary form, which need not be whole bytes."""
+    crc = 0xFFFF
+    for i in range(n - 1, -1, -1):
+        crc = (crc << 1 ^ (0x18005 if (crc >> 15 ^ bits >> i) & 1 else 0)) & 0xFFFF
+    return crc
 
 
 def checksum(data: bytes) -> int:
@@ -132,17 +181,26 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0
     end = 10 + _sync_safe(data[6:10])
-    at, major = 10, data[3]
-    while major >= 3 and at + 10 <= min(end, len(data)) and data[at : at + 4].isalnum():
-        size = _sync_safe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        if size <= 0 or at + 10 + size > end:
+    major, flags = data[3], data[5]
+    tag = data[10:end]
+    if flags & 128 and major < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")  # a zero after each 0xFF hid it from frame search
+    at = 0
+    if flags & 64 and major >= 3 and len(tag) >= 4:
+        at = _sync_safe(tag[:4]) if major == 4 else 4 + int.from_bytes(tag[:4], "big")
+    # version 2.2 has names and sizes of three bytes and no flags
+    name, head = (3, 6) if major < 3 else (4, 10)
+    while at + head <= len(tag) and tag[at : at + name].isalnum():
+        raw = tag[at + name : at + 2 * name]
+        size = _sync_safe(raw) if major == 4 else int.from_bytes(raw, "big")
+        if size <= 0 or at + head + size > len(tag):
             break
-        if data[at : at + 1] == b"T":
-            body = data[at + 10 : at + 10 + size]
+        if tag[at : at + 1] == b"T":
+            body = tag[at + head : at + head + size]
             code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            tags[data[at : at + 4].decode()] = body[1:].decode(code, "replace").rstrip("\0")
-        at += 10 + size
-    return end + (10 if data[5] & 16 else 0)
+            tags[tag[at : at + name].decode()] = body[1:].decode(code, "replace").rstrip("\0")
+        at += head + size
+    return end + (10 if flags & 16 else 0)
 
 
 def _vbr(data: bytes, at: int, h: Header) -> dict | None:
@@ -161,13 +219,32 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
                 out["toc"] = list(frame[p : p + 100])
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 58:
-        size, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size}
+        size, frames, entries, scale, width, per = struct.unpack(">IIHHHH", frame[46:62]) if len(frame) >= 62 else (*struct.unpack(">II", frame[46:54]), 0, 0, 0, 0)
+        raw = frame[62 : 62 + entries * width] if width else b""
+        # bytes of each run of ``frames_each`` frames
+        steps = [int.from_bytes(raw[i : i + width], "big") * scale for i in range(0, len(raw) - width + 1, width)] if width else []
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "frames_each": per, "steps": steps}
     return None
 
 
+def _free_size(data: bytes, at: int, end: int, word: int, known: int) -> int:
+    """The size of a frame in free format: up to the next header like it; of a last frame, that of the ones before. 0 if there is none."""
+    like = word & 0xFFFFFC00 & ~0x200
+    found = data.find(b"\xff", at + 24, end)
+    while 0 <= found <= end - 4:
+        other = int.from_bytes(data[found : found + 4], "big")
+        if other & 0xFFFFFC00 & ~0x200 == like and not other >> 12 & 15:
+            return found - at
+        found = data.find(b"\xff", found + 1, end)
+    return known if known and at + known <= end else 0
+
+
 def parse(data: bytes) -> Audio:
-    """All frames of ``data``. A frame counts if its header is followed by another header, a tag or the end."""
+    """All frames of ``data``. A frame counts if its header is followed by another header, a tag or the end.
+
+    Frames in free format are as long as the way to the next header of their kind. Checksums
+    are verified for all three layers.
+    """
     out = Audio()
     at, end = _id3v2(data, out.tags), len(data)
     if data[end - 128 : end - 125] == b"TAG":
@@ -175,18 +252,23 @@ def parse(data: bytes) -> Audio:
         for name, lo, hi in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
             out.tags.setdefault(name, data[end + lo : end + hi].rstrip(b"\0 ").decode("latin-1"))
     in_step = False
+    free = 0
     while at + 4 <= end:
-        h = header(int.from_bytes(data[at : at + 4], "big"))
+        word = int.from_bytes(data[at : at + 4], "big")
+        if word >> 21 == 0x7FF and not word >> 12 & 15:
+            free = _free_size(data, at, end, word, free)
+        h = header(word, free)
         after = at + h.size if h else 0
-        if h and after <= end and (in_step or after >= end - 3 or header(int.from_bytes(data[after : after + 4], "big"))):
+        if h and after <= end and (in_step or after >= end - 3 or header(int.from_bytes(data[after : after + 4], "big"), free)):
             if not out.headers and out.table is None and (table := _vbr(data, at, h)):
                 out.table = table
             else:
                 out.offsets.append(at)
                 out.headers.append(h)
-                if h.checked and h.layer == 3:
+                if h.checked:
                     out.checked += 1
-                    if _checksum(data[at + 2 : at + 4] + data[at + 6 : at + h.body]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+                    own = _checksum(data[at + 2 : at + 4] + data[at + 6 : at + h.body]) if h.layer == 3 else bit_checksum(*_protected(data, at, h))
+                    if own != int.from_bytes(data[at + 4 : at + 6], "big"):
                         out.failed.append(len(out.offsets) - 1)
             at, in_step = after, True
             continue
@@ -305,14 +387,16 @@ def padded(data: bytes) -> bytes:
 
 
 def media_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row.
+    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, duration_num, duration_den, seek_offsets) of every row.
 
     The text is stored as ``text_to_audio`` does, and everything but n_bytes is computed from
     the stored bytes, read back. Null and empty texts are one unit of spaces. Equal texts give
     equal values, rows are neither merged nor dropped, null keys stay null, other columns are
-    ignored. One pass, no shuffle; a task holds about 2 MB of texts (or one text) at a time.
+    ignored; an empty table gives an empty result. The duration in seconds is exact, as a
+    fraction; seek_offsets are the bytes at which frames begin. One pass, no shuffle; a task
+    holds about 2 MB of texts (or one text) at a time.
     """
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_num", "duration_den", "seek_offsets"]
 
     def run(batches):
         for batch in batches:
@@ -322,9 +406,9 @@ def media_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                     stored = store(padded(data[bounds[i] : bounds[i + 1]].tobytes()))
                     audio = parse(stored)
                     back = payload(stored, audio)
-                    rows.append((int(bounds[i + 1] - bounds[i]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(audio)))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    rows.append((int(bounds[i + 1] - bounds[i]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(audio), audio.duration.numerator, audio.duration.denominator, audio.offsets))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, seek_offsets array<long>")
