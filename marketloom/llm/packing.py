@@ -27,7 +27,9 @@ from .pretokens import SPECIAL
 from .scratch import Scratch
 from .textkit import chunks
 
+#: Buckets of the pieces of a length, and buckets that are summed together.
 BUCKETS = 4096
+GROUP = 64
 
 
 #: Characters beyond which a text is encoded by the tokenizers library: its ids are the same, and no run of blanks is too long for it.
@@ -198,7 +200,7 @@ def pack(
     tokenizers library, so no run of blanks or letters is too long. The text is read and tokenized once; the histogram
     of lengths (at most ``capacity`` rows) goes to the driver, the plan (at most two patterns
     for each length, as each use ends a length) to the executors. Pieces of a length are dealt
-    over ``BUCKETS`` buckets; only these sums (at most ``BUCKETS`` rows) meet by length.
+    over ``BUCKETS`` buckets; only sums of these (``BUCKETS`` / ``GROUP`` rows) meet by length.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema[key].dataType.simpleString()
@@ -208,7 +210,12 @@ def pack(
     sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
-    before = sums.select("bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    # buckets of a length are summed in groups, then the groups, so that a common length is no task of its own
+    sums = sums.withColumn("group", F.expr(f"bucket div {GROUP}"))
+    groups = sums.groupBy("length", "group").agg(F.sum("n").alias("all"))
+    start = groups.select("group", (F.sum("all").over(W.partitionBy("length").orderBy("group")) - F.col("all")).alias("start"))
+    inner = F.sum("n").over(W.partitionBy("group").orderBy("bucket")) - F.col("n")
+    before = sums.withColumn("inner", inner).join(start, "group").select("bucket", (F.col("start") + F.col("inner")).alias("before"))
     # one key for length and bucket, or Spark would keep all pieces of a length together
     own = W.partitionBy("bucket").orderBy("h", "u")
     ranked = pieces.join(before, "bucket").withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
