@@ -192,19 +192,27 @@ def distance(p, q):
     return math.sqrt(max(0.0, half(p) / 2 + half(q) / 2))
 
 
+def passes(w):
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    return len(w) >= 10 and 100 * len(covered) <= 20 * len(w)
+
+
 def test_quality_rules(spark, docs, rows):
-    hists, shorts, totals = defaultdict(lambda: [0] * 7), defaultdict(Counter), Counter()
+    hists, shorts, clean, totals = defaultdict(lambda: [0] * 7), defaultdict(Counter), defaultdict(Counter), Counter()
     for _, t, lang, *_ in rows:
-        for c in t or "":
-            hists[lang][classes(c)] += 1
         w = WORD.findall(t or "")
-        totals[lang] += len(w)
         shorts[lang].update(x.lower() for x in w if len(x) <= 4 and "," not in x)
+        if passes(w):
+            totals[lang] += len(w)
+            clean[lang].update(x.lower() for x in w if len(x) <= 4)
+            for c in t:
+                hists[lang][classes(c)] += 1
     refs = []
     for lang, n in totals.items():
         if n:
             top = sorted(shorts[lang].items(), key=lambda x: (-x[1], x[0]))[:16]
-            own = [k / n for _, k in top]
+            own = [clean[lang][x] / n for x, _ in top]
             refs.append(([v / sum(hists[lang]) for v in hists[lang]], [x for x, _ in top], [*own, 1 - sum(own)]))
     got = quality_rules.quality_rules(docs, keep=("text",)).collect()
     assert len(got) == len(rows)
@@ -214,7 +222,7 @@ def test_quality_rules(spark, docs, rows):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         assert r.word_chars == sum(map(len, w)) and r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert r.n_dup_lines == len(lines) - len(set(lines))
-        best = (2.0, None, None)
+        best = (math.inf, None, None)
         for chars, vocab, shares in refs:
             cd = wd = None
             if len(t) >= 100:
