@@ -1,11 +1,13 @@
 """Technical indicators as window columns; all families over one (symbol, date) window share its sort.
 
-A rolling value is null until its window is full. Recursive averages are folds over the
-symbol's ordered history in grouped Arrow batches, as no frame can express them.
+A rolling value is null until its window is full. Recursive averages are sums over blocks of
+rows whose weights are powers of what the average keeps.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,34 +122,172 @@ def month_turn(df: DataFrame) -> DataFrame:
     return df.withColumn("entry", F.month(F.date_add("date", 5)) != F.month("date")).withColumn("exit", third)
 
 
-def recursive_averages(df: DataFrame, c: str = "close") -> DataFrame:
-    """EMA 9, 12, 26 and MACD with signal and histogram, seeded by the first value, by grouped Arrow batches."""
-    import pandas as pd
+#: Rows of a block of a recursive average; weights within it stay far from overflow.
+BLOCK = 256
+
+
+def recursive(df: DataFrame, c: str, alpha: float, name: str, first: int = 1) -> DataFrame:
+    """``df`` with ``name``: the average that moves by ``alpha`` towards each row's ``c``, in window functions only.
+
+    It starts as the mean of the ``first`` values, at the last of them, and is null before. The
+    average at row j of a block is (1 - alpha) ** (j + 1) times (the average at the end of the
+    block before plus the sum of the block's values over (1 - alpha) ** (i + 1)); what earlier
+    blocks' sums still weigh falls by (1 - alpha) ** ``BLOCK`` a block, so a few of them hold
+    all that a double can. ``c`` must not be null.
+    """
+    keep = 1 - alpha
+    w = series()
+    df = df.withColumn("_p", F.row_number().over(w) - 1)
+    seed = F.avg(c).over(w.rowsBetween(-(first - 1), 0)) if first > 1 else F.col(c)
+    value = F.when(F.col("_p") < first - 1, 0.0).when(F.col("_p") == first - 1, seed).otherwise(alpha * F.col(c))
+    j = F.col("_p") % BLOCK
+    df = df.withColumn("_b", F.floor(F.col("_p") / BLOCK)).withColumn("_t", value / F.pow(F.lit(keep), j + 1))
+    own = F.sum("_t").over(W.partitionBy(BY, "_b").orderBy(AT).rowsBetween(W.unboundedPreceding, 0))
+    total = F.lit(0.0)
+    for k in range(1, max(1, math.ceil(45 / (BLOCK * -math.log(keep)))) + 1):
+        before = F.sum("_t").over(W.partitionBy(BY).orderBy("_b").rangeBetween(-k, -k))
+        total = total + F.coalesce(before, F.lit(0.0)) * keep ** (BLOCK * k)
+    return df.withColumn(name, F.when(F.col("_p") >= first - 1, F.pow(F.lit(keep), j + 1) * (total + own))).drop("_p", "_b", "_t")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        x = pdf[c]
-        ema = lambda v, n: v.ewm(span=n, adjust=False).mean()
-        macd = ema(x, 12) - ema(x, 26)
-        signal = ema(macd, 9)
-        return pd.DataFrame({BY: pdf[BY], AT: pdf[AT], c: x, "ema9": ema(x, 9), "ema12": ema(x, 12), "ema26": ema(x, 26), "macd": macd, "macd_signal": signal, "macd_hist": macd - signal})
+def ema(df: DataFrame, c: str, n: int, name: str) -> DataFrame:
+    """Exponential average with 2 / (n + 1), seeded by the first value."""
+    return recursive(df, c, 2 / (n + 1), name)
 
-    return df.select(BY, AT, c).groupBy(BY).applyInPandas(run, f"{BY} string, {AT} date, {c} double, ema9 double, ema12 double, ema26 double, macd double, macd_signal double, macd_hist double")
+
+def recursive_averages(df: DataFrame, c: str = "close") -> DataFrame:
+    """EMA 9, 12, 26 and MACD with signal and histogram, seeded by the first value."""
+    df = df.select(BY, AT, c)
+    for n in (9, 12, 26):
+        df = ema(df, c, n, f"ema{n}")
+    df = ema(df.withColumn("macd", F.col("ema12") - F.col("ema26")), "macd", 9, "macd_signal")
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def wilder_atr(df: DataFrame, n: int = 14) -> DataFrame:
     """Average true range, seeded by the mean of the first n, then Wilder's recursion."""
-    import numpy as np
+    return recursive(df.withColumn("tr", true_range()), "tr", 1 / n, "atr", n)
+
+
+def atr_bands(df: DataFrame, n: int = 14, k: float = 1.5) -> DataFrame:
+    """Bands of k average true ranges around the n-row mean of the close; 1 where the close falls under the lower, -1 over the upper."""
+    df = wilder_atr(df, n).withColumns({"atr_up": sma(n=n) + k * F.col("atr"), "atr_low": sma(n=n) - k * F.col("atr")})
+    return df.withColumn("signal", F.when(F.col("close") < F.col("atr_low"), 1).when(F.col("close") > F.col("atr_up"), -1).otherwise(0))
+
+
+def band_signal(df: DataFrame, up: str = "bb_up", low: str = "bb_low", c: str = "close") -> DataFrame:
+    """1 where the close comes back over the lower band, -1 where it comes back under the upper one."""
+    was_low, was_up = lag(c) < lag(low), lag(c) > lag(up)
+    return df.withColumn("signal", F.when(was_low & (F.col(c) >= F.col(low)), 1).when(was_up & (F.col(c) <= F.col(up)), -1).otherwise(0))
+
+
+def trend(df: DataFrame, n: int = 20, atr: int = 10) -> DataFrame:
+    """Highest close and population deviation of n rows and the average true range; 1 at a new high, -1 under it by two ranges."""
+    df = wilder_atr(df, atr).withColumns({"highest": rolling(F.max, "close", n), "deviation": rolling(F.stddev_pop, "close", n)})
+    return df.withColumn("signal", F.when(F.col("close") >= F.col("highest"), 1).when(F.col("close") < F.col("highest") - 2 * F.col("atr"), -1).otherwise(0))
+
+
+def prior_volume_by_dates(df: DataFrame, n: int = 20) -> DataFrame:
+    """(symbol, date, prior_volume, observations): over the last n dates of the whole table before a row's, skipping those without the symbol.
+
+    Dates are numbered once (one row a date); the frame is a range of these numbers.
+    """
+    calendar = df.select(AT).distinct().withColumn("_n", F.row_number().over(W.orderBy(AT)))
+    w = W.partitionBy(BY).orderBy("_n").rangeBetween(-n, -1)
+    return df.join(calendar, AT).select(BY, AT, F.avg("volume").over(w).alias("prior_volume"), F.count("volume").over(w).alias("observations"))
+
+
+def cci(n: int = 30) -> Column:
+    """(typical price - its mean) / (0.015 x mean absolute deviation) of n rows."""
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    held = F.collect_list(typical).over(series().rowsBetween(-(n - 1), 0))
+    mean = F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / n
+    spread = F.aggregate(held, F.lit(0.0), lambda s, x: s + F.abs(x - mean)) / n
+    return full(n, F.when(spread > 0, (typical - mean) / (0.015 * spread)))
+
+
+def directional(df: DataFrame, n: int = 30) -> DataFrame:
+    """dx: 100 x |plus - minus| / (plus + minus), of Wilder's averages of the directional moves over that of the true range."""
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    zero = F.lit(0.0)
+    df = df.withColumns({
+        "_up": F.coalesce(F.when((up > down) & (up > 0), up), zero), "_down": F.coalesce(F.when((down > up) & (down > 0), down), zero), "tr": true_range(),
+    })
+    for c in ("_up", "_down", "tr"):
+        df = recursive(df, c, 1 / n, f"{c}_avg")
+    plus, minus = 100 * F.col("_up_avg") / F.col("tr_avg"), 100 * F.col("_down_avg") / F.col("tr_avg")
+    dx = F.when(plus + minus > 0, 100 * F.abs(plus - minus) / (plus + minus)).otherwise(0.0)
+    return df.withColumn("dx", full(n, dx)).drop("_up", "_down", "_up_avg", "_down_avg", "tr_avg")
+
+
+def atr_divergence(df: DataFrame, atr: int = 7, k: float = 2.0, spread: int = 7, drift: int = 7, times: float = 1.0, compat: bool = False) -> DataFrame:
+    """1 where the true range leaves its mean by ``times`` deviations in an upward drift, -1 under the highest trailing stop.
+
+    The range is a simple mean of ``atr`` true ranges. Drift is the mean log return less half
+    its variance; it points up if above 0 and above its last two values (``compat``: above its
+    last two values, or above 0).
+    """
+    df = df.withColumn("_tr", true_range()).withColumn("atr", rolling(F.avg, "_tr", atr))
+    df = df.withColumns({"_stop": F.col("low") - k * F.col("atr"), "_ret": F.log(F.col("close") / lag("close"))})
+    mean, dev = (full(atr + spread - 1, f("atr").over(series().rowsBetween(-(spread - 1), 0))) for f in (F.avg, F.stddev_samp))
+    move = full(drift + 1, F.avg("_ret").over(series().rowsBetween(-(drift - 1), 0)) - 0.5 * F.pow(F.stddev_samp("_ret").over(series().rowsBetween(-(drift - 1), 0)), F.lit(2.0)))
+    df = df.withColumns({"_mean": mean, "_dev": dev, "drift": move, "stop": F.max("_stop").over(series().rowsBetween(W.unboundedPreceding, 0))})
+    rising = (F.col("drift") > lag("drift")) & (F.col("drift") > lag("drift", 2))
+    rising = rising | (F.col("drift") > 0) if compat else rising & (F.col("drift") > 0)
+    entry = (F.abs(F.col("atr") - F.col("_mean")) > times * F.col("_dev")) & rising
+    signal = F.when(F.col("low") < F.col("stop"), -1).when(entry, 1).otherwise(0)
+    return df.withColumn("signal", signal).drop("_tr", "_stop", "_ret", "_mean", "_dev")
+
+
+def zigzag(df: DataFrame, percent: float = 5.0) -> DataFrame:
+    """(symbol, date, close, pivot): 1 at confirmed tops, -1 at bottoms, of moves of at least ``percent``; else 0.
+
+    A top is confirmed by a fall of that much from it, a bottom by such a rise. A fold over a
+    symbol's rows in Arrow groups, as each pivot depends on the one before.
+    """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        tr, out = pdf["tr"].to_numpy(), np.full(len(pdf), np.nan)
-        if len(tr) >= n:
-            out[n - 1] = tr[:n].mean()
-            for i in range(n, len(tr)):
-                out[i] = (out[i - 1] * (n - 1) + tr[i]) / n
-        return pd.DataFrame({BY: pdf[BY], AT: pdf[AT], "tr": tr, "atr": pd.array(out, "Float64")})
-
-    rows = df.withColumn("tr", true_range()).select(BY, AT, "tr")
-    return rows.groupBy(BY).applyInPandas(run, f"{BY} string, {AT} date, tr double, atr double")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(AT)
+        close, out = rows["close"].to_list(), [0] * len(rows)
+        way, top, bottom = 0, 0, 0
+        for i, x in enumerate(close):
+            top, bottom = (i if x > close[top] else top), (i if x < close[bottom] else bottom)
+            if way >= 0 and x <= close[top] * (1 - percent / 100):
+                out[top], way, bottom = (1 if way or top else 0), -1, i
+            elif way <= 0 and x >= close[bottom] * (1 + percent / 100):
+                out[bottom], way, top = (-1 if way or bottom else 0), 1, i
+        return pd.DataFrame({BY: rows[BY], AT: rows[AT], "close": rows["close"], "pivot": out})
+
+    return df.select(BY, AT, "close").groupBy(BY).applyInPandas(run, f"{BY} string, {AT} date, close double, pivot int")
+
+
+def price_moves(df: DataFrame, back: tuple[int, ...] = (1, 7, 14), ahead: tuple[int, ...] = (1, 7, 14), c: str = "close") -> DataFrame:
+    """Relative moves over the last and the next k rows."""
+    now = F.col(c)
+    return df.withColumns({f"past_{k}": now / lag(c, k) - 1 for k in back} | {f"next_{k}": F.lead(c, k).over(series()) / now - 1 for k in ahead})
+
+
+def feedback(df: DataFrame, shares: str = "shares", c: str = "close", window: int = 7, moment: int = 3) -> DataFrame:
+    """Signs of the gain of the last ``window`` moves with the shares held before each, and of the last ``moment`` moves of the price; null before there are that many."""
+    move = F.col(c) - lag(c)
+    df = df.withColumns({"_move": move, "_gain": move * lag(shares)})
+    total = lambda x, n: full(n + 1, F.signum(F.sum(x).over(series().rowsBetween(-(n - 1), 0)))).cast("int")
+    return df.withColumns({"feedback": total("_gain", window), "moment": total("_move", moment)}).drop("_move", "_gain")
+
+
+#: Names of signal columns and how they are made; every function adds a ``signal`` column.
+SIGNALS = {
+    "atr_bands": atr_bands, "bollinger": lambda df: band_signal(bollinger(df)), "trend": trend, "sma_cross": lambda df: cross(df, sma(n=10), sma(n=20), "signal"),
+    "wma_cross": lambda df: cross(df, wma(n=10), wma(n=20), "signal"), "atr_divergence": atr_divergence,
+}
+
+
+def latest_signals(df: DataFrame, day, names: tuple[str, ...] = ("atr_bands", "bollinger", "sma_cross", "atr_divergence")) -> DataFrame:
+    """(symbol, strategy, date, signal) of each symbol's last row up to ``day``, for every named rule."""
+    rows = df.where(F.col(AT) <= F.lit(day).cast("date"))
+    parts = [SIGNALS[n](rows).groupBy(BY).agg(F.max(AT).alias(AT), F.max_by("signal", AT).alias("signal")).select(BY, F.lit(n).alias("strategy"), AT, "signal") for n in names]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Most queries that are broadcast at once.
+BLOCK = 10_000
+
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -17,10 +22,17 @@ def squared_distance(a, b) -> Column:
 
 
 def nearest(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot") -> DataFrame:
-    """The k nearest of the store (id, v) for each query (qid, q); a stated set of queries, broadcast against all rows."""
+    """The k nearest of the store (id, v) for each query (qid, q); a stated set of queries against all rows.
+
+    Queries go in blocks of at most ``BLOCK`` rows to every row of the store, each block a
+    broadcast of known size; the best k of a block's part are kept before they meet.
+    """
     score = dot("v", "q") if metric == "dot" else squared_distance("v", "q")
     order = F.desc("score") if metric == "dot" else F.asc("score")
-    scored = store.join(F.broadcast(queries)).select("qid", "id", score.alias("score"))
+    n = queries.count()
+    blocks = [queries] if n <= BLOCK else [queries.where(F.expr(f"pmod(xxhash64(qid), {-(-n // BLOCK)}) = {i}")) for i in range(-(-n // BLOCK))]
+    found = [store.join(F.broadcast(b)).select("qid", "id", score.alias("score")) for b in blocks]
+    scored = reduce(DataFrame.unionByName, found)
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
 
 
@@ -31,3 +43,175 @@ def compound(recency, importance) -> Column:
 def decay(age, importance, recency_factor: float = 10.0, importance_factor: float = 0.988) -> tuple[Column, Column]:
     """(recency, importance) after ``age`` steps, in closed form."""
     return F.exp(-F.col(age) / recency_factor), F.col(importance) * F.pow(F.lit(importance_factor), F.col(age))
+
+
+def cosine(a, b) -> Column:
+    """Cosine of two vectors; 0 where one has no length."""
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def normalised(v) -> Column:
+    """A vector over its length; one without length stays."""
+    size = F.sqrt(dot(v, v))
+    return F.when(size > 0, F.transform(F.col(v), lambda x: x.cast("double") / size)).otherwise(F.transform(F.col(v), lambda x: x.cast("double")))
+
+
+def _met(store: DataFrame, queries: DataFrame, on: list[str]) -> DataFrame:
+    """Every query with the store's rows of its group (``on``) or, without one, with all, queries in blocks of known size."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    parts = [queries if blocks == 1 else queries.where(F.expr(f"pmod(xxhash64(qid), {blocks}) = {i}")) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [store.join(F.broadcast(p), on) if on else store.join(F.broadcast(p)) for p in parts])
+
+
+def nearest_in_group(store: DataFrame, queries: DataFrame, k: int = 5, group: str = "symbol") -> DataFrame:
+    """(group, qid, id, score, rank): the k largest products of a query with the normalised vectors (group, id, v) of its own group; the query (group, qid, q) isn't normalised."""
+    scored = _met(store.withColumn("v", normalised("v")), queries, [group]).select(group, "qid", "id", dot("v", "q").alias("score"))
+    rank = F.row_number().over(W.partitionBy(group, "qid").orderBy(F.desc("score"), "id")).cast("long")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def hybrid(store: DataFrame, queries: DataFrame, k: int = 5, group: str = "symbol", compat: bool = False) -> DataFrame:
+    """(group, qid, id, score): of the k nearest and the k with the highest compound score, the k best by both together, in order of id.
+
+    The store has (group, id, v, compound). ``compat`` takes the k with the lowest compound
+    score, and counts a row that is among both sets twice before it cuts to k.
+    """
+    met = _met(store.withColumn("v", normalised("v")), queries, [group]).select(group, "qid", "id", "compound", dot("v", "q").alias("near"))
+    by = W.partitionBy(group, "qid")
+    near = F.row_number().over(by.orderBy(F.desc("near"), "id")) <= k
+    strong = F.row_number().over(by.orderBy(F.asc("compound") if compat else F.desc("compound"), "id")) <= k
+    met = met.withColumns({"near_k": near, "strong_k": strong, "score": F.col("near") + F.col("compound")}).where("near_k OR strong_k")
+    if compat:
+        met = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("near_k").cast("int") + F.col("strong_k").cast("int"))))
+    best = met.withColumn("_r", F.row_number().over(by.orderBy(F.desc("score"), "id"))).where(F.col("_r") <= k)
+    return best.groupBy(group, "qid", "id").agg(F.max("score").alias("score")).orderBy(group, "qid", "id")
+
+
+def recall(events: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.1, decay_rate: float = 0.95) -> DataFrame:
+    """(qid, id, score, rank): events (id, v, importance, days) of cosine at least ``least``, by cosine + importance x rate ** days."""
+    scored = _met(events, queries, []).withColumn("near", cosine("v", "q")).where(F.col("near") >= least)
+    scored = scored.select("qid", "id", (F.col("near") + F.col("importance") * F.pow(F.lit(decay_rate), F.col("days"))).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
+
+
+def prune(events: DataFrame, most: int, decay_rate: float = 0.95) -> DataFrame:
+    """The ``most`` events of the largest importance x rate ** days x (1 + 0.1 x accesses); every task keeps that many."""
+    worth = F.col("importance") * F.pow(F.lit(decay_rate), F.col("days")) * (1 + 0.1 * F.col("access_count"))
+    return events.withColumn("worth", worth).orderBy(F.desc("worth"), "id").limit(most)
+
+
+def many_queries(queries: DataFrame, types: dict[str, str], text: str = "text") -> DataFrame:
+    """Each query once for every type, with the type's words after it."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("words")) for k, v in types.items()])
+    return queries.withColumn("_k", F.explode(kinds)).withColumns({"kind": F.col("_k.kind"), text: F.concat_ws(" ", text, F.when(F.col("_k.words") != "", F.col("_k.words")))}).drop("_k")
+
+
+# The layers' starting importances with their shares, decay, clean-up and jumps.
+LAYERS = {
+    "short": {"start": ((50.0, 0.5), (70.0, 0.45), (90.0, 0.05)), "recency": 3.0, "importance": 0.92, "least": (0.05, 5.0), "down": None, "up": 60.0},
+    "mid": {"start": ((40.0, 0.05), (60.0, 0.8), (80.0, 0.15)), "recency": 90.0, "importance": 0.967, "least": (0.05, 5.0), "down": 60.0, "up": 80.0},
+    "long": {"start": ((40.0, 0.05), (60.0, 0.15), (80.0, 0.8)), "recency": 365.0, "importance": 0.988, "least": (0.05, 5.0), "down": 80.0, "up": None},
+    "reflection": {"start": ((40.0, 0.05), (60.0, 0.15), (80.0, 0.8)), "recency": 365.0, "importance": 0.988, "least": (0.05, 5.0), "down": None, "up": None},
+}
+
+
+def first_importance(layer="layer", key="id", seed: int = 0) -> Column:
+    """A starting importance drawn by the layer's shares; the draw is a hash of key and seed, so reruns agree."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), 1, 6), 16, 10).cast("double") / float(1 << 24)
+    out = F.lit(None).cast("double")
+    for name, p in LAYERS.items():
+        draw, upto = F.lit(p["start"][-1][0]), 1.0
+        for value, share in reversed(p["start"][:-1]):
+            upto = sum(s for v, s in p["start"] if v <= value)
+            draw = F.when(u < upto, F.lit(value)).otherwise(draw)
+        out = F.when(F.col(layer) == name, draw).otherwise(out)
+    return out
+
+
+def survivors(items: DataFrame, layer: str = "short") -> DataFrame:
+    """Items (id, age, importance) of one layer after ``age`` steps that clean-up has left: both scores only fall, so the last step decides."""
+    p = LAYERS[layer]
+    recency, importance = decay("age", "importance", p["recency"], p["importance"])
+    rows = items.select("id", "age", recency.alias("recency"), importance.alias("importance"))
+    return rows.where((F.col("recency") >= p["least"][0]) & (F.col("importance") >= p["least"][1])).withColumn("compound", compound("recency", "importance"))
+
+
+LIFE = "symbol string, id long, layer string, importance double, recency double, age int, accesses int, jumps int, removed int"
+
+
+class Layers:
+    """One symbol's memories: a step decays them, cleans up, and moves them between layers twice over."""
+
+    ORDER = ("short", "mid", "long")
+
+    def __init__(self):
+        self.items: dict[int, dict] = {}
+
+    def add(self, key: int, layer: str, importance: float) -> None:
+        self.items[key] = {"layer": layer, "importance": float(importance), "recency": 1.0, "age": 0, "accesses": 0, "jumps": 0, "removed": None}
+
+    def feed(self, key: int, value: int) -> None:
+        """Feedback on a memory: its counter moves, and its importance by five times the counter."""
+        x = self.items.get(key)
+        if x and x["removed"] is None:
+            x["accesses"] += value
+            x["importance"] += 5.0 * x["accesses"]
+
+    def step(self, day: int) -> None:
+        import math
+
+        alive = [x for x in self.items.values() if x["removed"] is None]
+        for x in alive:
+            p = LAYERS[x["layer"]]
+            x["age"] += 1
+            x["recency"] = math.exp(-x["age"] / p["recency"])
+            x["importance"] *= p["importance"]
+            if x["recency"] < p["least"][0] or x["importance"] < p["least"][1]:
+                x["removed"] = day
+        alive = [x for x in alive if x["removed"] is None and x["layer"] in self.ORDER]
+        for _ in range(2):
+            for place, name in enumerate(self.ORDER):
+                p = LAYERS[name]
+                for x in [x for x in alive if x["layer"] == name]:
+                    if p["up"] is not None and x["importance"] >= p["up"]:
+                        x.update(layer=self.ORDER[place + 1], recency=1.0, age=0, jumps=x["jumps"] + 1)
+                    elif p["down"] is not None and x["importance"] < p["down"]:
+                        x.update(layer=self.ORDER[place - 1], jumps=x["jumps"] + 1)
+
+
+def lifecycle(items: DataFrame, days: int, feedback: DataFrame | None = None) -> DataFrame:
+    """``LIFE`` rows of items (symbol, id, layer, importance, day) after days 1 to ``days``; ``removed`` is the day of clean-up, or null.
+
+    An item joins on its day before the step, feedback (symbol, id, day, value) comes after
+    the step. Symbols are independent: an Arrow group holds one symbol's items.
+    """
+    import pandas as pd
+
+    rows = items.select("symbol", "id", "layer", F.col("importance").cast("double"), F.col("day").cast("int"), F.lit(None).cast("int").alias("value"))
+    if feedback is not None:
+        rows = rows.unionByName(feedback.select("symbol", "id", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("double").alias("importance"), F.col("day").cast("int"), F.col("value").cast("int")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        symbol, layers = pdf["symbol"].iloc[0], Layers()
+        by_day = {d: g for d, g in pdf.sort_values("id").groupby("day")}
+        for day in range(1, days + 1):
+            today = by_day.get(day)
+            if today is not None:
+                for r in today[today["value"].isna()].itertuples():
+                    layers.add(int(r.id), r.layer, r.importance)
+            layers.step(day)
+            if today is not None:
+                for r in today[today["value"].notna()].itertuples():
+                    layers.feed(int(r.id), int(r.value))
+        out = [(symbol, k, x["layer"], x["importance"], x["recency"], x["age"], x["accesses"], x["jumps"], x["removed"]) for k, x in layers.items.items()]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LIFE.split(", ")]).astype({"removed": "Int32"})
+
+    return rows.groupBy("symbol").applyInPandas(run, LIFE)
+
+
+def upserted(store: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """The store after changes (key, ..., gone): rows of a changed key are replaced or, where ``gone``, deleted; the others stay."""
+    kept = store.join(changes.select(key), key, "left_anti")
+    return kept.unionByName(changes.where(~F.coalesce("gone", F.lit(False))).select(*store.columns))

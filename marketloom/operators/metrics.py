@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,18 +38,46 @@ def risk(rets: DataFrame, by: str = "symbol", rate: float = 0.03, least: int = 5
 
 
 def moments(rets: DataFrame, by: str = "symbol", least: int = 30) -> DataFrame:
-    """Mean, deviation, population skew and excess kurtosis, 5 % value at risk and the mean at or below it."""
-    var = F.percentile("ret", F.lit(0.05))
-    agg = rets.where("ret IS NOT NULL").groupBy(by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"), var.alias("var5"))
-    tail = rets.join(agg.select(by, "var5"), by).where("ret <= var5").groupBy(by).agg(F.avg("ret").alias("cvar5"))
-    return agg.where(F.col("n") >= least).join(tail, by)
+    """Mean, deviation, population skew and excess kurtosis, 5 % value at risk, the mean at or below it, and trailing 30 and 90 day returns (mean times days).
 
+    One aggregation: a group's sorted returns (a symbol's days) give the quantile and its tail.
+    """
+    agg = rets.where("ret IS NOT NULL").groupBy(by).agg(
+        F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"),
+        F.array_sort(F.collect_list("ret")).alias("_sorted"), F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("date", "ret")))), 1, 90), lambda x: x["ret"]).alias("_last"),
+    ).where(F.col("n") >= least)
+    at = (F.col("n") - 1) * 0.05
+    low = F.get("_sorted", F.floor(at).cast("int"))
+    agg = agg.withColumn("var5", low + (at - F.floor(at)) * (F.get("_sorted", F.ceil(at).cast("int")) - low))
+    tail = F.filter("_sorted", lambda x: x <= F.col("var5"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    trailing = {f"trailing_{k}": total(F.slice("_last", 1, k)) / F.least(F.size("_last"), F.lit(k)) * k for k in (30, 90)}
+    return agg.withColumns({"cvar5": total(tail) / F.size(tail)} | trailing).drop("_sorted", "_last")
 
-def correlations(rets: DataFrame, by: str = "symbol") -> DataFrame:
-    """(a, b, n, corr) of every pair of symbols over their common dates; symbols are few, dates many."""
-    r = rets.where("ret IS NOT NULL")
-    left, right = r.select("date", F.col(by).alias("a"), F.col("ret").alias("x")), r.select("date", F.col(by).alias("b"), F.col("ret").alias("y"))
-    return left.join(right, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+
+def correlations(rets: DataFrame, by: str = "symbol", days: int = 256) -> DataFrame:
+    """(a, b, n, corr) of every pair of symbols over their common dates.
+
+    Dates go in blocks of ``days``: a block's returns are a matrix, whose products with itself
+    give every pair's sums, so a pair costs a row a block and not one a date.
+    """
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot_table(index="date", columns=by, values="ret", aggfunc="first")
+        have = wide.notna().to_numpy(float)
+        x = np.nan_to_num(wide.to_numpy(float))
+        i, j = np.triu_indices(x.shape[1], 1)
+        names = wide.columns.to_numpy()
+        parts = {"n": have.T @ have, "sx": x.T @ have, "sy": have.T @ x, "sxx": (x * x).T @ have, "syy": have.T @ (x * x), "sxy": x.T @ x}
+        return pd.DataFrame({"a": names[i], "b": names[j]} | {k: v[i, j] for k, v in parts.items()})
+
+    # blocks are of the dates' own numbers, so no order is needed
+    blocks = rets.where("ret IS NOT NULL").select("date", by, F.col("ret").cast("double"), F.floor(F.datediff("date", F.lit("1970-01-01")) / days).alias("_block"))
+    got = blocks.groupBy("_block").applyInPandas(sums, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    t = got.where("n > 0").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    return t.select("a", "b", F.col("n").cast("long").alias("n"), F.when(spread > 0, cov / F.sqrt(spread)).alias("corr"))
 
 
 def report(results: DataFrame, metric: str = "total_return") -> DataFrame:
@@ -56,3 +86,82 @@ def report(results: DataFrame, metric: str = "total_return") -> DataFrame:
     level = F.grouping_id("win", "ticker")
     g = view.groupingSets([["win", "ticker"], ["ticker"], []], "win", "ticker").agg(level.alias("level"), (F.avg("m") * 100).alias("mean_pct"), F.count("m").alias("cells"))
     return g.select(F.when(F.col("level") == 0, F.col("win").cast("string")).otherwise("Average").alias("win"), F.when(F.col("level") == 3, "All").otherwise(F.col("ticker")).alias("ticker"), "mean_pct", "cells")
+
+
+def report_text(results: DataFrame, metrics: dict[str, float]) -> DataFrame:
+    """``report`` of several metrics, each times its factor, as texts of three decimals: what a results table prints."""
+    level = F.grouping_id("win", "ticker")
+    g = results.groupingSets([["win", "ticker"], ["ticker"], []], "win", "ticker").agg(level.alias("level"), *[F.format_string("%.3f", F.avg(m) * k).alias(m) for m, k in metrics.items()])
+    return g.select(F.when(F.col("level") == 0, F.col("win").cast("string")).otherwise("Average").alias("win"), F.when(F.col("level") == 3, "All").otherwise(F.col("ticker")).alias("ticker"), *metrics)
+
+
+def broker_returns(rets: DataFrame, cash: float, by: str = "symbol", rate: float = 0.03) -> DataFrame:
+    """(by, annual_return, volatility, sharpe, sortino) of an equity that began with ``cash``.
+
+    The exponent is 252 over the number of returns, a negative last value counts as 0, and
+    equities that never move have zeros.
+    """
+    r = risk(rets, by, rate)
+    own = rets.groupBy(by).agg(F.max_by("equity", "date").alias("_end"), F.count("ret").alias("_n"), F.max(F.abs("ret")).alias("_any"))
+    still = (F.col("_n") == 0) | (F.coalesce("_any", F.lit(0.0)) == 0)
+    annual = F.pow(F.greatest("_end", F.lit(0.0)) / cash, YEAR / F.greatest("_n", F.lit(1))) - 1
+    zero = lambda c: F.when(still, 0.0).otherwise(c)
+    return r.join(own, by).select(by, zero(annual).alias("annual_return"), *[zero(F.col(c)).alias(c) for c in ("volatility", "sharpe", "sortino")])
+
+
+def zero_records(rets: DataFrame, by: str = "symbol", cash: float = 100_000.0, rate: float = 0.03) -> DataFrame:
+    """``risk`` with the record of groups of at most one equity point: the cash they began with and zeros."""
+    r = risk(rets, by, rate)
+    own = rets.groupBy(by).agg(F.count("equity").alias("_points"), F.max_by("equity", "date").alias("_end"))
+    names = ("total_return", "annual_return", "volatility", "sharpe", "sortino", "max_drawdown")
+    few = F.col("_points") <= 1
+    return r.join(own, by).select(by, "n", F.when(few, F.lit(float(cash))).otherwise(F.col("_end")).alias("final_value"), *[F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in names])
+
+
+def ratio_metrics(rets: DataFrame, by: str = "symbol") -> DataFrame:
+    """(by, arr, vol, dd, mdd, sr, cr, sor): simple annual return, population deviations of all and of negative returns, drawdown, and ratios of the mean to them.
+
+    The running product is the exponential of a running sum of logarithms, with zero from a
+    loss of everything on.
+    """
+    w = W.partitionBy(by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    r = rets.where("ret IS NOT NULL").withColumn("_v", F.when(F.min("ret").over(w) <= -1, 0.0).otherwise(F.exp(F.sum(F.log1p(F.greatest(F.col("ret"), F.lit(-1 + 1e-300)))).over(w))))
+    r = r.withColumn("_dd", 1 - F.col("_v") / F.max("_v").over(w))
+    n, mean, vol = F.count("*"), F.avg("ret"), F.stddev_pop("ret")
+    dd = F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret")))
+    g = r.groupBy(by).agg(((F.max_by("_v", "date") - 1) / n * YEAR).alias("arr"), vol.alias("vol"), dd.alias("dd"), F.max("_dd").alias("mdd"), (mean * F.sqrt(n)).alias("_sr"), (mean * YEAR).alias("_m"))
+    over = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    return g.select(by, "arr", "vol", "dd", "mdd", over("_sr", "vol").alias("sr"), over("_m", "mdd").alias("cr"), over("_m", "dd").alias("sor"))
+
+
+def validation_sharpe(rets: DataFrame, by: str = "symbol") -> DataFrame:
+    """(by, sharpe): twice the mean over the deviation; without any variance infinite for a gain, else 0."""
+    g = rets.groupBy(by).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
+    return g.select(by, F.when(F.col("s") == 0, F.when(F.col("m") > 0, float("inf")).otherwise(0.0)).otherwise(2 * F.col("m") / F.col("s")).alias("sharpe"))
+
+
+def turbulence_limits(risk_by_date: DataFrame, first: str, last: str, at: str, days: int = 63, compat: bool = False) -> DataFrame:
+    """(limit, usual, recent): the turbulence over which to sell, from the in-sample dates [first, last) and the ``days`` dates up to ``at``.
+
+    A market calmer than the in-sample 90 % quantile gets the largest in-sample value, another
+    one that quantile; ``compat`` always gives the 99 % quantile. The tables are one row a date.
+    """
+    inside = risk_by_date.where((F.col("date") >= F.lit(first).cast("date")) & (F.col("date") < F.lit(last).cast("date")))
+    q = inside.agg(F.percentile("turbulence", F.lit(0.9)).alias("usual"), F.max("turbulence").alias("most"), F.percentile("turbulence", F.lit(0.99)).alias("rare"))
+    recent = risk_by_date.where(F.col("date") <= F.lit(at).cast("date")).orderBy(F.desc("date")).limit(days).agg(F.avg("turbulence").alias("recent"))
+    limit = F.col("rare") if compat else F.when(F.col("recent") > F.col("usual"), F.col("usual")).otherwise(F.col("most"))
+    return q.join(F.broadcast(recent)).select(limit.alias("limit"), "usual", "recent")
+
+
+def reported_risk(rets: DataFrame, by: str = "symbol", rate: float = 0.03, least_volatility: float = 0.005) -> DataFrame:
+    """Risk recomputed from a saved equity: Sharpe is null, with a status, where the volatility is next to none."""
+    r = risk(rets, by, rate)
+    defined = F.col("volatility") >= least_volatility
+    return r.select(by, "n", "volatility", F.col("sharpe").alias("recomputed_sharpe"), F.when(defined, F.col("sharpe")).alias("reported_sharpe"), "sortino", F.when(defined, "defined").otherwise("near_zero_volatility").alias("sharpe_status"))
+
+
+def cost_rollup(trades: DataFrame, by: tuple[str, ...] = ("win", "ticker"), external: str | None = None) -> DataFrame:
+    """Sums of commission, slippage and external costs of each group, and of all three."""
+    outside = F.coalesce(F.sum(external), F.lit(0.0)) if external else F.lit(0.0)
+    g = trades.groupBy(*by).agg(F.coalesce(F.sum("commission"), F.lit(0.0)).alias("commission"), F.coalesce(F.sum("slippage_cost"), F.lit(0.0)).alias("slippage"), outside.alias("external"))
+    return g.withColumn("total_cost", F.col("commission") + F.col("slippage") + F.col("external"))

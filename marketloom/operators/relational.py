@@ -81,18 +81,25 @@ def state_window(rows: DataFrame, at: DataFrame, back: int, forward: int = 0) ->
 
 
 def calendar_grid(df: DataFrame) -> DataFrame:
-    """A row for each symbol and calendar day between the table's first and last."""
-    ends = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    return df.select("symbol").distinct().join(F.broadcast(ends))
+    """A row for each symbol and calendar day between the table's first and last; the ends are one row."""
+    ends = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return df.select("symbol").distinct().join(F.broadcast(ends)).select("symbol", F.explode(F.sequence("lo", "hi")).alias("date"))
 
 
 def gap_fill(df: DataFrame) -> DataFrame:
-    """A missing bar repeats the previous close in all prices with volume 0; before the first bar its close; none at all: 0."""
-    full = calendar_grid(df).join(df, ["symbol", "date"], "left")
+    """A missing bar repeats the previous close in all prices with volume 0; before the first bar its close; none at all: 0.
+
+    Each bar is exploded over the days it stands for, up to the symbol's next bar (the first
+    one also over the days before it), so that the grid needs no join.
+    """
     w = W.partitionBy("symbol").orderBy("date")
+    ends = df.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))  # one row
     close = F.coalesce(F.last("close", True).over(w), F.first("close", True).over(w.rowsBetween(0, W.unboundedFollowing)), F.lit(0.0))
-    full = full.withColumn("_c", close)
-    return full.select("symbol", "date", *[F.coalesce(c, "_c").alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    bars = df.withColumns({"_c": close, "_before": F.lag("date").over(w), "_next": F.lead("date").over(w)}).join(F.broadcast(ends))
+    first = F.when(F.col("_before").isNull(), F.col("_lo")).otherwise(F.col("_own"))
+    days = bars.withColumnRenamed("date", "_own").withColumn("date", F.explode(F.sequence(first, F.coalesce(F.date_sub("_next", 1), "_hi"))))
+    own = lambda c: F.when(F.col("date") == F.col("_own"), F.col(c))
+    return days.select("symbol", "date", *[F.coalesce(own(c), "_c").alias(c) for c in ("open", "high", "low", "close")], F.coalesce(own("volume"), F.lit(0.0)).alias("volume"))
 
 
 def rolling_windows(spark, first: str, last: str, size: int, step: int = 1) -> DataFrame:

@@ -27,13 +27,15 @@ class TradeConfig:
     slippage_impact: float = 0.0
     liquidity_pct: float = 0.0
     liquidity_days: int = 20
-    require_history: bool = False
+    min_history: int = 1
 
     def __post_init__(self):
         if self.timing not in ("same_close", "next_open"):
             raise ValueError("timing must be same_close or next_open")
         if self.cash <= 0 or min(self.commission_per_share, self.min_commission, self.max_commission_rate, self.slippage_perc, self.slippage_impact, self.liquidity_pct) < 0:
             raise ValueError("cash must be positive, rates must not be negative")
+        if self.liquidity_days < 1 or self.min_history < 1:
+            raise ValueError("liquidity is measured over at least one day")
 
     def commission(self, q: float, p: float) -> float:
         return 0.0 if q <= 0 or p <= 0 else min(max(q * self.commission_per_share, self.min_commission), q * p * self.max_commission_rate)
@@ -88,12 +90,11 @@ class Account:
         seen = [b["volume"] for b in self.bars[max(0, self.at - c.liquidity_days) : self.at] if b["volume"] is not None]
         average = sum(seen) / len(seen) if seen else None
         if c.liquidity_pct > 0 and not force:
-            if average is None and c.require_history:
+            if len(seen) < c.min_history:
                 return self._reject(side, asked, price, signal, "insufficient_liquidity_history")
-            if average is not None:
-                quantity = min(quantity, math.floor(average * c.liquidity_pct))
-        if quantity <= 0:
-            return self._reject(side, asked, price, signal, "insufficient_holdings" if side == "sell" and self.shares == 0 else "insufficient_cash" if side == "buy" and self.cash < price else "zero_quantity")
+            quantity = min(quantity, math.floor(average * c.liquidity_pct))
+        if quantity <= 0:  # nothing to sell, less cash than a share costs, or a cap of none
+            return self._reject(side, asked, price, signal, "zero_quantity")
 
         def cost(q: int) -> tuple[float, float, float]:
             part = q / average if average else 0.0
@@ -182,29 +183,61 @@ def backtest(bars: DataFrame, strategy: Callable[[Account], None] = buy_and_hold
     return bars.groupBy("win", "ticker").applyInPandas(run, SCHEMAS[output])
 
 
-def hindsight(prices: list[float], cash: float, fee: float) -> tuple[float, list[str]]:
-    """The best final value of trading all in or all out with a proportional fee, and the actions."""
-    n = len(prices)
-    out, held = [cash] + [0.0] * (n - 1), [cash * (1 - fee) / prices[0]] + [0.0] * (n - 1)
-    from_out, from_held = [False] * n, [True] * n
-    for i in range(1, n):
-        sell, buy = held[i - 1] * prices[i] * (1 - fee), out[i - 1] * (1 - fee) / prices[i]
-        out[i], from_held[i] = (sell, True) if sell > out[i - 1] else (out[i - 1], False)
-        held[i], from_out[i] = (buy, True) if buy > held[i - 1] else (held[i - 1], False)
-    final = max(out[-1], held[-1] * prices[-1] * (1 - fee)) if n > 1 else cash
-    holding = held[-1] * prices[-1] > out[-1]
-    final = max(out[-1], held[-1] * prices[-1])
-    actions = []
-    for i in range(n - 1, -1, -1):
-        if holding:
-            turned = from_out[i] if i else True
-            actions.append("BUY" if turned else "HOLD")
-            holding = not turned
-        else:
-            turned = from_held[i] if i else False
-            actions.append("SELL" if turned else "HOLD")
-            holding = turned
-    return final, actions[::-1]
+def hindsight(prices: list[float], cash: float, fee: float, most_sells: int | None = None) -> tuple[float, list[str]]:
+    """The final value and the actions of the best trading of whole shares, all in or all out, at a proportional fee.
+
+    Paths are (value today, cash, shares, actions as a linked list); of two that end a day in
+    the same state the more valuable stays, of equal ones the one that trades. With
+    ``most_sells`` the sales so far are part of the state, and at most that many are made.
+    No prices: a value of 0 and no actions.
+    """
+    if not prices:
+        return 0, []
+    counts = range(most_sells + 1) if most_sells is not None else (0,)
+    worth = lambda path, price: path[0] + path[1] * price
+
+    def bought(path, price):
+        n = math.floor(path[0] / (price * (1 + fee)))
+        return path[0] - n * price * (1 + fee), path[1] + n, ("BUY", path[2])
+
+    def sold(path, price):
+        return path[0] + path[1] * price * (1 - fee), 0, ("SELL", path[2])
+
+    def better(kept, traded, price):
+        kept = kept and (kept[0], kept[1], ("HOLD", kept[2]))
+        if kept is None or traded is None:
+            return kept or traded
+        return kept if worth(kept, price) > worth(traded, price) else traded
+
+    start = (cash, 0, None)
+    # (sales so far) -> the best path out of and in the market
+    flat: dict[int, tuple | None] = {0: (cash, 0, ("HOLD", None))}
+    held: dict[int, tuple | None] = {0: bought(start, prices[0])}
+    for price in prices[1:]:
+        before_flat, before_held = flat, held
+        flat, held = {}, {}
+        for k in counts:
+            sale = before_held.get(k if most_sells is None else k - 1)
+            flat[k] = better(before_flat.get(k), sale and sold(sale, price), price)
+            entry = before_flat.get(k)
+            held[k] = better(before_held.get(k), entry and bought(entry, price), price)
+    best = max((p for lane in (flat, held) for p in lane.values() if p), key=lambda p: worth(p, prices[-1]))
+    actions, node = [], best[2]
+    while node:
+        actions.append(node[0])
+        node = node[1]
+    return worth(best, prices[-1]), actions[::-1]
+
+
+def hindsight_actions(bars: DataFrame, cash: float = 1000.0, fee: float = 0.001, most_sells: int | None = None) -> DataFrame:
+    """(win, ticker, date, action, final) of the best trading of each group's (win, ticker, date, price)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        final, actions = hindsight(rows["price"].tolist(), cash, fee, most_sells)
+        return rows[["win", "ticker", "date"]].assign(action=actions, final=float(final))
+
+    return bars.select("win", "ticker", "date", F.col("price").cast("double")).groupBy("win", "ticker").applyInPandas(run, "win string, ticker string, date date, action string, final double")
 
 
 def trading_env(bars: DataFrame, initial: float = 10_000.0, cost: float = 1e-3, fade: float = 0.99) -> DataFrame:

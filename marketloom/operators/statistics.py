@@ -9,10 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def pairs(rets: DataFrame, by: str = "symbol", value: str = "ret") -> DataFrame:
-    """(a, b, date, x, y) of every two groups on their common dates; groups are few, dates many."""
+def pairs(rets: DataFrame, by: str = "symbol", value: str = "ret", chosen: DataFrame | None = None) -> DataFrame:
+    """(a, b, date, x, y) on common dates of the ``chosen`` pairs (a, b) of groups, or of all.
+
+    All pairs are as many as the square of the groups, for each date: for strategies or
+    portfolios, of which there are tens. For thousands of groups give the pairs to test.
+    """
     r = rets.where(F.col(value).isNotNull())
     left = r.select("date", F.col(by).alias("a"), F.col(value).alias("x"))
+    if chosen is not None:
+        return chosen.select("a", "b").distinct().join(left, "a").join(r.select("date", F.col(by).alias("b"), F.col(value).alias("y")), ["date", "b"]).select("date", "a", "x", "b", "y")
     return left.join(r.select("date", F.col(by).alias("b"), F.col(value).alias("y")), "date").where("a < b")
 
 
@@ -33,10 +39,11 @@ def wilcoxon(paired: DataFrame) -> DataFrame:
     return sums.select("a", "b", "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / spread).alias("z"))
 
 
-def episode_overlap(episodes: DataFrame) -> DataFrame:
-    """(a, b, steps, overlap): share of positions at which two episodes (episode, pos, action) act alike."""
+def episode_overlap(episodes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(a, b, steps, overlap): share of positions at which two episodes (episode, pos, action) act alike, of the ``chosen`` pairs or of all (tens of episodes)."""
     left, right = episodes.select(F.col("episode").alias("a"), "pos", F.col("action").alias("x")), episodes.select(F.col("episode").alias("b"), "pos", F.col("action").alias("y"))
-    return left.join(right, "pos").where("a < b").groupBy("a", "b").agg(F.count("*").alias("steps"), F.avg((F.col("x") == F.col("y")).cast("int")).alias("overlap"))
+    both = left.join(right, "pos").where("a < b") if chosen is None else chosen.select("a", "b").distinct().join(left, "a").join(right, ["b", "pos"])
+    return both.groupBy("a", "b").agg(F.count("*").alias("steps"), F.avg((F.col("x") == F.col("y")).cast("int")).alias("overlap"))
 
 
 def log_rewards(actions: DataFrame, by: str = "symbol") -> DataFrame:
@@ -91,3 +98,9 @@ def turbulence(rets: DataFrame, history: int = 252, by: str = "symbol") -> DataF
         return pd.DataFrame(out, columns=["date", "turbulence"])
 
     return dealt.groupBy("block").applyInPandas(distances, "date date, turbulence double")
+
+
+def compare_episodes(episodes: DataFrame) -> DataFrame:
+    """(episode, steps, total, mean, best, worst, length_rank) of episodes (episode, pos, reward): what a comparison of them lists."""
+    g = episodes.groupBy("episode").agg(F.count("*").alias("steps"), F.sum("reward").alias("total"), F.avg("reward").alias("mean"), F.max("reward").alias("best"), F.min("reward").alias("worst"))
+    return g.withColumn("rank", F.rank().over(W.orderBy(F.desc("total"))).cast("long"))  # one row an episode
