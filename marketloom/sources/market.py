@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,21 +77,36 @@ class MarketData:
     def date_range(self) -> DataFrame:
         return self.price.agg(F.min("date").alias("first"), F.max("date").alias("last"))
 
-    def day_records(self, merge: str = "concat") -> DataFrame:
-        """(date, symbol, price struct, news array, filing texts): days with a price, modalities joined on."""
+    def day_records(self, merge: str = "concat", every_day: bool = True) -> DataFrame:
+        """(date, symbol, price struct, news array, filing texts) of days that any modality has, or (not ``every_day``) that have a price."""
         out = self.price.select("date", "symbol", F.struct("open", "high", "low", "close", "adjusted_close", "volume").alias("price"))
+        how = "full" if every_day else "left"
         if self.news is not None:
-            out = out.join(group_news(self.news), ["date", "symbol"], "left")
+            out = out.join(group_news(self.news), ["date", "symbol"], how)
         for name in ("filing_k", "filing_q"):
             if (df := getattr(self, name)) is not None:
-                out = out.join(merge_filings(df, merge).withColumnRenamed("filing_text", name), ["date", "symbol"], "left")
+                out = out.join(merge_filings(df, merge).withColumnRenamed("filing_text", name), ["date", "symbol"], how)
         return out
 
-
-def open_market_data(spark: SparkSession, root: str | None = None, *, tables: dict[str, DataFrame] | None = None, modalities: Iterable[str] = ("price", "news", "filing_k", "filing_q")) -> MarketData:
-    """From given DataFrames, a folder, or the folder in MARKETLOOM_DATA_ROOT; exactly one of the first two or the last."""
-    if tables and root:
-        raise ValueError("give tables or a root, not both")
+    def agent_days(self, start=None, end=None, symbols=None) -> DataFrame:
+        """Days with a price in the range, with all four modalities: without one, an empty array or text."""
+        got = self.subset(start, end, symbols).day_records("latest", every_day=False)
+        missing = {"news": F.array().cast("array<string>"), "filing_k": F.lit(""), "filing_q": F.lit("")}
+        return got.select("date", "symbol", "price", *[F.coalesce(F.col(c), v).alias(c) if c in got.columns else v.alias(c) for c, v in missing.items()])
+
+
+def open_market_data(
+    spark: SparkSession, root: str | None = None, *, tables: dict[str, DataFrame] | None = None, loader: Callable[[SparkSession], MarketData] | None = None,
+    rows: Iterable[dict] | None = None, modalities: Iterable[str] = ("price", "news", "filing_k", "filing_q"),
+) -> MarketData:
+    """From a loader, given DataFrames, price rows in memory, a folder, or the folder in MARKETLOOM_DATA_ROOT: one of the first four, or the last."""
+    if sum(x is not None for x in (root, tables, loader, rows)) > 1:
+        raise ValueError("give one of a loader, tables, rows or a root")
+    if loader is not None:
+        return loader(spark)
+    if rows is not None:
+        names = [f.name for f in PRICE]
+        return MarketData(spark.createDataFrame([tuple(r.get(n, r["date"].year if n == "year" else None) for n in names) for r in rows], PRICE))
     if tables:
         return MarketData(tables["price"], *[tables.get(k) for k in ("news", "filing_k", "filing_q")], {k: v for k, v in tables.items() if k not in FOLDERS})
     root = root or os.environ.get("MARKETLOOM_DATA_ROOT")
@@ -97,10 +116,80 @@ def open_market_data(spark: SparkSession, root: str | None = None, *, tables: di
     return MarketData(**got)
 
 
-def read_price_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """Price bars of a vendor's CSV with a header; ``columns`` maps its names to ours."""
-    df = spark.read.csv(path, header=True).withColumnsRenamed(columns or {})
-    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PRICE if f.name != "year"]).withColumn("year", F.year("date"))
+#: A vendor's column names and ours.
+VENDORS = {
+    "fmp": {"adjClose": "adjusted_close", "timestamp": "date"},
+    "yahoo": {"Date": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adjusted_close", "Volume": "volume"},
+    "other": {},
+}
+
+
+def read_price_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None, *, vendor: str = "other", symbol: str | None = None, adjust: bool = False) -> DataFrame:
+    """Price bars of a vendor's CSV with a header; ``columns`` maps its names to ours, ``symbol`` names a file without that column, ``adjust`` gives adjusted prices."""
+    df = spark.read.csv(path, header=True).withColumnsRenamed(VENDORS[vendor] | (columns or {}))
+    if symbol is not None:
+        df = df.withColumn("symbol", F.lit(symbol))
+    out = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PRICE if f.name != "year"]).withColumn("year", F.year("date"))
+    if not adjust:
+        return out
+    ratio = F.when((F.col("close") != 0) & F.col("adjusted_close").isNotNull(), F.col("adjusted_close") / F.col("close")).otherwise(0.0)
+    return out.withColumns({c: F.col(c) * ratio for c in ("open", "high", "low", "close")})
+
+
+def read_news_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None, *, symbol: str | None = None) -> DataFrame:
+    """News of a vendor's CSV in our columns, numbered within a day by their text's hash, exact repeats of a day once."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumnsRenamed(columns or {})
+    if symbol is not None:
+        df = df.withColumn("symbol", F.lit(symbol))
+    text = F.coalesce(F.col("news_text"), F.lit(""))
+    rows = df.select(F.to_date("date").alias("date"), "symbol", text.alias("news_text")).distinct()
+    number = F.row_number().over(W.partitionBy("date", "symbol").orderBy(F.xxhash64("news_text"), "news_text")).cast("long")
+    return rows.select("date", "symbol", F.lit(None).cast("string").alias("cik"), number.alias("item_index"), "news_text", F.length("news_text").cast("long").alias("text_len"), F.crc32(F.col("news_text").cast("binary")).alias("text_crc32"), F.year("date").alias("year"))
+
+
+def read_filings(spark: SparkSession, root: str, forms: Iterable[str] = ("filingk", "filingq"), *, years: tuple[int, int] | None = None, symbols: Iterable[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Filings of the named folders with their form, pruned by year and symbol before any text is read; ``limit`` is the number of rows wanted."""
+    parts = [spark.read.schema(FILING).parquet(f"{root}/{f}").withColumn("form", F.lit({"filingk": "10-K", "filingq": "10-Q"}.get(f, f))) for f in forms]
+    out = reduce(DataFrame.unionByName, parts)
+    if years is not None:
+        out = out.where(F.col("year").between(*years))
+    if symbols is not None:
+        out = out.where(F.col("symbol").isin(list(symbols)))
+    return out if limit is None else out.limit(limit)
+
+
+def read_series(spark: SparkSession, path: str, symbols: Iterable[str] | None = None) -> DataFrame:
+    """Adjusted daily bars of indices or funds from a folder of Parquet: adjusted prices under the plain names."""
+    df = spark.read.parquet(path)
+    if symbols is not None:
+        df = df.where(F.col("symbol").isin(list(symbols)))
+    ratio = F.when(F.col("close") != 0, F.col("adjusted_close") / F.col("close")).otherwise(0.0)
+    return df.select("date", "symbol", *[(F.col(c) * ratio).alias(c) for c in ("open", "high", "low")], F.col("adjusted_close").alias("close"), "volume")
+
+
+def read_trades(spark: SparkSession, url: str, table: str, *, symbols: Iterable[str], first: str, last: str, least_size: int = 0, properties: dict | None = None, partitions: int = 16, key: str | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Trades of a database by JDBC: ``trade_filter`` is pushed to it; with a numeric ``key`` and its ``bounds`` it is read in ``partitions`` ranges."""
+    spread = {"column": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions} if key and bounds else {}
+    return trade_filter(spark.read.jdbc(url, table, properties=properties or {}, **spread), symbols, first, last, least_size)
+
+
+def trade_filter(trades: DataFrame, symbols: Iterable[str], first: str, last: str, least_size: int = 0) -> DataFrame:
+    """Trades of the symbols between two times of day, of more than a size, without a suffix of their symbol."""
+    return trades.where(F.col("sym_root").isin(list(symbols)) & F.col("time_m").between(first, last) & (F.col("size") > least_size) & F.col("sym_suffix").isNull())
+
+
+#: How a named kind of source is opened; add to it to make more kinds known.
+SOURCES: dict[str, Callable[..., object]] = {
+    "market": lambda spark, path, **k: open_market_data(spark, path, **k), "csv": read_price_csv, "news_csv": read_news_csv, "filings": read_filings, "series": read_series,
+    "parquet": lambda spark, path, **k: spark.read.parquet(path),
+}
+
+
+def open_source(spark: SparkSession, kind: str, path: str, **options):
+    """A source by the name of its kind."""
+    if kind not in SOURCES:
+        raise ValueError(f"unknown kind of source {kind!r}; known: {sorted(SOURCES)}")
+    return SOURCES[kind](spark, path, **options)
 
 
 def group_news(news: DataFrame) -> DataFrame:
@@ -120,38 +209,84 @@ def merge_filings(filings: DataFrame, policy: str = "concat") -> DataFrame:
     return g.agg(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n").alias("filing_text"))
 
 
-def _plain(value):
-    if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple, set)):
-        return [_plain(v) for v in value]
-    if hasattr(value, "__dataclass_fields__"):
-        return {k: _plain(getattr(value, k)) for k in value.__dataclass_fields__}
-    if hasattr(value, "isoformat"):
-        return value.isoformat()
-    if hasattr(value, "item"):
-        return value.item()
-    return value if isinstance(value, (str, int, float, bool, type(None))) else type(value).__name__
+def _other(value):
+    """What JSON has no form for: dates as ISO, numpy values as Python's, data classes as objects, sets as lists, the rest by class name."""
+    forms = ((dataclasses.is_dataclass, lambda v: {f.name: getattr(v, f.name) for f in dataclasses.fields(v)}), (lambda v: isinstance(v, (set, frozenset)), sorted), (lambda v: hasattr(v, "isoformat"), lambda v: v.isoformat()), (lambda v: hasattr(v, "tolist"), lambda v: v.tolist()))
+    return next((form(value) for fits, form in forms if fits(value)), type(value).__name__)
 
 
 def json_text(value) -> str:
-    """JSON of configs and manifests: dates as ISO, unknown objects by class name."""
-    return json.dumps(_plain(value), indent=2, sort_keys=True)
+    """JSON of configs and manifests, keys as texts in order."""
+    keyed = lambda v: {str(k): keyed(x) for k, x in v.items()} if isinstance(v, dict) else v
+    return json.dumps(keyed(value), indent=2, sort_keys=True, default=_other)
 
 
 def write_results(out: str, *, summary: DataFrame, tables: dict[str, DataFrame], config=None, by: tuple[str, ...] = ("window", "ticker")) -> None:
-    """Result tables partitioned by window and ticker, a summary and a manifest, all by Spark's writers."""
+    """Result tables partitioned by window and ticker, the summary as a table, as CSV and as a JSON line a leaf, the configuration and a manifest."""
     spark = summary.sparkSession
     summary.write.mode("overwrite").option("header", True).csv(f"{out}/run_summary")
+    here = [c for c in by if c in summary.columns]
+    summary.select(*here, F.to_json(F.struct(*[c for c in summary.columns if c not in here])).alias("value")).write.mode("overwrite").partitionBy(*here).text(f"{out}/metrics")
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}")
-    manifest = json_text({"schema_version": 1, "config": config, "tables": sorted(tables)})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/run_manifest")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*[c for c in by if c in df.columns]).parquet(f"{out}/{name}")
+    for name, value in (("run_config", config), ("run_manifest", {"schema_version": 1, "summary": "run_summary", "metrics": "metrics", "tables": sorted(tables)})):
+        _write_text(spark, json_text(value), f"{out}/{name}")
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+#: The names by which a node of a result tree is a leaf.
+METRICS = ("final_value", "total_return", "annual_return", "annual_volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown", "total_commission", "total_slippage", "total_cost")
+
+
+def flatten_results(tree: dict, metrics: Iterable[str] = METRICS) -> list[dict]:
+    """A row of path, ticker, window and metrics for every leaf of a tree of results, in order of path. A node with any metric is a leaf."""
+    names, rows, waiting = set(metrics), [], [((), tree)]
+    while waiting:
+        path, node = waiting.pop()
+        if not isinstance(node, dict):
+            continue
+        own = {k: v for k, v in node.items() if k in names}
+        if own:
+            rows.append({"path": "/".join(path), "ticker": path[-1] if path else None, "window": path[-2] if len(path) > 1 else None} | own)
+        else:
+            waiting += [((*path, str(k)), v) for k, v in node.items()]
+    return sorted(rows, key=lambda r: r["path"])
+
+
+def summary_of(results: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """``flatten_results`` of a flat table: its path columns as one, ticker the last and window the last but one."""
+    rest = [c for c in results.columns if c not in parts]
+    return results.select(F.concat_ws("/", *parts).alias("path"), F.col(parts[-1]).alias("ticker"), F.col(parts[-2]).alias("window"), *rest)
+
+
+def write_sections(sections: DataFrame, out: str, keys: tuple[str, ...] = ("symbol", "date")) -> None:
+    """Sections as a folder a filing and item of texts, their records as JSON lines, and a manifest of counts by status."""
+    found = sections.where("section_text IS NOT NULL")
+    found.select(*keys, "item_key", F.col("section_text").alias("value")).write.mode("overwrite").partitionBy(*keys, "item_key").text(f"{out}/sections")
+    sections.drop("section_text").write.mode("append").json(f"{out}/records")
+    counts = sections.groupBy("filing_status", "filing_audit").agg(F.count_distinct(*keys).alias("filings"))  # a handful of rows
+    _write_text(sections.sparkSession, json_text({"schema_version": 1, "status": [r.asDict() for r in counts.collect()]}), f"{out}/manifest")
+
+
+def run_key(config: dict) -> str:
+    """The key of a run: a hash of its configuration, in whatever order it was written."""
+    return hashlib.sha256(json_text(config).encode()).hexdigest()[:16]
+
+
+def write_trace(events: DataFrame, out: str, config: dict) -> str:
+    """An agent's records (phase, ...) as JSON lines by phase under the run's key, with its configuration; the folder."""
+    path = f"{out}/{run_key(config)}"
+    events.write.mode("append").partitionBy("phase").json(f"{path}/events")
+    _write_text(events.sparkSession, json_text({"schema_version": 1, "config": config}), f"{path}/manifest")
+    return path
 
 
-def remaining_jobs(grid: DataFrame, status: DataFrame, keys: tuple[str, ...] = ("window", "ticker")) -> DataFrame:
-    """Jobs of the grid without a complete status."""
-    return grid.join(status.where("status = 'complete'").select(*keys), list(keys), "left_anti")
+def write_features(features: DataFrame, out: str) -> None:
+    """Feature rows as Parquet by symbol; only the symbols given are replaced."""
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(out)
 
 
 def daily_bars(lines: DataFrame, symbol: str = "symbol") -> DataFrame:
