@@ -18,7 +18,6 @@ from ..operators import select as T
 from ..operators import simulate as B
 from ..operators import statistics as Q
 from ..sources import market as S
-from ..streaming.bars import tick_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -110,13 +109,17 @@ def atr_wilder(spark, d):
     return I.wilder_atr(S.stand_in_bars(spark, d, "region")).select("symbol", "date", F.round("tr", 8).alias("tr"), F.round("atr", 8).alias("atr"))
 
 
-@query(NB + """, w AS (SELECT symbol, date, CASE WHEN n >= 3 THEN (3.0 * close + 2.0 * l1 + l2) / 6 END AS wma3, sd FROM (SELECT symbol, date, close, row_number() OVER o AS n, lag(close) OVER o AS l1, lag(close, 2) OVER o AS l2,
-avg(close) OVER (o ROWS 9 PRECEDING) - avg(close) OVER (o ROWS 19 PRECEDING) AS d0, CASE WHEN row_number() OVER o >= 20 THEN avg(close) OVER (o ROWS 9 PRECEDING) - avg(close) OVER (o ROWS 19 PRECEDING) END AS sd FROM b WINDOW o AS (PARTITION BY symbol ORDER BY date))),
-x AS (SELECT *, last_value(CASE WHEN sd <> 0 THEN sign(sd) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w)
-SELECT symbol, date, wma3, CASE WHEN p < 0 AND sd > 0 THEN 1 WHEN p > 0 AND sd < 0 THEN -1 ELSE 0 END::INT AS signal FROM x""")
+def _wma(n: int) -> str:
+    """SQL of the weighted mean of n rows of the window o."""
+    return f"CASE WHEN row_number() OVER o >= {n} THEN (" + " + ".join(f"{n - k} * {f'lag(close, {k}) OVER o' if k else 'close'}" for k in range(n)) + f") / {n * (n + 1) / 2}::DOUBLE END"
+
+
+@query(NB + f""", w AS (SELECT symbol, date, {_wma(10)} AS wma10, {_wma(20)} AS wma20 FROM b WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+x AS (SELECT *, wma10 - wma20 AS sd, last_value(CASE WHEN wma10 <> wma20 THEN sign(wma10 - wma20) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w)
+SELECT symbol, date, wma10, wma20, CASE WHEN p < 0 AND sd > 0 THEN 1 WHEN p > 0 AND sd < 0 THEN -1 ELSE 0 END::INT AS signal FROM x""")
 def wma_cross(spark, d):
-    df = S.stand_in_bars(spark, d).withColumn("wma3", I.wma(n=3))
-    return I.cross(df, I.sma(n=10), I.sma(n=20), "signal").select("symbol", "date", "wma3", "signal")
+    df = S.stand_in_bars(spark, d).withColumns({"wma10": I.wma(n=10), "wma20": I.wma(n=20)})
+    return I.cross(df, F.col("wma10"), F.col("wma20"), "signal").select("symbol", "date", "wma10", "wma20", "signal")
 
 
 @query(NB + """, v AS (SELECT symbol, date, row_number() OVER w AS n, CASE WHEN row_number() OVER w >= 9 AND max(high) OVER (w ROWS 8 PRECEDING) <> min(low) OVER (w ROWS 8 PRECEDING)
@@ -149,16 +152,56 @@ def costs_and_caps(spark, d):
 
 
 @query(RB + """ SELECT symbol, date, (close - open) / close AS kmid, (high - low) / open AS klen, (high - greatest(open, close)) / open AS kup, coalesce(CASE WHEN n >= 20 THEN o / close END, 0) AS roc_20, CASE WHEN n >= 20 THEN m / close ELSE 0 END AS ma_20,
-CASE WHEN n >= 20 THEN s / close ELSE 0 END AS std_20, CASE WHEN n >= 20 THEN q / close ELSE 0 END AS qtlu_20, CASE WHEN n >= 20 THEN hi / close ELSE 0 END AS max_20, CASE WHEN n >= 20 THEN list_position(h, list_max(h)) / 20.0 ELSE 0 END::DOUBLE AS imax_20
+CASE WHEN n >= 20 THEN s / close ELSE 0 END AS std_20, CASE WHEN n >= 20 THEN q / close ELSE 0 END AS qtlu_20, CASE WHEN n >= 20 THEN hi / close ELSE 0 END AS max_20, CASE WHEN n >= 20 THEN (list_position(h, list_max(h)) - 1) / 20.0 ELSE 0 END::DOUBLE AS imax_20
 FROM (SELECT *, row_number() OVER w AS n, lag(close, 20) OVER w AS o, avg(close) OVER (w ROWS 19 PRECEDING) AS m, stddev_samp(close) OVER (w ROWS 19 PRECEDING) AS s, quantile_cont(close, 0.8) OVER (w ROWS 19 PRECEDING) AS q,
-max(close) OVER (w ROWS 19 PRECEDING) AS hi, list(close) OVER (w ROWS 19 PRECEDING) AS h FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date))""")
+max(close) OVER (w ROWS 19 PRECEDING) AS hi, list(high) OVER (w ROWS 19 PRECEDING) AS h FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date))""")
 def factors_w20(spark, d):
     return A.factors(S.stand_in_bars(spark, d, "region"), (20,)).select("symbol", "date", "kmid", "klen", "kup", "roc_20", "ma_20", "std_20", "qtlu_20", "max_20", "imax_20")
 
 
-@query()
+def _factor_sql() -> str:
+    """All factor families, written from their definitions: every window's values, 0 where a value is missing or infinite."""
+    eps = "1e-12::DOUBLE"
+    cols = {
+        "kmid": "(close - open) / close", "kmid2": f"(close - open) / (high - low + {eps})", "klen": "(high - low) / open",
+        "kup": "(high - greatest(open, close)) / open", "kup2": f"(high - greatest(open, close)) / (high - low + {eps})", "klow": "(least(open, close) - low) / open",
+        "klow2": f"(least(open, close) - low) / (high - low + {eps})", "ksft": "(2 * close - high - low) / open", "ksft2": f"(2 * close - high - low) / (high - low + {eps})",
+    }
+    names, inner = [], []
+    moves = ("cord", "sump", "sumn", "sumd", "wvma", "vsump", "vsumn", "vsumd")  # begin a row later
+    for n in (5, 10, 20, 30, 60):
+        names.append(f"w{n} AS (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)")
+        sums = {"ar": "abs(ret)", "pr": "CASE WHEN ret < 0 THEN 0 ELSE ret END", "av": "abs(dv)", "pv": "CASE WHEN dv < 0 THEN 0 ELSE dv END"}
+        means = {"mc": "close", "mv": "volume", "mw": "wv", "up": "coalesce((ret > 0)::INT::DOUBLE, 0)", "dn": "coalesce((ret < 0)::INT::DOUBLE, 0)"}
+        inner += [f"lag(close, {n}) OVER o AS old{n}", *[f"list({x}) OVER w{n} AS {x[0]}{n}" for x in ("close", "high", "low")]]
+        for f, own in (("avg", means), ("stddev_samp", {"sc": "close", "sv": "volume", "sw": "wv"}), ("sum", sums)):
+            inner += [f"{f}({x}) OVER w{n} AS {k}{n}" for k, x in own.items()]
+        inner += [f"quantile_cont(close, 0.8) OVER w{n} AS qu{n}", f"quantile_cont(close, 0.2) OVER w{n} AS qd{n}", f"corr(close, lv) OVER w{n} AS cr{n}", f"corr(ratio, vr) OVER w{n} AS cd{n}"]
+        lo, hi = f"least(low, old{n})", f"greatest(high, old{n})"
+        sump, vsump = f"pr{n} / (ar{n} + {eps})", f"pv{n} / (av{n} + {eps})"
+        imax, imin = f"(list_position(h{n}, list_max(h{n})) - 1)", f"(list_position(l{n}, list_min(l{n})) - 1)"
+        rank = f"len(list_filter(c{n}, lambda x: x < close)) + (len(list_filter(c{n}, lambda x: x = close)) + 1) / 2.0::DOUBLE"
+        own = {
+            "roc": f"old{n} / close", "ma": f"mc{n} / close", "std": f"sc{n} / close", "beta": f"(old{n} - close) / ({n} * close)", "max": f"list_max(c{n}) / close", "min": f"list_min(c{n}) / close",
+            "qtlu": f"qu{n} / close", "qtld": f"qd{n} / close", "rank": f"({rank}) / {n} / {n}", "imax": f"{imax} / {n}::DOUBLE", "imin": f"{imin} / {n}::DOUBLE", "imxd": f"({imax} - {imin}) / {n}::DOUBLE",
+            "rsv": f"CASE WHEN old{n} IS NOT NULL THEN (close - {lo}) / ({hi} - {lo} + {eps}) END", "cntp": f"up{n}", "cntn": f"dn{n}", "cntd": f"up{n} - dn{n}", "corr": f"cr{n}", "cord": f"cd{n}",
+            "sump": sump, "sumn": f"1 - {sump}", "sumd": f"2 * {sump} - 1", "vma": f"mv{n} / (volume + {eps})", "vstd": f"sv{n} / (volume + {eps})", "wvma": f"sw{n} / (mw{n} + {eps})",
+            "vsump": vsump, "vsumn": f"1 - {vsump}", "vsumd": f"2 * {vsump} - 1",
+        }
+        cols |= {f"{k}_{n}": f"CASE WHEN rn >= {n + (k in moves)} THEN {x} END" for k, x in own.items()}
+    cols["log_volume"] = "lv"
+    clean = ", ".join(f"round(coalesce(CASE WHEN isfinite({x}) THEN {x} END, 0), 6) + 0 AS {k}" for k, x in cols.items())
+    return f"""{RB}, m AS (SELECT *, lag(close) OVER o AS c1, lag(volume) OVER o AS v1, row_number() OVER o AS rn FROM b WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+p AS (SELECT *, close / c1 AS ratio, close / c1 - 1 AS ret, volume - v1 AS dv, ln(volume + 1) AS lv, ln(volume / v1 + 1) AS vr, abs(close / c1 - 1) * volume AS wv FROM m),
+f AS (SELECT symbol, date, open, high, low, close, volume, rn, lv, {', '.join(inner)} FROM p WINDOW o AS (PARTITION BY symbol ORDER BY date), {', '.join(names)})
+SELECT symbol, date, {clean}, day(date)::INT AS day, (isodow(date) - 1)::INT AS weekday, month(date)::INT AS month FROM f"""
+
+
+@query(_factor_sql())
 def factors_all(spark, d):
-    return A.factors(S.stand_in_bars(spark, d, "region"))
+    df = A.factors(S.stand_in_bars(spark, d, "region"))
+    parts = ("symbol", "date", "day", "weekday", "month")
+    return df.select(*parts, *[(F.round(c, 6) + 0.0).alias(c) for c in df.columns if c not in parts])
 
 
 @query(RB + """, k AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM b WHERE date < DATE '2000-01-01'),
@@ -203,16 +246,10 @@ def asof_next_session(spark, d):
     return R.next_trading_day(e, e.select(F.col("day").alias("date")).distinct().where(F.weekday("date") < 5))
 
 
-@query(RB + ", p AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM b) SELECT q.symbol, q.pos AS at, count(*) AS n, sum(p.close) AS total FROM p AS q JOIN p ON p.symbol = q.symbol AND p.pos BETWEEN q.pos - 4 AND q.pos WHERE q.pos % 50 = 0 GROUP BY ALL")
-def range_state(spark, d):
-    rows = S.stand_in_bars(spark, d, "region").select("symbol", "close", F.row_number().over(I.series()).cast("long").alias("pos"))
-    return R.state_window(rows, rows.where("pos % 50 = 0"), 4).groupBy("symbol", "at").agg(F.count("*").alias("n"), F.sum("close").alias("total"))
-
-
 @query(RB + """, p AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM b)
 SELECT symbol, pos AS at, count(*) OVER (w ROWS 4 PRECEDING) AS n, sum(close) OVER (w ROWS 4 PRECEDING) AS total, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS n_ahead, sum(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS ahead
 FROM p WINDOW w AS (PARTITION BY symbol ORDER BY pos)""")
-def range_state_all(spark, d):
+def range_state(spark, d):
     """The window [pos - 4, pos + 2] of every position, clamped at the ends; what lies after the position is summed apart."""
     rows = S.stand_in_bars(spark, d, "region").select("symbol", "close", F.row_number().over(I.series()).cast("long").alias("pos"))
     past, ahead = F.when(F.col("pos") <= F.col("at"), F.col("close")), F.when(F.col("pos") > F.col("at"), F.col("close"))
@@ -231,12 +268,6 @@ def resample_minutes(spark, d):
     return R.resample(ticks(spark, d), "15 minutes")
 
 
-@query("WITH " + TICKS + " SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS ts, arg_min(price, t.ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, t.ts) AS close, sum(size) AS volume FROM t GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, t.ts)")
-def stream_tumbling(spark, d):
-    """The streaming plan over the table; a test drives the same function as a stream."""
-    return tick_bars(ticks(spark, d), "1 hour")
-
-
 @query("SELECT event_id, ts FROM events WHERE strftime(ts, '%H:%M') BETWEEN '09:30' AND '15:59'")
 def trading_hours(spark, d):
     return table(spark, d, "events").where(F.date_format("ts", "HH:mm").between("09:30", "15:59")).select("event_id", "ts")
@@ -362,7 +393,20 @@ def news_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.clean_news("text")).alias("cleaned"), X.preview("text").alias("preview"), F.sha2("text", 256).alias("sha"), F.md5(X.dedup_key("text")).alias("key"))
 
 
-@query()
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _plain_sql(x: str) -> str:
+    """SQL of normalised text."""
+    for a, b in X.ENTITIES:
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
+    x = f"regexp_replace({x}, '[{X.INVISIBLE}]', '', 'g')"
+    x = f"translate({x}, {_quoted(X.TYPOGRAPHIC[0])}, {_quoted(X.TYPOGRAPHIC[1])})"
+    return rf"trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+@query("SELECT page_id, " + _plain_sql("regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')") + " AS text FROM pages")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_tags("html").alias("text"))
 
@@ -443,8 +487,4 @@ def turbulence_index(spark, d):
     return Q.turbulence(M.returns(S.stand_in_bars(spark, d, "region")))
 
 
-@query()
-def trading_env(spark, d):
-    w = W.partitionBy("win", "ticker").orderBy("date")
-    bars = _window_bars(spark, d).withColumn("price", F.col("adjusted_close"))
-    return B.trading_env(bars.withColumn("action", F.coalesce(F.signum(F.col("price") - F.lag("price").over(w)) / 2, F.lit(0.0))))
+from . import extended, simulated, streamed  # noqa: E402, F401  their queries join the catalogue

@@ -55,7 +55,7 @@ def test_liquidity():
     c = B.TradeConfig(liquidity_pct=0.1, liquidity_days=5, cash=1e6)
     t = B.run_ticker("A", bars(), at(10, lambda a: a.buy(1000)), c).trades[0]
     assert t[4] == 100 and t[9] == pytest.approx(0.1)
-    acc = B.run_ticker("A", bars(), at(0, lambda a: a.buy(10)), B.TradeConfig(liquidity_pct=0.1, require_history=True))
+    acc = B.run_ticker("A", bars(), at(0, lambda a: a.buy(10)), B.TradeConfig(liquidity_pct=0.1))
     assert acc.rejected[0][6] == "insufficient_liquidity_history"
 
 

@@ -1,11 +1,7 @@
-"""Queries and stages do the whole job: every position, language and row."""
+"""Queries do the whole job: every position and day."""
 
 import datetime
-import random
-from collections import Counter
 
-import corpus_pipeline
-from marketloom.llm import quality_rules
 from marketloom.operators import relational
 from marketloom.plans import catalog
 
@@ -13,7 +9,7 @@ D = "/root/testdata/sf0.001"
 
 
 def test_range_state_of_every_position(spark):
-    got = {(r["symbol"], r["at"]): r for r in catalog.queries()["range_state_all"](spark, D).collect()}
+    got = {(r["symbol"], r["at"]): r for r in catalog.queries()["range_state"](spark, D).collect()}
     bars = catalog.S.stand_in_bars(spark, D, "region").select("symbol", "date", "close").collect()
     for symbol in {b["symbol"] for b in bars}:
         close = [b["close"] for b in sorted(bars, key=lambda b: b["date"]) if b["symbol"] == symbol]
@@ -25,54 +21,6 @@ def test_range_state_of_every_position(spark):
     assert not got
 
 
-def test_quality_rules_has_a_reference_for_every_language(spark):
-    rng = random.Random(3)
-    rows = []
-    for k in range(20):
-        # each its own short words; the last but one in a script without case, the last without short words
-        letters = "\u05d0\u05d1\u05d2\u05d3\u05d4\u05d5\u05d6\u05d7" if k >= 18 else "abcdefghijklmnopqrstuvwxyz"
-        vocab = ["".join(rng.choice(letters) for _ in range(9 if k == 19 else 4)) for _ in range(16)]
-        for _ in range(60 - 2 * k):
-            words = [rng.choice(vocab) for _ in range(60)]
-            rows.append((len(rows), " ".join(words), f"l{k:02}"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = quality_rules.quality_rules(docs, keep=("lang",)).collect()
-    assert len(got) == len(rows)
-    assert {r["lang"] for r in got if not r["base_failed"] and not r["kept"]} == set()
-    assert {r["lang"] for r in got if r["kept"]} == {f"l{k:02}" for k in range(20)}
-    literals = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, keep=("lang",), languages=100).collect()}
-    for r in got:
-        for c in ("char_distance", "word_distance"):
-            assert abs(r[c] - literals[r["doc_id"]][c]) < 1e-9
-        assert r["kept"] == literals[r["doc_id"]]["kept"]
-
-
-def test_pipeline_stages_judge_rows(spark, tmp_path):
-    rng = random.Random(4)
-    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
-    good = [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(60)]
-    bad = ["#$%& " * 50 + f"{i} <|> !!!" for i in range(60)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    row = lambda i, t: (i, t, "en", "a", len(t))
-    labelled = [row(i, t) for i, t in enumerate(good[:40] + bad[:40])]
-    # ids 0 to 79 have labels; here come rows without an id and an id that a good and a bad row share
-    more = [row(None, t) for t in good[40:50] + bad[40:50]] + [row(500, good[50]), row(500, bad[50]), row(500, good[51])]
-    labels = [(i, int(i < 40), 0) for i in range(80)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.createDataFrame(labelled + more, schema)
-    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
-    assert texts(corpus_pipeline.classifier(spark, docs, str(tmp_path))) == Counter((r[0], r[1]) for r in labelled + more if r[1] in good)
-
-    copies = [row(None, good[0])] * 3 + [row(None, good[1]), row(7, good[1]), row(9, good[1])] + [row(500, good[2]), row(500, good[3]), row(500, good[3])]
-    want = Counter({(None, good[0]): 1, (7, good[1]): 1, (500, good[2]): 1, (500, good[3]): 1})
-    assert texts(corpus_pipeline.near_copies(spark, spark.createDataFrame(copies, schema), str(tmp_path))) == want
-
-    one = spark.createDataFrame([row(500, t) for t in good[:9]] + [row(None, t) for t in good[9:12]], schema)
-    got = texts(corpus_pipeline.mixing(spark, one, str(tmp_path)))
-    mixed = corpus_pipeline.mix_sources(one).where("taken > 0").selectExpr("sum(taken div size) AS n").first()["n"]
-    assert sum(got.values()) == mixed and set(got.values()) <= {1, 2}
-
-
 def test_next_trading_day_long_before_the_calendar(spark):
     day = datetime.date
     events = spark.createDataFrame([(day(2019, 1, 1),), (day(2020, 1, 3),), (day(2021, 1, 1),)], "day date")
