@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -45,12 +45,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     spark = scratch.spark
     if not steps:
         return spark.createDataFrame([], "id long, component long")
-    # an id that no later step moves is a root: resolve from the last step back to the first
+    # an id that no later step moves is a root: resolve from the last step back to the first; a
+    # root may have any number of ids, so what it is looked up in is broadcast while it is small
     final = steps[-1]
     for step in reversed(steps[:-1]):
-        up = final.select(F.col("id").alias("to"), F.col("to").alias("root"))
-        final = step.join(up, "to", "left").select("id", F.coalesce("root", "to").alias("to"))
-    final = scratch.save(final, "roots")
-    scratch.drop(*steps, graph)
-    least = final.groupBy("to").agg(F.min("id").alias("component"))
-    return scratch.save(final.join(least, "to").select("id", "component"), "components")
+        up = small(final.select(F.col("id").alias("to"), F.col("to").alias("root")))
+        before, final = final, scratch.save(step.join(up, "to", "left").select("id", F.coalesce("root", "to").alias("to")), "roots")
+        if before is not steps[-1]:
+            scratch.drop(before)
+    least = scratch.save(final.groupBy("to").agg(F.min("id").alias("component")), "least")
+    out = scratch.save(final.join(small(least), "to").select("id", "component"), "components")
+    scratch.drop(*steps, graph, least, *([] if final is steps[-1] else [final]))
+    return out
