@@ -440,3 +440,15 @@ def jaccard_join(
     comp = components(equal, scratch)
     scratch.drop(post, lists, *found)
     return rows.join(comp, rows[key] == comp["id"], "left").select(rows[key], "n_shingles", F.coalesce("component", rows[key]).alias("component_id"))
+
+
+def oracle(documents: str = "documents") -> str:
+    """The same rows in DuckDB SQL, with the defaults, by meeting all pairs that share a shingle: for small tables."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {documents}),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM s UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, m AS component_id FROM s JOIN (SELECT v, min(u) AS m FROM r GROUP BY v) ON v = doc_id"""

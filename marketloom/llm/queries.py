@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle(), "op8_url_filters": url_filters.oracle()}
+    return {"op2_jaccard_join": jaccard_join.oracle(), "op4_mixing": mixing.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_url_filters": url_filters.oracle()}
