@@ -291,3 +291,46 @@ def latest_signals(df: DataFrame, day, names: tuple[str, ...] = ("atr_bands", "b
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def _stoch(df: DataFrame, n: int = 14, m: int = 3) -> DataFrame:
+    df = stochastic(df, n)
+    w = series().rowsBetween(-(m - 1), 0)
+    return df.withColumn("stoch_d", full(n + m - 1, F.avg("stoch_k").over(w)))
+
+
+def _money(df: DataFrame, n: int = 14) -> DataFrame:
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    df = df.withColumn("_t", typical)
+    df = df.withColumn("_f", F.when(F.col("_t") > lag("_t"), 1).when(F.col("_t") < lag("_t"), -1).otherwise(0) * F.col("_t") * F.col("volume"))
+    total = lambda sign: F.sum(F.greatest(sign * F.col("_f"), F.lit(0.0))).over(series().rowsBetween(-(n - 1), 0))
+    up, down = total(1), total(-1)
+    return df.withColumn("mfi", full(n + 1, F.when(up + down > 0, 100 * up / (up + down)))).drop("_t", "_f")
+
+
+def _column(name: str, make):
+    return lambda df, **p: df.withColumn(name, make(**p))
+
+
+#: Indicators by the names that charting libraries give them; each adds columns to (symbol, date, bars).
+BY_NAME = {
+    "SMA": _column("sma", lambda n=30, c="close": sma(c, n)), "WMA": _column("wma", lambda n=30, c="close": wma(c, n)), "EMA": lambda df, n=30, c="close": ema(df, c, n, "ema"),
+    "RSI": lambda df, n=14: rsi(df, n=n), "MACD": lambda df: df.join(recursive_averages(df).select(BY, AT, "macd", "macd_signal", "macd_hist"), [BY, AT]), "BBANDS": lambda df, n=20, k=2.0: bollinger(df, n=n, k=k),
+    "ATR": lambda df, n=14: wilder_atr(df, n), "TRANGE": _column("trange", lambda: true_range()), "CCI": _column("cci", lambda n=14: cci(n)), "DX": lambda df, n=14: directional(df, n), "STOCH": _stoch, "KDJ": kdj, "MFI": _money,
+    "MOM": _column("mom", lambda n=10: F.col("close") - lag("close", n)), "ROC": _column("roc", lambda n=10: 100 * (F.col("close") / lag("close", n) - 1)), "ROCP": _column("rocp", lambda n=10: F.col("close") / lag("close", n) - 1),
+    "WILLR": _column("willr", lambda n=14: -100 * (rolling(F.max, "high", n) - F.col("close")) / F.nullif(rolling(F.max, "high", n) - rolling(F.min, "low", n), F.lit(0.0))),
+    "MAX": _column("max", lambda n=30, c="close": rolling(F.max, c, n)), "MIN": _column("min", lambda n=30, c="close": rolling(F.min, c, n)), "SUM": _column("sum", lambda n=30, c="close": rolling(F.sum, c, n)),
+    "STDDEV": _column("stddev", lambda n=5, c="close": rolling(F.stddev_pop, c, n)), "VAR": _column("var", lambda n=5, c="close": rolling(F.var_pop, c, n)), "CORREL": _column("correl", lambda n=30: full(n, F.corr("high", "low").over(series().rowsBetween(-(n - 1), 0)))),
+    "AVGPRICE": _column("avgprice", lambda: (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4), "MEDPRICE": _column("medprice", lambda: (F.col("high") + F.col("low")) / 2),
+    "TYPPRICE": _column("typprice", lambda: (F.col("high") + F.col("low") + F.col("close")) / 3), "WCLPRICE": _column("wclprice", lambda: (F.col("high") + F.col("low") + 2 * F.col("close")) / 4),
+}
+
+
+def by_name(df: DataFrame, name: str, **parameters) -> DataFrame:
+    """An indicator by its name in ``BY_NAME``, on balance volume included."""
+    if name == "OBV":
+        move = F.col("close") - lag("close")
+        return df.withColumn("_m", F.coalesce(F.signum(move), F.lit(1.0)) * F.col("volume")).withColumn("obv", F.sum("_m").over(series().rowsBetween(W.unboundedPreceding, 0))).drop("_m")
+    if name not in BY_NAME:
+        raise ValueError(f"unknown indicator {name!r}; known: {sorted([*BY_NAME, 'OBV'])}")
+    return BY_NAME[name](df, **parameters)

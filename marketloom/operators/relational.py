@@ -128,3 +128,22 @@ def resample(ticks: DataFrame, every: str, by: str = "symbol") -> DataFrame:
     g = ticks.groupBy(by, F.window("ts", every).alias("w"))
     bars = g.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"))
     return bars.select(by, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def adjust_by_precedence(df: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """adjusted_* of every field: the table's own where it has one, else the raw price times the closing ratio, else the raw close.
+
+    Without a closing ratio (no close, or 0) the raw price counts as 0 times it.
+    """
+    ratio = adjust_ratio()
+    own = lambda c: F.col(f"adjusted_{c}") if f"adjusted_{c}" in df.columns else F.lit(None).cast("double")
+    return df.withColumns({f"adjusted_{c}": F.coalesce(own(c), F.col(c) * ratio, F.col("close")) for c in fields})
+
+
+def price_at(df: DataFrame, field: str) -> Column:
+    """A bar's price by a field's name: the field, else its raw one adjusted (with a close other than 0), else the adjusted or raw close."""
+    there = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
+    raw = there(field.removeprefix("adjusted_"))
+    adjusted = F.when(F.col("close") != 0, raw * there("adjusted_close") / F.col("close")) if field.startswith("adjusted_") else F.lit(None).cast("double")
+    last = (there("adjusted_close"), there("close")) if field.endswith("close") else (there("close"), there("adjusted_close"))
+    return F.coalesce(there(field), adjusted, *last)

@@ -311,11 +311,12 @@ def metrics_risk(spark, d):
 
 
 @query(NB + RET + """, v AS (SELECT symbol, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, kurtosis_pop(ret) AS kurt, quantile_cont(ret, 0.05) AS var5 FROM r WHERE ret IS NOT NULL GROUP BY symbol HAVING count(ret) >= 30),
-k AS (SELECT r.symbol, avg(pow(ret - mean, 3)) / pow(avg(pow(ret - mean, 2)), 1.5) AS skew, avg(ret) FILTER (ret <= var5) AS cvar5 FROM r JOIN v USING (symbol) WHERE ret IS NOT NULL GROUP BY r.symbol)
-SELECT symbol, n, round(mean, 9) AS mean, round(std, 9) AS std, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(var5, 9) AS var5, round(cvar5, 9) AS cvar5 FROM v JOIN k USING (symbol)""")
+k AS (SELECT r.symbol, avg(pow(ret - mean, 3)) / pow(avg(pow(ret - mean, 2)), 1.5) AS skew, avg(ret) FILTER (ret <= var5) AS cvar5 FROM r JOIN v USING (symbol) WHERE ret IS NOT NULL GROUP BY r.symbol),
+t AS (SELECT symbol, avg(ret) FILTER (k <= 30) * 30 AS trailing_30, avg(ret) FILTER (k <= 90) * 90 AS trailing_90 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM r WHERE ret IS NOT NULL) GROUP BY symbol)
+SELECT symbol, n, round(mean, 9) AS mean, round(std, 9) AS std, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(var5, 9) AS var5, round(cvar5, 9) AS cvar5, round(trailing_30, 9) AS trailing_30, round(trailing_90, 9) AS trailing_90 FROM v JOIN k USING (symbol) JOIN t USING (symbol)""")
 def moments_var(spark, d):
     df = M.moments(M.returns(S.stand_in_bars(spark, d)))
-    return df.select("symbol", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std")], *[F.round(c, 6).alias(c) for c in ("skew", "kurt")], *[F.round(c, 9).alias(c) for c in ("var5", "cvar5")])
+    return df.select("symbol", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std")], *[F.round(c, 6).alias(c) for c in ("skew", "kurt")], *[F.round(c, 9).alias(c) for c in ("var5", "cvar5", "trailing_30", "trailing_90")])
 
 
 @query(RB + RET + " SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(corr(x.ret, y.ret), 9) AS corr FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL")

@@ -478,10 +478,10 @@ def first_importance(spark, d):
     return e.withColumn("importance", V.first_importance())
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 5 = 1 THEN value * 2 ELSE value END AS value FROM events WHERE event_id % 5 <> 0")
+@query("SELECT event_id AS id, CASE WHEN value < 20 THEN value * 2 ELSE value END AS value FROM events WHERE NOT value < 10")
 def memory_upsert(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
-    changes = e.where("id % 5 <= 1").select("id", (F.col("value") * 2).alias("value"), (F.col("id") % 5 == 0).alias("gone"))
+    changes = e.where("value < 20").select("id", (F.col("value") * 2).alias("value"), (F.col("value") < 10).alias("gone"))
     return V.upserted(e, changes)
 
 
@@ -552,3 +552,63 @@ def summary_paths(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     g = o.groupBy(F.col("n_name").alias("setup"), F.year("o_orderdate").cast("string").alias("window"), F.col("o_orderpriority").alias("ticker")).agg(F.sum("o_totalprice").alias("final_value"))
     return S.summary_of(g, ("setup", "window", "ticker")).select("path", "ticker", "window", "final_value")
+
+
+# ---- prices, calendars and more texts
+
+
+@query(NB + " SELECT symbol, date, coalesce(open * r, close) AS adjusted_open, coalesce(high * r, close) AS adjusted_high, adjusted_close, CASE WHEN close <> 0 THEN low * adjusted_close / close ELSE close END AS low_price FROM (SELECT *, CASE WHEN close <> 0 THEN adjusted_close / close ELSE 0 END AS r FROM b)")
+def adjusted_by_precedence(spark, d):
+    b = nations(spark, d)
+    return R.adjust_by_precedence(b).select("symbol", "date", "adjusted_open", "adjusted_high", "adjusted_close", R.price_at(b, "adjusted_low").alias("low_price"))
+
+
+@query(RB + """, o AS (SELECT date, close AS oc FROM b WHERE symbol = 'ASIA'), n AS (SELECT date, close AS nc FROM b WHERE symbol = 'EUROPE' AND date >= DATE '1997-01-01'), m AS (SELECT date AS meet, nc / oc AS factor FROM o JOIN n USING (date) ORDER BY date LIMIT 1)
+SELECT 'x' AS symbol, date, oc * factor AS close FROM o, m WHERE date < meet UNION ALL SELECT 'x', date, nc FROM n, m WHERE date >= meet""")
+def spliced_index(spark, d):
+    b = regions(spark, d)
+    one = lambda s: b.where(F.col("symbol") == s).select(F.lit("x").alias("symbol"), "date", "close")
+    return R.splice(one("ASIA"), one("EUROPE").where("date >= date'1997-01-01'"))
+
+
+@query(NB + ", e AS (SELECT symbol, max(date) AS last FROM b GROUP BY symbol) SELECT symbol, count(*) AS n, max(date) AS last FROM b JOIN e USING (symbol) WHERE e.last >= DATE '2002-01-01' - 3 OR date <= e.last - 7 GROUP BY symbol")
+def delisted_rows(spark, d):
+    return R.delisted(nations(spark, d), F.lit("2002-01-01").cast("date")).groupBy("symbol").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+
+
+@query(RB + """, h AS (SELECT symbol, date, CASE WHEN isodow(date) = 1 THEN close END AS monday FROM b) SELECT symbol, date, last_value(monday IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS before,
+first_value(monday IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM h""")
+def filled_gaps(spark, d):
+    b = regions(spark, d).withColumn("monday", F.when(F.weekday("date") == 0, F.col("close")))
+    return b.select("symbol", "date", I.forward_fill("monday").alias("before"), I.back_fill("monday").alias("after"))
+
+
+@query("SELECT event_id, len(list_filter(generate_series(CAST(ts AS DATE), CAST(ts AS DATE) + 30, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) AS days FROM events")
+def business_days(spark, d):
+    day = F.to_date("ts")
+    return table(spark, d, "events").select("event_id", F.size(X.business_days(day, F.date_add(day, 30))).cast("long").alias("days"))
+
+
+HEADLINES = """WITH h AS (SELECT doc_id, 'UPDATE ' || (doc_id % 5) || '-Paris (Reuters)' || substr(coalesce(text, ''), 1, 80) AS t FROM documents)"""
+
+
+@query(HEADLINES + " SELECT doc_id, (doc_id % 5)::INT AS number, regexp_replace(t, '^UPDATE \\d+-', '') AS plain, substr(t, strpos(t, '(Reuters)') + 9) AS body FROM h")
+def headline_parts(spark, d):
+    t = F.concat(F.lit("UPDATE "), (F.col("doc_id") % 5).cast("string"), F.lit("-Paris (Reuters)"), F.substring(F.coalesce("text", F.lit("")), 1, 80))
+    h = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    return h.select("doc_id", X.update_number("t").alias("number"), X.strip_update("t").alias("plain"), X.after_agency("t").alias("body"))
+
+
+@query(RB + """, m AS (SELECT *, row_number() OVER w AS n, sum(CASE WHEN lag_c IS NULL THEN volume ELSE sign(close - lag_c) * volume END) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS obv FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS lag_c FROM b) WINDOW w AS (PARTITION BY symbol ORDER BY date))
+SELECT symbol, date, CASE WHEN n >= 14 THEN -100 * (max(high) OVER w - close) / nullif(max(high) OVER w - min(low) OVER w, 0) END AS willr, close - lag(close, 10) OVER (PARTITION BY symbol ORDER BY date) AS mom, (high + low + 2 * close) / 4 AS wclprice, obv FROM m WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING)""")
+def indicators_by_name(spark, d):
+    df = regions(spark, d)
+    for name in ("WILLR", "MOM", "WCLPRICE", "OBV"):
+        df = I.by_name(df, name)
+    return df.select("symbol", "date", "willr", "mom", "wclprice", "obv")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS again FROM events")
+def json_round_trip(spark, d):
+    parsed = table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("p"))
+    return parsed.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("again"))

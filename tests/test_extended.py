@@ -488,6 +488,21 @@ def test_fallbacks():
     assert got["item_7"]["body"].startswith("Analysis paragraph 0") and "Risk" not in got["item_7"]["body"]
 
 
+def test_page_lists_and_quarterly_landmarks():
+    title = "Management's Discussion and Analysis of Financial Condition and Results of Operations"
+    pages = ["Overview 44", "Results of Operations 46", "Liquidity and Capital Resources 50", "Critical Accounting Estimates 55"]
+    statements = ["Consolidated Balance Sheets", *[f"Cash and equivalents {i},234 5,678 and other amounts of the year" for i in range(40)]]
+    listed = ["Consolidated Balance Sheets 61", "Consolidated Statements of Income 62", "Notes to Consolidated Financial Statements 63"]
+    text = "\n".join([*CONTENTS, *["Filler line of the front part."] * 60, title, *pages, *prose("Analysis", 15), "Quantitative and Qualitative Disclosures About Market Risk", *prose("Market", 3), *listed, "Filler line.", *statements])
+    got = {s["item_key"]: s for s in C.extract(text, "10-K")["sections"]}
+    assert {k: s["method"] for k, s in got.items()} == {"item_7": "mapped_mda", "item_8": "mapped_statements"}
+    assert got["item_7"]["body"].startswith("Analysis paragraph 0") and "Market paragraph" not in got["item_7"]["body"] and "Cash and equivalents 39" in got["item_8"]["body"]
+    quarter = "\n".join(["This report does not follow the traditional SEC Form 10-Q format.", *["Filler line of the front part."] * 30, "Consolidated Condensed Statements of Income", *[f"Net revenue {i},234 5,678 for the three months ended, in millions" for i in range(40)], "Consolidated balance sheets and notes follow.", "Management's Discussion and Analysis", *prose("Analysis", 15), "Risk Factors", *prose("Risk", 8), "Form 10-Q Cross-Reference Index", "Item 1 3"])
+    got = {s["item_key"]: s for s in C.extract(quarter, "10-Q", ("part_i_item_1", "part_i_item_2", "part_ii_item_1a"))["sections"]}
+    assert {k: s["method"] for k, s in got.items()} == dict.fromkeys(("part_i_item_1", "part_i_item_2", "part_ii_item_1a"), "untraditional_10q")
+    assert "Risk paragraph" not in got["part_i_item_2"]["body"] and "Cross-Reference" not in got["part_ii_item_1a"]["body"]
+
+
 def test_stubs_and_overlaps():
     assert C.is_short_value("Not applicable.") and C.is_reference("See Note 5.") and not C.is_reference("Revenue grew.")
     assert C.is_reference("The financial statements are included beginning on page F-1.")
