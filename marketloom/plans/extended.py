@@ -337,11 +337,11 @@ def broker_returns(spark, d):
     return got.select("symbol", *[F.round(c, 9).alias(c) for c in ("annual_return", "volatility", "sharpe", "sortino")])
 
 
-@query(NB + RET + ", f AS (SELECT * FROM r WHERE symbol <> 'FRANCE' OR date = (SELECT min(date) FROM r WHERE symbol = 'FRANCE')) SELECT symbol, count(ret) AS n, CASE WHEN count(*) <= 1 THEN 100000.0 ELSE arg_max(equity, date) END AS final_value, CASE WHEN count(*) <= 1 THEN 0.0 ELSE arg_max(equity, date) / arg_min(equity, date) - 1 END AS total_return FROM f GROUP BY symbol")
+@query(NB + RET + ", f AS (SELECT * FROM r WHERE symbol <> 'NATION_5' OR date = (SELECT min(date) FROM r WHERE symbol = 'NATION_5')) SELECT symbol, count(ret) AS n, CASE WHEN count(*) <= 1 THEN 100000.0 ELSE arg_max(equity, date) END AS final_value, CASE WHEN count(*) <= 1 THEN 0.0 ELSE arg_max(equity, date) / arg_min(equity, date) - 1 END AS total_return FROM f GROUP BY symbol")
 def zero_records(spark, d):
     r = M.returns(nations(spark, d))
-    first = r.where("symbol = 'FRANCE'").agg(F.min("date").alias("first"))
-    few = r.join(F.broadcast(first)).where("symbol <> 'FRANCE' OR date = first").drop("first")
+    first = r.where("symbol = 'NATION_5'").agg(F.min("date").alias("first"))
+    few = r.join(F.broadcast(first)).where("symbol <> 'NATION_5' OR date = first").drop("first")
     return M.zero_records(few).select("symbol", "n", "final_value", "total_return")
 
 
