@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,16 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _ROOTS.pop())
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Delete at the end what was written inside by operators of their own; what must stay goes to a ``Scratch`` made before."""
+    before = len(_ROOTS)
+    yield
+    for root in _ROOTS[before:]:
+        _delete(spark, root)
+    del _ROOTS[before:]
+
+
 @atexit.register
 def _at_end() -> None:
     spark = SparkSession.getActiveSession()
