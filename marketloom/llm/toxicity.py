@@ -37,22 +37,34 @@ def features(column: pa.Array):
         yield lo, hi, key >> BITS, key & ((1 << BITS) - 1)
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Sums of runs of ``values`` that begin at ``starts``, at the places ``where`` of an array of ``n``."""
+    out = np.zeros(n)
+    if len(starts):
+        out[where] = np.add.reduceat(values, starts)
+    return out
+
+
 def _logistic(rows, cols, n, extra, y, dims, *, steps=60, ridge=2e-4):
-    """(weights, weights of extra, bias) of a binary sparse logistic model, by accelerated gradient steps; classes weigh alike."""
+    """(weights, weights of extra, bias) of a binary sparse logistic model, by accelerated gradient steps; classes weigh alike. ``rows`` ascend."""
     w, v, b = np.zeros(dims), np.zeros(extra.shape[1]), 0.0
     share = max(y.mean(), 1e-6)
     weight = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / n
     pw, pv, pb = w.copy(), v.copy(), b
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    val = scale[rows]
+    # runs of a row's features, and in another order of a feature's rows
+    own, by_row = np.unique(rows, return_index=True)
+    order = np.argsort(cols, kind="stable")
+    used, by_col = np.unique(cols[order], return_index=True)
+    across = rows[order]
     rate = 4.0
     for t in range(1, steps + 1):
         m = (t - 1) / (t + 2)
         qw, qv, qb = w + m * (w - pw), v + m * (v - pv), b + m * (b - pb)
-        s = np.bincount(rows, weights=qw[cols] * val, minlength=n) + extra @ qv + qb
+        s = _sums(qw[cols], by_row, own, n) * scale + extra @ qv + qb
         g = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
         pw, pv, pb = w, v, b
-        w = qw - rate * 4 * (np.bincount(cols, weights=g[rows] * val, minlength=dims) + ridge * qw / 4)
+        w = qw - rate * 4 * (_sums((g * scale)[across], by_col, used, dims) + ridge * qw / 4)
         v = qv - rate * 0.2 * (extra.T @ g + ridge * qv)
         b = qb - rate * 0.2 * g.sum()
     return w, v, b
