@@ -139,15 +139,15 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 spread = (known[at] == tok) & (counts[at] > split)
                 ways = (counts[at[spread]] // split + 1).astype(U)
                 salt[spread] = U(1) + info["s2"][doc[spread]].view(U) % ways
-            # a shingle whose list would be long if all packs (about one a part) hold as many
+            # a shingle whose list would be long if all packs (about two a part) hold as many
             if split < parts * MEASURED:
                 rest = np.flatnonzero(~spread)
                 _, head, which, times = np.unique(tok[rest], return_index=True, return_inverse=True, return_counts=True)
-                long = times > max(1, split // parts)
+                long = times > max(1, split // (2 * parts))
                 if long.any():
                     own = rest[long[which]]
                     spread[own] = True
-                    salt[own] = U(1) + info["s2"][doc[own]].view(U) % (times[which[long[which]]] * parts // split + 1).astype(U)
+                    salt[own] = U(1) + info["s2"][doc[own]].view(U) % (times[which[long[which]]] * 2 * parts // split + 1).astype(U)
                     salt[rest[head[long]]] = 0  # tells the list's first part that there are others
             part = (mix(tok + salt * U(0x9E3779B9)) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -194,7 +194,7 @@ def _prefixes(size: int, percent: int, parts: int, frequent, split: int):
                 # -1: the prefix ends among the rare shingles, so others may follow
                 table.append((ids[i], n, ell, s1, s2, hub, rare if rare < k else -1))
                 held += k
-                if held >= 1_000_000:
+                if held >= 500_000:
                     yield packed()
                     held = 0
         if toks:

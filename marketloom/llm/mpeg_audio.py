@@ -374,7 +374,7 @@ def text_to_audio(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, bounds in chunks(batch.column(1)):
+            for lo, hi, data, bounds in chunks(batch.column(1), 1 << 21):
                 raw = data.tobytes()
                 out = [store(padded(raw[bounds[i] : bounds[i + 1]])) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], [key, "media"])
@@ -400,7 +400,7 @@ def media_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, bounds in chunks(batch.column(1)):
+            for lo, hi, data, bounds in chunks(batch.column(1), 1 << 21):
                 rows = []
                 for i in range(hi - lo):
                     stored = store(padded(data[bounds[i] : bounds[i + 1]].tobytes()))

@@ -172,7 +172,7 @@ def _pieces(capacity: int, vocabulary: str, end_id: int, key: str):
         encode = encoder(vocabulary)
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, _, _ in chunks(batch.column(1)):
+            for lo, hi, _, _ in chunks(batch.column(1), 1 << 21):
                 rows, out = [], []
                 for i, text in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()):
                     tokens = np.array([*encode(text or ""), end_id], "<u4")

@@ -237,7 +237,7 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
         count = counter(public_tokenizers.path(vocabulary))
         for batch in batches:
             sizes, tokens = [], []
-            for lo, hi, _, bounds in chunks(batch.column(1)):
+            for lo, hi, _, bounds in chunks(batch.column(1), 1 << 21):
                 sizes += np.diff(bounds).tolist()
                 tokens += count([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()])
             yield pa.RecordBatch.from_arrays(
