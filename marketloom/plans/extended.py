@@ -494,11 +494,11 @@ def many_queries(spark, d):
 # ---- scalars
 
 
-@query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, (ts::DATE - INTERVAL 24 MONTH)::DATE AS years, (ts::DATE - 730) AS days, floor(1000 * 0.5 / value)::BIGINT AS shares FROM events WHERE value > 0.01")
+@query("SELECT event_id, event_id * 1000 AS seconds, (ts::DATE - INTERVAL 24 MONTH)::DATE AS years, (ts::DATE - 730) AS days, floor(1000 * 0.5 / value)::BIGINT AS shares FROM events WHERE value > 0.01")
 def date_scalars(spark, d):
     e = table(spark, d, "events").where("value > 0.01")
     day = F.to_date("ts")
-    return e.select("event_id", X.to_unix("ts").alias("seconds"), X.years_before(day, 2).alias("years"), X.years_before(day, 2, False).alias("days"), X.whole_shares(F.lit(1000.0), "value", 0.5).alias("shares"))
+    return e.select("event_id", X.to_unix(X.from_unix(F.col("event_id") * 1000, "Asia/Tokyo"), "Asia/Tokyo").alias("seconds"), X.years_before(day, 2).alias("years"), X.years_before(day, 2, False).alias("days"), X.whole_shares(F.lit(1000.0), "value", 0.5).alias("shares"))
 
 
 @query("""WITH v AS (SELECT vec_id, (embedding::DOUBLE[])[1:4] AS e FROM embeddings), s AS (SELECT vec_id, e, list_transform(e, lambda x: exp(x - list_max(e))) AS x FROM v)

@@ -73,7 +73,7 @@ def stream_recent(spark, d):
     """The last five events of each type, from a stream whose state holds no more than those."""
     got = Y.recent(stream(spark, d, "events"), "event_type", "ts", "props")
     rows = last_of(to_the_end(got, spark, "recent", "update"), ["by"])
-    newest = table(spark, d, "events").groupBy(F.col("event_type").alias("by")).agg(F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("newest"))
+    newest = table(spark, d, "events").groupBy(F.col("event_type").alias("by")).agg(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.max("ts")).alias("newest"))
     return rows.join(newest, "by").select("by", F.size("items").cast("long").alias("n"), "newest")
 
 
