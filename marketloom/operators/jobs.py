@@ -18,14 +18,14 @@ _FIVE = ("TSLA", "NFLX", "AMZN", "MSFT", "COIN")
 # The setups' dates, tickers, mode, years of training and selection. A name that
 # ends in a number of tickers is looked up without it.
 SETUPS = {
-    "cherry_pick_both_finmem": {"first": "2022-10-06", "last": "2023-04-10", "tickers": _FIVE, "mode": "iter"},
-    "cherry_pick_both_fincon": {"first": "2022-10-05", "last": "2023-06-10", "tickers": (*_FIVE, "NIO", "GOOG", "AAPL"), "mode": "iter"},
+    "cherry_pick_5": {"first": "2022-10-06", "last": "2023-04-10", "tickers": _FIVE, "mode": "iter"},
+    "cherry_pick_8": {"first": "2022-10-05", "last": "2023-06-10", "tickers": (*_FIVE, "NIO", "GOOG", "AAPL"), "mode": "iter"},
     "selected_5": {"first": "2004-01-01", "last": "2024-01-01", "tickers": _FIVE, "mode": "rolling_window", "training_years": 3},
     "selected_4": {"first": "2004-01-01", "last": "2024-01-01", "tickers": _FIVE, "mode": "rolling_window", "training_years": 3},
     "random_sp500": {"first": "2004-01-01", "last": "2024-01-01", "mode": "rolling_window", "select": "random", "per_year": True},
     "momentum_sp500": {"first": "2004-01-01", "last": "2024-01-01", "mode": "rolling_window", "training_years": 2, "select": "momentum", "back": 100, "skip": 21},
     "lowvol_sp500": {"first": "2004-01-01", "last": "2024-01-01", "mode": "rolling_window", "training_years": 2, "select": "low_volatility", "lookback": 21},
-    "fincon_selector_sp500": {"first": "2004-01-01", "last": "2024-01-01", "mode": "rolling_window", "training_years": 2, "select": "diversified", "lookback_years": 2},
+    "diversified_sp500": {"first": "2004-01-01", "last": "2024-01-01", "mode": "rolling_window", "training_years": 2, "select": "diversified", "lookback_years": 2},
 }
 
 

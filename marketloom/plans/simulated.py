@@ -123,9 +123,9 @@ def job_states(spark, d):
     return O.states(o.select(*O.KEYS).distinct(), o.where("o_totalprice < 150000"), o.where("o_totalprice > 200000"), "1998-01-01", 31_536_000, 10)
 
 
-@query("SELECT s.setup, w.\"window\", t.ticker FROM (VALUES ('selected_5'), ('cherry_pick_both_finmem')) s(setup), (VALUES ('2020'), ('2021')) w(\"window\"), (VALUES ('TSLA'), ('NFLX'), ('AMZN'), ('MSFT'), ('COIN')) t(ticker)")
+@query("SELECT s.setup, w.\"window\", t.ticker FROM (VALUES ('selected_5'), ('cherry_pick_5')) s(setup), (VALUES ('2020'), ('2021')) w(\"window\"), (VALUES ('TSLA'), ('NFLX'), ('AMZN'), ('MSFT'), ('COIN')) t(ticker)")
 def job_grid(spark, d):
-    names = ("selected_5", "cherry_pick_both_finmem")
+    names = ("selected_5", "cherry_pick_5")
     return O.grid(spark, {n: list(O.setup(n)["tickers"]) for n in names}, ["2020", "2021"])
 
 
