@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .indicators import full, lag, rolling, series
+from .indicators import full, lag, series
 
 EPS = 1e-12
 
