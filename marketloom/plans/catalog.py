@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,48 +15,7 @@ from ..operators import select as T
 from ..operators import simulate as B
 from ..operators import statistics as Q
 from ..sources import market as S
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _bars(name: str, more: str = "") -> str:
-    return f"""l AS (SELECT {name} AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS px, l_quantity AS qty, 1 - l_discount AS ratio,
-  row_number() OVER (PARTITION BY {name}, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS k
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-b AS (SELECT symbol, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(qty) AS volume, arg_max(px, k) * arg_max(ratio, k) AS adjusted_close FROM l GROUP BY symbol, date){more}"""
-
-
-NB, RB = "WITH " + _bars("n_name"), "WITH " + _bars("r_name")
-TICKS = "t AS (SELECT event_type AS symbol, ts, value AS price, 1.0::DOUBLE AS size FROM events)"
-RET = ", r AS (SELECT symbol, date, close AS equity, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM b)"
-
-
-def ticks(spark, d):
-    return table(spark, d, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"))
+from .base import NB, RB, RET, TICKS, bars_sql, oracle_sql, queries, query, table, ticks  # noqa: F401  the register is part of the catalogue
 
 
 @query(NB + " SELECT symbol, date, open, high, low, close, volume, adjusted_close FROM b")
@@ -90,7 +46,7 @@ def bollinger(spark, d):
     return I.bollinger(S.stand_in_bars(spark, d)).select("symbol", "date", "bb_mid", "bb_up", "bb_low")
 
 
-@query("WITH RECURSIVE " + _bars("r_name") + """, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM b),
+@query("WITH RECURSIVE " + bars_sql("r_name") + """, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM b),
 e AS (SELECT symbol, date, n, close, close AS ema9, close AS ema12, close AS ema26, 0.0::DOUBLE AS sig FROM o WHERE n = 1 UNION ALL
 SELECT o.symbol, o.date, o.n, o.close, x.ema9 + 0.2::DOUBLE * (o.close - x.ema9), x.ema12 + (2.0::DOUBLE / 13) * (o.close - x.ema12), x.ema26 + (2.0::DOUBLE / 27) * (o.close - x.ema26),
 x.sig + 0.2::DOUBLE * ((x.ema12 + (2.0::DOUBLE / 13) * (o.close - x.ema12)) - (x.ema26 + (2.0::DOUBLE / 27) * (o.close - x.ema26)) - x.sig) FROM e x JOIN o ON o.symbol = x.symbol AND o.n = x.n + 1)
@@ -100,7 +56,7 @@ def ema_macd(spark, d):
     return df.select("symbol", "date", *[F.round(c, 8).alias(c) for c in ("ema9", "ema12", "ema26", "macd", "macd_signal")])
 
 
-@query("WITH RECURSIVE " + _bars("r_name") + """, o AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n,
+@query("WITH RECURSIVE " + bars_sql("r_name") + """, o AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n,
 CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY date) IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY date)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY date))) END AS tr FROM b),
 s AS (SELECT symbol, avg(tr) AS a FROM o WHERE n <= 14 GROUP BY symbol),
 e AS (SELECT o.symbol, o.date, o.n, s.a AS atr FROM o JOIN s USING (symbol) WHERE n = 14 UNION ALL SELECT o.symbol, o.date, o.n, (x.atr * 13 + o.tr) / 14 FROM e x JOIN o ON o.symbol = x.symbol AND o.n = x.n + 1)
@@ -223,7 +179,7 @@ def select_volume(spark, d):
     return T.top_volume(S.stand_in_bars(spark, d), "2000-01-01")
 
 
-@query("WITH w AS (SELECT i::INT AS win, (DATE '1995-01-01' + to_years(i::INT))::DATE AS lo, (DATE '1995-01-01' + to_years(i::INT + 2))::DATE AS hi FROM range(0, 5) t(i)), " + _bars("n_name") + " SELECT win, lo, hi, symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM b JOIN w ON date >= lo AND date < hi GROUP BY ALL")
+@query("WITH w AS (SELECT i::INT AS win, (DATE '1995-01-01' + to_years(i::INT))::DATE AS lo, (DATE '1995-01-01' + to_years(i::INT + 2))::DATE AS hi FROM range(0, 5) t(i)), " + bars_sql("n_name") + " SELECT win, lo, hi, symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM b JOIN w ON date >= lo AND date < hi GROUP BY ALL")
 def windows_rolling(spark, d):
     w = R.rolling_windows(spark, "1995-01-01", "2001-01-01", 2)
     return R.bars_in_windows(S.stand_in_bars(spark, d), w).groupBy("win", "lo", "hi", "symbol").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))

@@ -13,7 +13,7 @@ from ..operators import relational as R
 from ..operators import select as T
 from ..operators import statistics as Q
 from ..sources import market as S
-from .catalog import NB, RB, RET, query, table, ticks
+from .base import NB, RB, RET, query, table, ticks
 
 
 def nations(spark, d):

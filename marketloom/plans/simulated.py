@@ -15,7 +15,7 @@ from ..operators import relational as R
 from ..operators import sections as C
 from ..operators import simulate as B
 from ..sources import market as S
-from .catalog import RB, query, table
+from .base import RB, query, table
 
 
 def _days(spark, d):

@@ -9,7 +9,7 @@ from ..operators import jobs as O
 from ..operators import sections as C
 from ..operators import simulate as B
 from ..sources import market as S
-from .catalog import NB, RB, RET, query, table
+from .base import NB, RB, RET, query, table
 from .simulated import _SECTIONS, filings
 from .streamed import shared
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..streaming import replay as Y
 from ..streaming.bars import tick_bars
-from .catalog import TICKS, query, table
+from .base import TICKS, query, table
 
 
 def shared(spark: SparkSession, name: str) -> str:
