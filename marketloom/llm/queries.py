@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filters
+from . import exact_dedup, filter_audit, jaccard_join, lexical_search, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +53,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_jaccard_join, op3_token_counts, op4_mixing, op5_quality_classifier, op6_quality_rules, op7_sharding, op8_url_filters, op9_media, op10_packing)
+    own = (
+        op1_toxicity, op2_jaccard_join, op3_token_counts, op4_mixing, op5_quality_classifier, op6_quality_rules, op7_sharding, op8_url_filters, op9_media, op10_packing,
+        op11_filter_audit, op12_lexical_search, op13_exact_dedup,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.oracle(), "op4_mixing": mixing.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_url_filters": url_filters.oracle()}
+    return {
+        "op2_jaccard_join": jaccard_join.oracle(), "op4_mixing": mixing.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_url_filters": url_filters.oracle(),
+        "op11_filter_audit": filter_audit.oracle(), "op12_lexical_search": lexical_search.oracle(), "op13_exact_dedup": exact_dedup.oracle(),
+    }

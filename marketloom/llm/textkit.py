@@ -64,31 +64,31 @@ def chunks(column: pa.Array, limit: int = SEG) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def _segments(data: np.ndarray, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``SEG`` bytes (more only within one word) that cut no word."""
     pos, n = 0, len(data)
     while pos < n:
         end = min(n, pos + SEG)
         if end < n:
-            back = np.flatnonzero(SPACE[data[pos:end]])
+            back = np.flatnonzero(gaps[data[pos:end]])
             if len(back):
                 end = pos + int(back[-1]) + 1
             else:
-                while end < n and not SPACE[data[end]]:
-                    step = np.flatnonzero(SPACE[data[end : end + SEG]])
+                while end < n and not gaps[data[end]]:
+                    step = np.flatnonzero(gaps[data[end : end + SEG]])
                     end = end + int(step[0]) if len(step) else min(n, end + SEG)
         yield pos, end
         pos = end
 
 
-def words(data: np.ndarray, bounds: np.ndarray, fold: bool = True, prefixes: tuple[int, ...] = ()):
-    """(hash of each word, its row, byte length, [hash of its first k bytes for each k])."""
+def words(data: np.ndarray, bounds: np.ndarray, fold: bool = True, prefixes: tuple[int, ...] = (), gaps: np.ndarray = SPACE):
+    """(hash of each word, its row, byte length, [hash of its first k bytes for each k]); ``gaps`` marks the bytes between words."""
     letters = _table("fold" if fold else "exact")
     hs, rows, sizes = [], [], []
     heads: list[list[np.ndarray]] = [[] for _ in prefixes]
-    for pos, end in _segments(data):
+    for pos, end in _segments(data, gaps):
         b = data[pos:end]
-        word = ~SPACE[b]
+        word = ~gaps[b]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]

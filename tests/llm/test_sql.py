@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS FROM '{D}/{t}.parquet'")
     df = queries.queries()[name](spark, D)
     cols = sorted(df.columns)
