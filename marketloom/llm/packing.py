@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only the number of pieces of each length matters for the plan, and that histogram has at most
-``capacity`` entries. The sums of one, two and three lengths are hashed to the combinations
-that make them. From the longest length down, a gap is looked up in this index; a
-combination that fills it exactly is taken as often as the counts allow, which uses up a
-length each time. What no
-combination fills is packed by best fit. The pieces then find their places by their rank
+``capacity`` entries. Sums of one and two lengths are hashed to the combinations that make
+them, and a triple is a first length beside a pair. From the longest length down, the gap it
+leaves is looked up in this index, for the combination with the longest first part; one that
+fills the gap exactly is taken as often as the counts allow, which uses up a length each time.
+Where exact filling would begin with a part much shorter than the longest that fits, it would
+only leave the long ones without partners: then the longest is taken, as best fit does, and
+what is left of the gap is looked up again. How much shorter is tried at several values, and
+the plan with the fewest sequences is kept. The pieces then find their places by their rank
 among the pieces of their length.
 """
 
@@ -50,108 +53,85 @@ def encoder(vocabulary: str, whole: str = "byte_bpe_50k.json"):
 
 
 class Sums:
-    """Sums of one, two and three lengths, each hashed to the combinations that make it.
-
-    Counts only fall while gaps are filled, so a combination that is used up never comes back
-    and is taken off its sum's list, which begins with the longest first length. A triple is
-    kept as its longest length; the rest of it is a pair, found by its own sum.
-    """
-
-    def __init__(self, have: np.ndarray):
-        self.have = have
-        self.held = 0
-        there = np.flatnonzero(have)
-        self.pairs: dict[int, list[tuple[int, int]]] = {}
-        self.triples: dict[int, list[int]] = {}
-        capacity = len(have) - 1
+    """Lengths at hand, and the sums of two lengths, each hashed to the longer parts of the pairs that make it."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.have[length] = n
+        there = np.flatnonzero(self.have)
+        pairs: dict[int, list[int]] = {}
         for a in there[::-1].tolist():
             for b in there[there <= min(a, capacity - a)].tolist():
-                self.pairs.setdefault(a + b, []).append((a, b))
-        sums = np.array(sorted(self.pairs), np.int64)
-        for a in there[::-1].tolist():
-            for rest in sums[(sums <= 2 * a) & (sums <= capacity - a)].tolist():
-                self.triples.setdefault(a + rest, []).append(a)
-
-    def fill(self, length: int, gap: int) -> tuple[int, ...] | None:
-        """One to three lengths at hand that sum to ``gap`` beside one piece of ``length``."""
-        if gap <= 0:
+                pairs.setdefault(a + b, []).append(a)
+        self.pairs = {total: np.array(longer, np.int64) for total, longer in pairs.items()}
+
+    def longest(self, gap: int) -> int:
+        """The longest length at hand of at most ``gap``; 0 if there is none."""
+        fits = np.flatnonzero(self.have[1 : gap + 1])
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two lengths at hand that sum to ``total``, the longer of at most ``most``, with the longest one."""
+        longer = self.pairs.get(total)
+        if longer is None:
             return None
-        self.have[length] -= 1
-        self.held = length
-        found = (gap,) if self.have[gap] else self._pair(gap) or self._triple(gap)
-        self.have[length] += 1
-        return found
-
-    def _left(self, x: int) -> int:
-        """Pieces of a length, with the one that waits for its gap to be filled."""
-        return int(self.have[x]) + (x == self.held)
-
-    def _pair(self, total: int) -> tuple[int, int] | None:
-        own = self.pairs.get(total, [])
-        while own and not (self._left(own[0][0]) and self._left(own[0][1]) > (own[0][0] == own[0][1])):
-            own.pop(0)
-        return next(((a, b) for a, b in own if self.have[a] > 0 and self.have[b] > (a == b)), None)
-
-    def _triple(self, total: int) -> tuple[int, ...] | None:
-        own = self.triples.get(total, [])
-        while own and not (self._left(own[0]) and self.pairs.get(total - own[0])):
-            own.pop(0)
-        for a in own:
-            if self.have[a] > 0:
-                self.have[a] -= 1
-                rest = self._pair_beside(total - a)
-                self.have[a] += 1
-                if rest:
-                    return (a, *rest)
+        ok = (longer <= most) & (self.have[longer] > 0) & (self.have[total - longer] > (2 * longer == total))
+        first = np.flatnonzero(ok)
+        return (int(longer[first[0]]), total - int(longer[first[0]])) if len(first) else None
+
+    def exact(self, gap: int, least: int) -> tuple[int, ...] | None:
+        """One to three lengths at hand that sum to ``gap``, the first the longest and of at least ``least``: the longest first part there is."""
+        for a in (np.flatnonzero(self.have[least : gap + 1]) + least)[::-1].tolist():
+            rest = gap - a
+            if rest == 0:
+                return (a,)
+            if rest <= a and self.have[rest] > (rest == a):
+                return (a, rest)
+            self.have[a] -= 1
+            two = self.pair(rest, a)
+            self.have[a] += 1
+            if two:
+                return (a, *two)
         return None
 
-    def _pair_beside(self, total: int) -> tuple[int, int] | None:
-        """As ``_pair``, while a further length is held back: nothing is taken off the list."""
-        return next(((a, b) for a, b in self.pairs.get(total, []) if self.have[a] > 0 and self.have[b] > (a == b)), None)
-
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used; every piece is used once."""
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(pattern: tuple[int, ...]) -> None:
-        use = Counter(pattern)
-        times = min(int(have[x]) // k for x, k in use.items())
-        for x, k in use.items():
-            have[x] -= k * times
-        out.append((pattern, times))
-
-    sums = Sums(have)
-    for length in range(capacity, 0, -1):
-        while have[length]:
-            if length == capacity:
-                take((length,))
-                continue
-            rest = sums.fill(length, capacity - length)
-            if not rest:
-                break
-            take((length, *rest))
-    # best fit of what no combination fills
+def _plan(sums: Sums, capacity: int, slack: int | None) -> list[tuple[tuple[int, ...], int]]:
+    """One plan; exact combinations may begin with a part that is ``slack`` shorter than the longest that fits (None: best fit alone)."""
+    have, out = sums.have.copy(), []
+    kept, sums.have = sums.have, have
     for length in range(capacity, 0, -1):
         while have[length]:
             pattern, gap = [length], capacity - length
             have[length] -= 1
-            while gap:
-                fits = np.flatnonzero(have[1 : gap + 1])
-                if not len(fits):
-                    break
-                pattern.append(int(fits[-1]) + 1)
-                have[pattern[-1]] -= 1
-                gap -= pattern[-1]
-            for x in pattern:
-                have[x] += 1
-            take(tuple(pattern))
+            while gap and (longest := sums.longest(gap)):
+                found = None if slack is None else sums.exact(gap, max(1, longest - slack))
+                found = found or (longest,)
+                for x in found:
+                    have[x] -= 1
+                pattern += found
+                gap -= sum(found)
+            use = Counter(pattern)
+            for x, k in use.items():
+                have[x] += k
+            times = min(int(have[x]) // k for x, k in use.items())
+            for x, k in use.items():
+                have[x] -= k * times
+            out.append((tuple(pattern), times))
+    sums.have = kept
     return out
 
 
+#: How much shorter than the longest that fits the first part of an exact combination may be.
+SLACKS = (0, 8, 32, 128)
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths and how often each is used; every piece is used once, in no more sequences than best fit alone takes."""
+    sums = Sums(counts, capacity)
+    return min((_plan(sums, capacity, slack) for slack in (*SLACKS, None)), key=lambda found: sum(times for _, times in found))
+
+
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: first rank of each run of ranks, its first sequence, the offset there."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
@@ -198,8 +178,8 @@ def pack(
     shorter. Equal rows and null keys are packed like any other; other columns are ignored;
     an empty table gives an empty result. Texts of over ``LONG`` characters are encoded by the
     tokenizers library, so no run of blanks or letters is too long. The text is read and tokenized once; the histogram
-    of lengths (at most ``capacity`` rows) goes to the driver, the plan (at most two patterns
-    for each length, as each use ends a length) to the executors. Pieces of a length are dealt
+    of lengths (at most ``capacity`` rows) goes to the driver, the plan (a pattern ends a length,
+    or lacks a piece of one for a second use) to the executors. Pieces of a length are dealt
     over ``BUCKETS`` buckets; only sums of these (``BUCKETS`` / ``GROUP`` rows) meet by length.
     """
     scratch = Scratch(docs.sparkSession, "packing")

@@ -9,6 +9,7 @@ import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -92,18 +93,53 @@ def test_packing(docs, rows, tokenizer):
 def test_sums_are_those_of_a_search():
     rng = random.Random(5)
     for _ in range(60):
-        have = np.zeros(41, np.int64)
-        for _ in range(rng.randint(1, 12)):
-            have[rng.randint(1, 40)] += 1
-        sums, length = packing.Sums(have), int(rng.choice(np.flatnonzero(have)))
-        left = Counter({x: int(have[x]) for x in np.flatnonzero(have).tolist()})
-        left[length] -= 1
+        left = Counter(rng.randint(1, 40) for _ in range(rng.randint(1, 12)))
+        sums, gap = packing.Sums(left, 40), rng.randint(1, 39)
         pieces = sorted(left.elements())
-        exact = {n for k in (1, 2, 3) for c in __import__("itertools").combinations(pieces, k) if (n := sum(c)) == 40 - length}
-        found = sums.fill(length, 40 - length)
+        exact = [c for k in (1, 2, 3) for c in combinations(pieces, k) if sum(c) == gap]
+        found = sums.exact(gap, 1)
         assert bool(found) == bool(exact)
         if found:
-            assert sum(found) == 40 - length and not Counter(found) - left
+            assert sum(found) == gap and not Counter(found) - left and found[0] == max(found) == max(map(max, exact))
+            assert sums.exact(gap, found[0]) and not sums.exact(gap, found[0] + 1)
+
+
+def best_fit(counts, capacity):
+    """Sequences that plain best fit takes, piece by piece from the longest."""
+    gaps = Counter()
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = min((g for g in gaps if g >= length and gaps[g]), default=capacity)
+            if gaps[gap]:
+                gaps[gap] -= 1
+            gaps[gap - length] += 1
+    return sum(gaps.values())
+
+
+def test_no_more_sequences_than_best_fit(tokenizer):
+    rng = np.random.default_rng(8)
+    draws = [rng.integers(1, 1025, 3000), rng.integers(300, 701, 3000), rng.integers(257, 512, 2000), rng.integers(100, 401, 3000), np.minimum(rng.lognormal(5.5, 1, 3000).astype(int) + 1, 1024)]
+    draws += [rng.integers(1, rng.integers(2, 1025), rng.integers(1, 60)) for _ in range(40)]
+    for lengths in draws:
+        counts = Counter(lengths.tolist())
+        found = packing.plan(counts, 1024)
+        used = Counter()
+        for pattern, times in found:
+            assert sum(pattern) <= 1024 and times > 0
+            for x in pattern:
+                used[x] += times
+        assert used == counts
+        assert -(-sum(k * n for k, n in counts.items()) // 1024) <= sum(t for _, t in found) <= best_fit(counts, 1024)
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    counts = Counter()
+    for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False):
+        n = len(x.ids) + 1
+        counts.update({1024: n // 1024} if n >= 1024 else {})
+        counts.update([n % 1024] if n % 1024 else [])
+    least, most = -(-sum(k * n for k, n in counts.items()) // 1024), best_fit(counts, 1024)
+    assert (least, most) == (962, 964) and sum(t for _, t in packing.plan(counts, 1024)) <= 963
 
 
 def test_mixing_reaches_its_targets(docs, rows):
