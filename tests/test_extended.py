@@ -506,6 +506,14 @@ def test_page_lists_and_quarterly_landmarks():
 def test_stubs_and_overlaps():
     assert C.is_short_value("Not applicable.") and C.is_reference("See Note 5.") and not C.is_reference("Revenue grew.")
     assert C.is_reference("The financial statements are included beginning on page F-1.")
+    assert C.is_reference("The information required is incorporated by reference to our proxy statement. See also Item 15.")
+    assert not C.is_reference("Our plants are described below. We own nine of them. See Note 5 for leases.")
+    assert not C.is_reference("See Note 5. " + "Revenue grew in every region that we serve. " * 4) and not C.is_reference("") and not C.is_reference("Sales are set forth as they fell.")
+    assert C.is_carry_forward("There have been no material changes to the risk factors disclosed in our Form 10-K.")
+    assert C.is_carry_forward("Our risk factors remain unchanged. Refer to Part I, Item 1A of our Annual Report.")
+    assert not C.is_carry_forward("There were no material changes in our prices.") and not C.is_carry_forward("Risk factors follow. A strike may stop our mills.")
+    assert not C.is_carry_forward("No risk factors changed materially. " + "A strike may stop our mills, and a drought may stop our ships for longer than we can bear. " * 4)
+    assert C.opens_with_contents("Overview 12\nResults 14\nLiquidity 20") and not C.opens_with_contents("We make cars and sell them in many countries of the world.\nSales rose by 12")
     s = lambda k, a, b: {"item_key": k, "line_start": a, "line_end": b}
     assert C.overlaps([s("a", 1, 10), s("b", 9, 12), s("c", 12, 20), s("d", 15, 30)]) == [("a", "b", 2, "warn"), ("b", "c", 1, "warn"), ("c", "d", 6, "fail")]
 
