@@ -214,11 +214,13 @@ def classes(c):
         return 0
     if cat == "Lu":
         return 1
-    if cat[0] == "L":
+    if cat[0] in "LM":
         return 2
     if cat[0] == "N":
         return 3
-    return 5 if c in ".,;:'\"?()-" else 6
+    if c in ".,;:'\"?()-":
+        return 5
+    return 6 if cat[0] == "P" and not c.isascii() else 7
 
 
 def distance(p, q):
@@ -234,23 +236,37 @@ def passes(w):
     return len(w) >= 10 and 100 * len(covered) <= 20 * len(w)
 
 
-def test_quality_rules(spark, docs, rows):
-    hists, shorts, clean, totals = defaultdict(lambda: [0] * 7), defaultdict(Counter), defaultdict(Counter), Counter()
-    for _, t, lang, *_ in rows:
-        w = WORD.findall(t or "")
-        shorts[lang].update(x.lower() for x in w if len(x) <= 4 and "," not in x)
-        if passes(w):
-            totals[lang] += len(w)
-            clean[lang].update(x.lower() for x in w if len(x) <= 4)
-            for c in t:
-                hists[lang][classes(c)] += 1
-    refs = []
-    for lang, n in totals.items():
-        if n:
-            top = sorted(shorts[lang].items(), key=lambda x: (-x[1], x[0]))[:16]
-            own = [clean[lang][x] / n for x, _ in top]
-            refs.append(([v / sum(hists[lang]) for v in hists[lang]], [x for x, _ in top], [*own, 1 - sum(own)]))
-    got = quality_rules.quality_rules(docs, keep=("text",)).collect()
+LEAST = {"least_docs": 8, "reference_words": 300, "reference_chars": 900}
+
+
+@pytest.mark.parametrize("least", [LEAST, {"least_docs": 8, "reference_words": 1200, "reference_chars": 900}, {"least_docs": 10**6}, {}])
+def test_quality_rules(spark, docs, rows, least, monkeypatch):
+    least = {"least_docs": 20, "reference_words": 2_000, "reference_chars": 10_000} | least
+    monkeypatch.setattr(quality_rules, "LARGE", 3)  # a language of fewer than a third of the passing rows is not large
+    unit = 10**9
+    hists, totals, clean, count, pool = defaultdict(lambda: [0] * 8), Counter(), defaultdict(Counter), Counter(), [0] * 8
+    size, length = Counter(), Counter()
+    hist_of = lambda t: [Counter(map(classes, t))[k] for k in range(8)]
+    passing = [(t or "", lang or "") for _, t, lang, *_ in rows if passes(WORD.findall(t or ""))]
+    for t, lang in passing:
+        w = WORD.findall(t)
+        count[lang] += 1
+        size[lang], length[lang] = size[lang] + len(w), length[lang] + len(t)
+        totals[lang] += len(w) * (unit // len(w))
+        for x in w:
+            if len(x) <= 4:
+                clean[lang][x.lower()] += unit // len(w)
+        for k, v in enumerate(hist_of(t)):
+            hists[lang][k] += v * (unit // len(t))
+            pool[k] += v * (unit // len(t))
+    refs = {}
+    for lang in count:
+        if count[lang] >= least["least_docs"] and size[lang] >= least["reference_words"] and length[lang] >= least["reference_chars"]:
+            top = sorted(clean[lang].items(), key=lambda x: (-x[1], x[0]))[:16]
+            refs[lang] = (hists[lang], [x for x, _ in top], [s for _, s in top], totals[lang], count[lang] * 3 >= len(passing))
+    wide = lambda h: [h[0] + h[1] + h[2], h[3], h[4] + h[5] + h[6], h[7]]
+    shares = lambda h: [x / sum(h) for x in h]
+    got = quality_rules.quality_rules(docs, keep=("text", "lang"), **least).collect()
     assert len(got) == len(rows)
     for r in got:
         t = r.text or ""
@@ -258,18 +274,29 @@ def test_quality_rules(spark, docs, rows):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         assert r.word_chars == sum(map(len, w)) and r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert r.n_dup_lines == len(lines) - len(set(lines))
-        best = (math.inf, None, None)
-        for chars, vocab, shares in refs:
+        lang, found = r.lang or "", []
+        if r.base_failed:
+            assert not r.kept and r.char_distance is r.word_distance is None
+            continue
+        h, u, v = hist_of(t), unit // len(t), unit // len(w)
+        for own, (hist, vocab, sums, total, large) in refs.items():
+            if not large and own != lang:
+                continue
+            me = own == lang
             cd = wd = None
             if len(t) >= 100:
-                h = Counter(map(classes, t))
-                cd = distance([h[k] / len(t) for k in range(7)], chars)
+                cd = distance(shares(h), shares([a - me * b * u for a, b in zip(hist, h)]))
             if len(w) >= 40:
                 n = Counter(x.lower() for x in w if len(x) <= 4)
-                own = [n[x] / len(w) for x in vocab]
-                wd = distance([*own, 1 - sum(own)], shares)
-            best = min(best, (max((wd or 0) / 0.5, (cd or 0) / 0.25), cd, wd), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
-        assert r.kept == (not r.base_failed and best[0] <= 1)
+                mine = [n[x] / len(w) for x in vocab]
+                theirs = [(s - me * n[x] * v) / (total - me * len(w) * v) for x, s in zip(vocab, sums)]
+                wd = distance([*mine, 1 - sum(mine)], [*theirs, 1 - sum(theirs)])
+            found.append((max((wd or 0) / 0.5, (cd or 0) / 0.25), cd, wd))
+        if lang not in refs and len(passing) >= least["least_docs"]:
+            cd = distance(shares(wide(h)), shares(wide([a - b * u for a, b in zip(pool, h)]))) if len(t) >= 100 else None
+            found.append(((cd or 0) / 0.25, cd, None))
+        best = min(found, key=lambda x: (x[0], x[1] is not None, x[1] or 0), default=(0, None, None))
+        assert r.kept == (best[0] <= 1)
         for a, b in ((r.char_distance, best[1]), (r.word_distance, best[2])):
             assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
     empty = quality_rules.quality_rules(docs.limit(0))
