@@ -444,4 +444,4 @@ def turbulence_index(spark, d):
     return Q.turbulence(M.returns(S.stand_in_bars(spark, d, "region")))
 
 
-from . import extended, simulated, stored, streamed  # noqa: E402, F401  their queries join the catalogue
+from . import extended, indexed, simulated, stored, streamed  # noqa: E402, F401  their queries join the catalogue

@@ -16,7 +16,7 @@ def test_runs(spark, name):
     assert len(catalog.queries()[name](spark, D).collect()) > 0
 
 
-@pytest.mark.parametrize("module", ["base", "catalog", "extended", "simulated", "stored", "streamed"])
+@pytest.mark.parametrize("module", ["base", "catalog", "extended", "indexed", "simulated", "stored", "streamed"])
 def test_imports_alone(module):
     done = subprocess.run([sys.executable, "-c", f"import marketloom.plans.{module}"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
