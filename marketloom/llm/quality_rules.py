@@ -35,6 +35,8 @@ CLASSES = {
 WIDE = ((0, 1, 2), (3,), (4, 5, 6), (7,))
 #: Of classes that most characters of a script are in, what is left when runs of all others go: a match a run, not one a character.
 OTHERS = {"lower": r"\P{Ll}+", "other_letter": r"[^\p{Lt}\p{Lm}\p{Lo}\p{M}]+"}
+#: Classes without ASCII characters: they are counted in what is left of a text without these.
+WIDER = ("other_letter", "mark")
 #: Shares are summed as whole numbers of this, so that sums do not depend on their order.
 UNIT = 1_000_000_000
 #: A language of at least one in so many of the passing documents is large: there are no more such languages.
@@ -45,8 +47,9 @@ SMALL_REFERENCES = 20_000
 FAILED = "(n < 10 OR 100 * n_repeat_words > 20 * n)"
 
 
-def _histogram(text: Column) -> list[Column]:
-    count = lambda c, p: F.length(F.regexp_replace(text, F.lit(OTHERS[c]), F.lit(""))) if c in OTHERS else F.regexp_count(text, F.lit(p))
+def _histogram(text: str, wider: str) -> list[Column]:
+    of = lambda c: F.col(wider if c in WIDER else text)
+    count = lambda c, p: F.length(F.regexp_replace(of(c), F.lit(OTHERS[c]), F.lit(""))) if c in OTHERS else F.regexp_count(of(c), F.lit(p))
     return [count(c, p).cast("long").alias(c) for c, p in CLASSES.items()]
 
 
@@ -67,12 +70,13 @@ def features(docs: DataFrame, *, key: str, text: str, lang: str, letters: int, k
         F.col(key).alias("_k"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
+    df = df.withColumn("wider", F.regexp_replace("t", F.lit(r"[\x00-\x7F]+"), F.lit("")))
     df = df.withColumns({
         "w": F.regexp_extract_all("t", F.lit(WORD), F.lit(0)),
         "chars": F.length("t"),
         "n_symbols": F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long"),
         "lines": F.expr(r"filter(split(t, '\\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
-        "hist": F.array(*_histogram(F.col("t"))),
+        "hist": F.array(*_histogram("t", "wider")),
     })
     runs = "transform(sorted, (x, i) -> CASE WHEN i = 0 OR x <> get(sorted, i - 1) THEN i END)"
     counted = "struct(transform(starts, i -> sorted[i]) AS seen, transform(starts, (i, j) -> coalesce(get(starts, j + 1), size(sorted)) - i) AS times)"
@@ -84,7 +88,7 @@ def features(docs: DataFrame, *, key: str, text: str, lang: str, letters: int, k
         "word_chars": F.length(F.array_join("w", "")).cast("long"),
         "h": F.expr("CASE WHEN size(w) >= 5 THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) ELSE array() END"),
         "short": F.expr(_let("sorted", short, _let("starts", f"filter({runs}, i -> i IS NOT NULL)", counted))),
-    }).drop("t", "w", "lines")
+    }).drop("t", "wider", "w", "lines")
     # places of windows that another window equals, in order; only texts that have some pay for the sort
     df = df.withColumn("s", F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN array_sort(transform(h, (x, i) -> struct(x AS x, i AS i))) END")).drop("h")
     df = df.withColumn("p", F.expr("CASE WHEN s IS NOT NULL THEN array_sort(transform(filter(s, (e, j) -> coalesce(get(s, j - 1).x = e.x, false) OR coalesce(get(s, j + 1).x = e.x, false)), e -> e.i)) END")).drop("s")
@@ -216,7 +220,8 @@ def oracle(documents: str = "documents") -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(text, '') AS t, row_number() OVER () AS rid FROM {documents}),
 f AS (SELECT doc_id, l, rid, length(t) AS chars, regexp_extract_all(t, '{WORD}') AS w, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-  list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, [{hist}] AS seven FROM d),
+  list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines, [{hist}] AS seven FROM d),
 g AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM f WHERE len(w) >= 5),
 y AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 4], ' ')) AS k FROM g),
 a AS (SELECT f.*, list_append(seven, chars - list_sum(seven)) AS hist, len(w) AS n, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM f
