@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .segmented import zigzag  # noqa: F401  by blocks, but an indicator like the others
+
 BY, AT = "symbol", "date"
 
 
@@ -239,29 +241,6 @@ def atr_divergence(df: DataFrame, atr: int = 7, k: float = 2.0, spread: int = 7,
     return df.withColumn("signal", signal).drop("_tr", "_stop", "_ret", "_mean", "_dev")
 
 
-def zigzag(df: DataFrame, percent: float = 5.0) -> DataFrame:
-    """(symbol, date, close, pivot): 1 at confirmed tops, -1 at bottoms, of moves of at least ``percent``; else 0.
-
-    A top is confirmed by a fall of that much from it, a bottom by such a rise. A fold over a
-    symbol's rows in Arrow groups, as each pivot depends on the one before.
-    """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(AT)
-        close, out = rows["close"].to_list(), [0] * len(rows)
-        way, top, bottom = 0, 0, 0
-        for i, x in enumerate(close):
-            top, bottom = (i if x > close[top] else top), (i if x < close[bottom] else bottom)
-            if way >= 0 and x <= close[top] * (1 - percent / 100):
-                out[top], way, bottom = (1 if way or top else 0), -1, i
-            elif way <= 0 and x >= close[bottom] * (1 + percent / 100):
-                out[bottom], way, top = (-1 if way or bottom else 0), 1, i
-        return pd.DataFrame({BY: rows[BY], AT: rows[AT], "close": rows["close"], "pivot": out})
-
-    return df.select(BY, AT, "close").groupBy(BY).applyInPandas(run, f"{BY} string, {AT} date, close double, pivot int")
-
-
 def price_moves(df: DataFrame, back: tuple[int, ...] = (1, 7, 14), ahead: tuple[int, ...] = (1, 7, 14), c: str = "close") -> DataFrame:
     """Relative moves over the last and the next k rows."""
     now = F.col(c)

@@ -439,6 +439,42 @@ def job_inventory(spark, d):
     return Q.inventory(grid, o.where("o_orderstatus = 'F'"), ["setup", "win"], 8)
 
 
+#: Two-sided p of |z| in SQL: the series near 0, the continued fraction beyond.
+_TAILS = ("CASE WHEN abs({z}) < 1 THEN 1 - 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 41), lambda k: abs({z}) * pow({z} * {z}, k) / list_product(list_transform(range(0, k + 1), lambda i: 2.0::DOUBLE * i + 1)))) "
+          "ELSE 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) / list_reduce([abs({z})] || list_transform(range(0, 200), lambda i: 200.0::DOUBLE - i), lambda f, k: abs({z}) + k / f) END")
+_RANKED = """k AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {g}, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {g}, abs(d)) AS t FROM p WHERE d <> 0),
+s AS (SELECT {g}, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0)::DOUBLE AS wp, coalesce(sum(rk) FILTER (d < 0), 0)::DOUBLE AS wm, sum(t * t - 1)::DOUBLE AS ties FROM k GROUP BY ALL),
+o AS (SELECT {g}, count(*) FILTER (d = 0) AS zeros FROM p GROUP BY ALL),
+z AS (SELECT *, least(wp, wm) AS w, (wp - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s JOIN o USING ({g}))"""
+
+
+@query(RB + RET + ", p AS (SELECT x.symbol AS a, y.symbol AS b, x.ret - y.ret AS d FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL), "
++ _RANKED.format(g="a, b") + " SELECT a, b, n, w AS statistic, round(" + _TAILS.format(z="z") + ", 10) AS p, 'normal' AS method FROM z")
+def signed_rank_pairs(spark, d):
+    got = Q.signed_rank(Q.pairs(M.returns(S.stand_in_bars(spark, d, "region"))))
+    return got.select("a", "b", "n", "statistic", F.round("p", 10).alias("p"), "method")
+
+
+@query(RB + RET + ", p AS (SELECT x.symbol AS a, y.symbol AS b, strftime(date, '%Y-%m') AS month, x.ret - y.ret AS d FROM r x JOIN r y USING (date) WHERE x.symbol < y.symbol AND x.ret IS NOT NULL AND y.ret IS NOT NULL), "
++ _RANKED.format(g="a, b, month") + """, c AS (SELECT n, list_reduce([[1.0::DOUBLE]] || list_transform(range(1, n + 1), lambda i: [i::DOUBLE]), lambda c, x: list_transform(range(1, len(c) + x[1]::INT + 1), lambda i: (CASE WHEN i <= len(c) THEN c[i] ELSE 0 END) + (CASE WHEN i > x[1] THEN c[(i - x[1])::INT] ELSE 0 END))) AS c FROM (SELECT DISTINCT n FROM z WHERE n <= 50))
+SELECT a, b, month, z.n, zeros, w AS statistic, CASE WHEN z.n <= 50 AND ties = 0 AND zeros = 0 THEN 'exact' ELSE 'normal' END AS method,
+round(CASE WHEN z.n <= 50 AND ties = 0 AND zeros = 0 THEN least(1, 2 * list_sum(c[1:w::INT + 1]) / pow(2.0::DOUBLE, z.n)) ELSE """ + _TAILS.format(z="z.z") + " END, 10) AS p FROM z LEFT JOIN c USING (n)")
+def signed_rank_months(spark, d):
+    """Exact two-sided p of each month's daily returns, pair by pair."""
+    paired = Q.pairs(M.returns(S.stand_in_bars(spark, d, "region"))).withColumn("month", F.date_format("date", "yyyy-MM"))
+    got = Q.signed_rank(paired, ("a", "b", "month")).where("n > 0")
+    return got.select("a", "b", "month", "n", "zeros", "statistic", "method", F.round("p", 10).alias("p"))
+
+
+@query(RB + RET + """, w AS (SELECT date, x.ret AS x, y.ret AS y, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT * FROM r WHERE symbol = 'ASIA' AND ret IS NOT NULL) x JOIN (SELECT * FROM r WHERE symbol = 'EUROPE' AND ret IS NOT NULL) y USING (date)),
+m AS (SELECT date, i, x - avg(x) OVER o AS dx, y - avg(y) OVER o AS dy, var_samp(x) OVER o AS vx, var_samp(y) OVER o AS vy, covar_samp(x, y) OVER o AS c FROM w WINDOW o AS (ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT date, round(CASE WHEN i < 62 THEN 0 ELSE (dx * dx * vy - 2 * dx * dy * c + dy * dy * vx) / (vx * vy - c * c) END, 6) AS turbulence FROM m""")
+def turbulence_pair(spark, d):
+    """The turbulence of two symbols over 60 days; its SQL inverts the covariance by hand."""
+    two = S.stand_in_bars(spark, d, "region").where("symbol IN ('ASIA', 'EUROPE')")
+    return Q.turbulence(M.returns(two), history=60).withColumn("turbulence", F.round("turbulence", 6))
+
+
 @query()
 def turbulence_index(spark, d):
     return Q.turbulence(M.returns(S.stand_in_bars(spark, d, "region")))

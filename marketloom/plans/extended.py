@@ -10,6 +10,7 @@ from ..operators import memory as V
 from ..operators import metrics as M
 from ..operators import panel as P
 from ..operators import relational as R
+from ..operators import segmented as G
 from ..operators import select as T
 from ..operators import statistics as Q
 from ..sources import market as S
@@ -301,9 +302,23 @@ def atr_divergence(spark, d):
     return got.select("symbol", "date", F.round("atr", 6).alias("atr"), F.round("drift", 9).alias("drift"), F.round("stop", 6).alias("stop"), "signal")
 
 
-@query()
+@query("WITH RECURSIVE " + RB[5:] + """, n AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM b),
+z AS (SELECT symbol, n, 0 AS way, close AS tv, n AS tn, close AS bv, n AS bn, NULL::BIGINT AS mark, 0 AS turn FROM n WHERE n = 1 UNION ALL
+  SELECT symbol, n, CASE WHEN down THEN -1 WHEN up THEN 1 ELSE way END, CASE WHEN up THEN close ELSE tv END, CASE WHEN up THEN n ELSE tn END, CASE WHEN down THEN close ELSE bv END, CASE WHEN down THEN n ELSE bn END,
+    CASE WHEN down THEN tn WHEN up THEN bn END, CASE WHEN down AND (way <> 0 OR tn > 1) THEN 1 WHEN up AND (way <> 0 OR bn > 1) THEN -1 ELSE 0 END
+  FROM (SELECT *, way >= 0 AND close <= tv * 0.95::DOUBLE AS down, NOT (way >= 0 AND close <= tv * 0.95::DOUBLE) AND way <= 0 AND close >= bv * 1.05::DOUBLE AS up
+    FROM (SELECT n.symbol, n.n, n.close, way, greatest(tv, close) AS tv, CASE WHEN close > tv THEN n.n ELSE tn END AS tn, least(bv, close) AS bv, CASE WHEN close < bv THEN n.n ELSE bn END AS bn FROM z JOIN n ON n.symbol = z.symbol AND n.n = z.n + 1)))
+SELECT n.symbol, date, close, coalesce(p.turn, 0)::INT AS "pivot" FROM n LEFT JOIN (SELECT symbol, mark, turn FROM z WHERE turn <> 0) p ON p.symbol = n.symbol AND p.mark = n.n""")
 def zigzag_pivots(spark, d):
-    return I.zigzag(regions(spark, d))
+    return G.zigzag(regions(spark, d))
+
+
+@query(RB + """, h AS (SELECT symbol, date, volume, CASE WHEN isodow(date) = 1 THEN close END AS monday FROM b), w AS (SELECT symbol, date, last_value(monday IGNORE NULLS) OVER o AS monday, sum(volume) OVER o AS traded FROM h WINDOW o AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING))
+SELECT symbol, date, monday, traded FROM w""")
+def long_series(spark, d):
+    """The last Monday's close and the volume so far, by blocks of each series."""
+    b = regions(spark, d).select("symbol", "date", "volume", F.when(F.weekday("date") == 0, F.col("close")).alias("close"))
+    return G.running(G.running(b, "close", "monday", "last"), "volume", "traded").select("symbol", "date", "monday", "traded")
 
 
 @query(NB + " SELECT symbol, date, close / lag(close, 7) OVER w - 1 AS past_7, lead(close, 7) OVER w / close - 1 AS next_7, CASE WHEN close / lag(close, 7) OVER w - 1 > 0 THEN printf('an increase of %.2f%%', abs((close / lag(close, 7) OVER w - 1) * 100)) WHEN close / lag(close, 7) OVER w - 1 < 0 THEN printf('a decrease of %.2f%%', abs((close / lag(close, 7) OVER w - 1) * 100)) WHEN close / lag(close, 7) OVER w - 1 = 0 THEN 'no change' ELSE 'unknown' END AS words FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)")

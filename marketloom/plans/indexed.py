@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vector_index as N
+from ..operators.folders import shared
 from .base import query, table
-from .streamed import shared
 
 _Q = "embeddings q WHERE q.vec_id % 100 = 0"
 _UNIT = "WITH v AS (SELECT vec_id, vec_id % 7 AS grp, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import jobs as O
 from ..operators import sections as C
 from ..operators import simulate as B
+from ..operators.folders import shared
 from ..sources import market as S
 from .base import NB, RB, RET, query, table
 from .simulated import _SECTIONS, filings
-from .streamed import shared
 
 
 def _market(spark, d) -> str:

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.folders import shared
 from ..streaming import replay as Y
 from ..streaming.bars import tick_bars
 from .base import TICKS, query, table
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors see it; of the local disk if the master is local and none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = f"file://{tempfile.gettempdir()}/marketloom-streams"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table of the folder as a stream of its files."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema

@@ -1,6 +1,8 @@
 import datetime as dt
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from marketloom.functions import scalars as X
 from marketloom.operators import metrics as M
 from marketloom.operators import relational as R
 from marketloom.operators import simulate as B
+from marketloom.operators import statistics
 from marketloom.sources import market as S
 from marketloom.streaming.bars import tick_bars
 
@@ -156,3 +159,63 @@ def test_trading_env(spark):
     want = [(10, 10, 0.0, 100.0), (-5, 5, 99.0, 199.0), (0, 5, 99.0, 199.0), (-5, 0, 123.75, 123.75), (0, 0, 123.75, 123.75)]
     assert [tuple(round(x, 9) for x in r) for r in got] == want
     assert B.trading_env(bars.limit(0)).count() == 0
+
+
+#: Differences with their statistic and exact two-sided p, as published for this test.
+SIGNED = [
+    ([6, 8, 14, 16, 23, 24, 28, 29, 41, -48, 49, 56, 60, -67, 75], 24.0, 0.041259765625),
+    ([1], 0.0, 1.0), ([1, 2, 3, 4, 5], 0.0, 0.0625), ([-1, -2, -3, -4, -5, -6], 0.0, 0.03125), ([1, -2, 3, -4, 5, 6, 7, 8, 9, 10], 6.0, 0.02734375), ([1, -2, 3], 2.0, 0.75),
+]
+
+
+def test_signed_ranks_are_exact(spark):
+    rows = [(str(i), "b", float(x), 0.0) for i, (d, *_) in enumerate(SIGNED) for x in d] + [("ties", "b", x, 0.0) for x in (1.0, 1.0, -2.0, 3.0)] + [("zero", "b", 2.0, 2.0)] * 2 + [("some", "b", x, 0.0) for x in (0.0, 1.0, 2.0)]
+    rows += [("long", "b", float(i if i % 3 else -i), 0.0) for i in range(1, 61)] + [("null", "b", None, 1.0), ("fifty", "b", 0.0, 0.0)][:1]
+    got = {r.a: r for r in statistics.signed_rank(spark.createDataFrame(rows, "a string, b string, x double, y double")).collect()}
+    for i, (_, w, p) in enumerate(SIGNED):
+        assert got[str(i)].method == "exact" and got[str(i)].statistic == w and got[str(i)].p == pytest.approx(p, abs=1e-15)
+    assert got["ties"].method == "normal" and got["some"].method == "normal" and got["some"].zeros == 1 and got["long"].method == "normal"
+    assert (got["zero"].n, got["zero"].zeros, got["zero"].p, got["zero"].method) == (0, 2, None, "none") and "null" not in got
+    # the normal tail against the error function, near and far
+    zs = [0.0, 1e-9, 0.3, 0.999999, 1.0, 1.5, 2.0, 3.3, 6.0, 9.0, -2.5]
+    tails = spark.createDataFrame([(z,) for z in zs], "z double").select("z", statistics.normal_tails(F.col("z")).alias("p")).collect()
+    for r in tails:
+        assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-12)
+
+
+def test_exact_tails_by_listing(spark):
+    for n in (1, 4, 7, 11):
+        sums = Counter(sum(i + 1 for i in range(n) if m >> i & 1) for m in range(1 << n))
+        got = spark.range(n * (n + 1) // 4 + 1).select("id", statistics.rank_sum_tails(F.lit(n), F.col("id")).alias("p")).collect()
+        for r in got:
+            assert r.p == pytest.approx(min(1, 2 * sum(c for s, c in sums.items() if s <= r.id) / (1 << n)), abs=1e-15)
+
+
+@pytest.mark.parametrize("symbols,history", [(1, 20), (5, 40), (12, 30), (12, 10)])
+def test_sliding_distances_are_those_of_the_loop(symbols, history):
+    """Also where the matrix is singular (fewer days than symbols) or nearly so, and after a jump of the level."""
+    rng = np.random.default_rng(symbols)
+    v = rng.normal(size=(6 * history, symbols)) * rng.uniform(0.001, 0.1, symbols)
+    v[3 * history :] += 0.5
+    if symbols > 4:
+        v[history : 2 * history, 1] = v[history : 2 * history, 0] * 2
+        v[:, 3] = v[:, 2] + 1e-4 * rng.normal(size=len(v))
+    at = np.arange(history + 2, len(v))
+    got = statistics.sliding_distances(v, at, history)
+    for k, x in zip(at, got):
+        past = v[k - history : k]
+        d = v[k] - past.mean(axis=0)
+        want = float(d @ np.linalg.pinv(np.atleast_2d(np.cov(past, rowvar=False))) @ d)
+        assert x == pytest.approx(want, rel=1e-6 if symbols > 4 else 1e-8, abs=1e-8)
+
+
+def test_sliding_costs_no_history():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 8))
+    calls, plain = [], statistics._inverse
+    statistics._inverse = lambda m: calls.append(1) or plain(m)
+    try:
+        statistics.sliding_distances(v, np.arange(1000, 3000), 900)
+    finally:
+        statistics._inverse = plain
+    assert len(calls) < 20  # 2,000 dates, few of them from the start
