@@ -194,7 +194,8 @@ def zigzag(df: DataFrame, percent: float = 5.0, *, by: str = "symbol", at: str =
 
     def step(rows: pd.DataFrame, state: Any) -> pd.DataFrame:
         found = list(fold.marks(rows["close"].tolist(), int(rows["_b"].iloc[0]), state))
-        return pd.DataFrame({by: [rows[by].iloc[0]] * len(found), "_b": [m[0] for m in found], "_i": [m[1] for m in found], "pivot": [m[2] for m in found]})
+        columns = {"_b": [m[0] for m in found], "_i": [m[1] for m in found], "pivot": [m[2] for m in found]}
+        return pd.DataFrame({by: pd.Series([rows[by].iloc[0]] * len(found), dtype=object), **{c: pd.Series(x, dtype="int32") for c, x in columns.items()}})
 
     marks = run(dealt, states(dealt, fold, ["close"]), step, ["close"], f"`{by}` {kind}, _b int, _i int, pivot int").withColumnsRenamed({by: "_by", "_b": "_mb", "_i": "_mi"})
     on = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_mb")) & (F.col("_i") == F.col("_mi"))

@@ -8,6 +8,7 @@ from ..functions import scalars as X
 from ..operators import indicators as I
 from ..operators import memory as V
 from ..operators import metrics as M
+from ..operators import names as Z
 from ..operators import panel as P
 from ..operators import relational as R
 from ..operators import segmented as G
@@ -302,6 +303,23 @@ def atr_divergence(spark, d):
     return got.select("symbol", "date", F.round("atr", 6).alias("atr"), F.round("drift", 9).alias("drift"), F.round("stop", 6).alias("stop"), "signal")
 
 
+@query("WITH RECURSIVE " + RB[5:] + """, o AS (SELECT *, row_number() OVER w AS n, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, close - lag(close) OVER w AS mv, (high + low + close) / 3 AS x,
+  CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+m AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS u, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS v FROM o),
+e AS (SELECT symbol, n, close AS f, close AS s, 0.0::DOUBLE AS g, u::DOUBLE AS u, v::DOUBLE AS v, tr FROM m WHERE n = 1 UNION ALL SELECT m.symbol, m.n, e.f + (2.0::DOUBLE / 13) * (m.close - e.f), e.s + (2.0::DOUBLE / 27) * (m.close - e.s),
+  e.g + 0.2::DOUBLE * (e.f + (2.0::DOUBLE / 13) * (m.close - e.f) - e.s - (2.0::DOUBLE / 27) * (m.close - e.s) - e.g), e.u + (m.u - e.u) / 30, e.v + (m.v - e.v) / 30, e.tr + (m.tr - e.tr) / 30 FROM e JOIN m ON m.symbol = e.symbol AND m.n = e.n + 1),
+q AS (SELECT symbol, date, n, close, x, avg(close) OVER (w ROWS 19 PRECEDING) AS m20, stddev_pop(close) OVER (w ROWS 19 PRECEDING) AS d20, avg(greatest(mv, 0)) OVER (w ROWS 29 PRECEDING) AS gain, avg(greatest(-mv, 0)) OVER (w ROWS 29 PRECEDING) AS loss,
+  list(x) OVER (w ROWS 29 PRECEDING) AS h, avg(close) OVER (w ROWS 29 PRECEDING) AS s30, avg(close) OVER (w ROWS 59 PRECEDING) AS s60 FROM o WINDOW w AS (PARTITION BY symbol ORDER BY date))
+SELECT q.symbol, date, round(f - s, 6) AS macd, round(g, 6) AS macds, round(CASE WHEN q.n >= 20 THEN m20 + 2 * d20 END, 6) AS boll_ub, round(CASE WHEN q.n >= 20 THEN m20 - 2 * d20 END, 6) AS boll_lb,
+  round(CASE WHEN q.n > 30 THEN CASE WHEN loss = 0 AND gain > 0 THEN 100 WHEN loss > 0 THEN 100 - 100 / (1 + gain / loss) END END, 6) AS rsi_30,
+  CASE WHEN q.n >= 30 THEN round((x - list_avg(h)) / nullif(0.015 * list_avg(list_transform(h, lambda y: abs(y - list_avg(h)))), 0), 6) END AS cci_30,
+  CASE WHEN q.n >= 30 THEN round(CASE WHEN u + v > 0 THEN 100 * abs(u - v) / (u + v) ELSE 0 END, 6) END AS dx_30, round(CASE WHEN q.n >= 30 THEN s30 END, 6) AS close_30_sma, round(CASE WHEN q.n >= 60 THEN s60 END, 6) AS close_60_sma FROM q JOIN e ON e.symbol = q.symbol AND e.n = q.n""")
+def compiled_names(spark, d):
+    """Indicators by their names, compiled to windows over one sort."""
+    wanted = ["macd", "macds", "boll_ub", "boll_lb", "rsi_30", "cci_30", "dx_30", "close_30_sma", "close_60_sma"]
+    return Z.indicators(regions(spark, d), wanted).select("symbol", "date", *[F.round(c, 6).alias(c) for c in wanted])
+
+
 @query("WITH RECURSIVE " + RB[5:] + """, n AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM b),
 z AS (SELECT symbol, n, 0 AS way, close AS tv, n AS tn, close AS bv, n AS bn, NULL::BIGINT AS mark, 0 AS turn FROM n WHERE n = 1 UNION ALL
   SELECT symbol, n, CASE WHEN down THEN -1 WHEN up THEN 1 ELSE way END, CASE WHEN up THEN close ELSE tv END, CASE WHEN up THEN n ELSE tn END, CASE WHEN down THEN close ELSE bv END, CASE WHEN down THEN n ELSE bn END,
