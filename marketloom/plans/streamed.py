@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.folders import shared
 from ..streaming import replay as Y
+from ..streaming import timers as M
 from ..streaming.bars import tick_bars
 from .base import TICKS, query, table
 
@@ -92,3 +94,47 @@ def stream_decay(spark, d):
     e.coalesce(1).write.parquet(path)
     got = to_the_end(Y.decaying(spark.readStream.schema(e.schema).parquet(path)), spark, "decay", "append")
     return got.where("status = 'gone'").select("symbol", "id", "step")
+
+
+def in_slices(df: DataFrame, spark: SparkSession, name: str, at: str, slices: int = 4) -> DataFrame:
+    """``df`` as a stream of several batches in order of ``at``: a folder for each slice of its time, one batch a folder."""
+    path = shared(spark, name)
+    ends = df.agg(F.min(F.unix_micros(at)).alias("a"), F.max(F.unix_micros(at)).alias("b")).first()
+    step = ((ends["b"] or 0) - (ends["a"] or 0)) // slices + 1
+    for k in range(slices):
+        own = F.floor((F.unix_micros(at) - F.lit(ends["a"] or 0)) / step) == k
+        df.where(own).coalesce(1).write.parquet(f"{path}/slice={k}")  # a file of one batch, so that batches keep their order
+    schema = T.StructType([*df.schema.fields, T.StructField("slice", T.IntegerType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("slice")
+
+
+@query("WITH " + TICKS + """, b AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS ts, max(price) AS high, min(price) AS low, sum(size) AS volume FROM t GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, t.ts))
+SELECT symbol, epoch(ts)::BIGINT AS ts, high, low, volume FROM b WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM t)""")
+def stream_closed_bars(spark, d):
+    """Hourly bars of the events that timers close while the stream goes on: those an hour behind its last event."""
+    ticks_ = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.timestamp_micros(_micros("ts")).alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    M.state_conf(spark)
+    try:
+        got = to_the_end(M.closed_bars(in_slices(ticks_, spark, "ticks", "ts"), 3600, "1 hour"), spark, "closed", "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return got.select("symbol", F.unix_seconds("ts").alias("ts"), "high", "low", "volume")
+
+
+def _micros(ts: str):
+    """A time of day without a zone as microseconds, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+
+
+@query("""WITH c AS (SELECT opens, lag(opens) OVER (ORDER BY opens) AS previous FROM (SELECT DISTINCT CAST(ts AS DATE) + 1 AS opens FROM events WHERE isodow(CAST(ts AS DATE) + 1) < 6))
+SELECT event_id, epoch(opens)::BIGINT AS opens FROM events JOIN c ON ts <= opens AND (previous IS NULL OR ts > previous) AND opens <= ts + INTERVAL 31 DAY""")
+def stream_news_sessions(spark, d):
+    """Events of a stream with the next session of another: midnights before weekdays, after a day with events."""
+    e = table(spark, d, "events").select("event_id", F.timestamp_micros(_micros("ts")).alias("ts"), F.col("ts").cast("timestamp_ntz").alias("own"))
+    opens = e.select(F.date_add(F.col("own").cast("date"), 1).alias("day")).distinct().where("weekday(day) < 5")
+    opens = opens.withColumn("previous", F.lag("day").over(W.orderBy("day")))  # one row a day
+    at = lambda c: F.timestamp_micros(_micros(c)).alias("opens" if c == "day" else c)
+    news, sessions = in_slices(e.drop("own"), spark, "news", "ts"), in_slices(opens.select(at("day"), at("previous")), spark, "sessions", "opens")
+    got = to_the_end(M.next_sessions(news, sessions, late="400 days"), spark, "joined", "append")
+    return got.select("event_id", F.unix_seconds("opens").alias("opens"))
