@@ -76,7 +76,7 @@ def exact_dedup(
     key: str = "doc_id",
     text: str = "text",
     salts: int = 16,
-    held: int = 64 << 20,
+    held: int = 16 << 20,
     digest: Callable[[bytes], bytes] = _sha256,
 ) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) of every row.
