@@ -230,7 +230,7 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
     Counts are those of the tokenizers library for ``vocabulary`` (a file of public_tokenizers
     with the byte-level pattern) without added tokens; its special string counts as one token.
     Null and empty texts have 0 bytes and 0 tokens. Rows are neither merged nor dropped; null
-    keys stay null; other columns are ignored.
+    keys stay null; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches):
