@@ -194,6 +194,56 @@ def filter_urls(
     )
 
 
+#: Most rules without a token: each runs on every URL.
+TOKENLESS = 64
+
+
+def domain_rule_table(rules: DataFrame, *, rule: str = "rule", verdict: str = "verdict") -> DataFrame:
+    """(name, verdict, regex, tokens, weight) of a table of domain rules ``host/path``, as ``domain_rule`` makes them; nulls and repeated rules are left out, of a rule with both verdicts allow stays."""
+    df = rules.where(F.col(rule).isNotNull()).groupBy(F.col(rule).alias("name")).agg(F.min(verdict).alias("verdict"))
+    host, path = F.substring_index("name", "/", 1), F.expr("substr(name, length(substring_index(name, '/', 1)) + 1)")
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    regex = F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(host), F.when(path == "", F.lit(r"(?:/|$)")).otherwise(quoted(path)))
+    closed = F.regexp_extract_all(F.regexp_replace(path, "[A-Z]", "*"), F.lit(TOKEN + "(?=[^A-Za-z0-9])"), F.lit(0))
+    tokens = F.array_distinct(F.concat(F.regexp_extract_all(host, F.lit(TOKEN), F.lit(0)), closed))
+    return df.select("name", "verdict", regex.alias("regex"), tokens.alias("tokens"), (F.length("name") + 1_000_000).alias("weight"))
+
+
+def filter_urls_by_table(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+    """``filter_urls`` with rules of a table (name, verdict, regex, tokens, weight), however many: nothing of them reaches the driver or the plan.
+
+    Token counts over all URLs, each rule's rarest token and the index are tables; distinct
+    URLs meet the index by token, one row a token, and only these pairs run an expression.
+    Rules without a token, ``TOKENLESS`` at most, are run on every distinct URL. Names are
+    unique; a null regex fits nothing.
+    """
+    host, path = split_url(F.col(url))
+    rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
+    rules = rules.where("regex IS NOT NULL").select("name", "verdict", "regex", "weight", F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+    urls = rows.groupBy("host", "path").agg(F.count("*").alias("copies")).withColumn("tokens", _tokens(F.col("host"), F.col("path")))
+    each = urls.select("host", "path", "copies", F.explode("tokens").alias("token"))
+    wanted = rules.select("name", F.explode("tokens").alias("token"))
+    counts = each.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("copies").alias("n"))
+    rarest_ = wanted.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("rarest"))
+    # a token that no URL holds fetches nothing
+    index = rarest_.join(rules.drop("tokens"), "name")
+    met = each.join(index, F.col("token") == F.col("rarest")).where(F.expr("concat(host, path) rlike regex")).select("host", "path", "weight", "name", "verdict")
+    loose = rules.where("size(tokens) = 0").drop("tokens")
+    n = loose.limit(TOKENLESS + 1).count()
+    if n > TOKENLESS:
+        raise ValueError(f"more than {TOKENLESS} rules have no literal token; each would run on every URL")
+    if n:
+        every = loose.agg(F.collect_list(F.struct("weight", "name", "verdict", "regex")).alias("rules")).first()["rules"]
+        held = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("weight", "name", "verdict", "regex")]) for r in every])
+        fits = F.filter(held, lambda r: F.rlike(F.concat("host", "path"), r["regex"]))
+        met = met.unionByName(urls.select("host", "path", F.explode(fits).alias("r")).select("host", "path", "r.weight", "r.name", "r.verdict"))
+    best = met.groupBy("host", "path").agg(F.max(F.struct("weight", "name", "verdict")).alias("hit"))
+    judged = rows.join(best, ["host", "path"], "left")
+    return judged.select(
+        F.col("_key").alias(key), "host", "path", F.when(F.col("hit.weight") >= 1_000_000, F.col("hit.name")).alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
+    )
+
+
 def oracle(pages: str = "pages") -> str:
     """The same rows in DuckDB SQL, with the default rules."""
     return rf"""

@@ -326,6 +326,43 @@ def test_urls_by_plain_rules(spark, monkeypatch):
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_rules_of_a_table(spark):
+    """100,000 rules as a table judge as the same rules one by one, and as those of the plan."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    hosts = [f"{name()}.{rng.choice(('com', 'org', 'net'))}" for _ in range(60_000)]
+    rules = sorted({rng.choice(hosts) + rng.choice(("", "/", "/en/", f"/{name()}", f"/{name()}/x1", "/A.b(c")) for _ in range(130_000)} | {"com/en/", "x.org/\\Eq"})[:100_000]
+    rules = [*rules, "com/en/", "x.org/\\Eq"]
+    table = spark.createDataFrame([(r, rng.choice(("block", "allow"))) for r in dict.fromkeys(rules)] + [(None, "block")], "rule string, verdict string")
+    verdict = {r.rule: r.verdict for r in table.collect()}
+    del verdict[None]
+    urls = [f"http://{rng.choice(('', 'www.', 'a.b.'))}{rng.choice(hosts)}{rng.choice(('', '/', '/en/', f'/{name()}/x1y', '/A.b(cd', '/EN/', '?q', '#f'))}" for _ in range(4000)]
+    urls += [None, "", "x", "http://com/en/z", "http://x.org/\\Eqq", "http://"] + urls[:50]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"token": F.lit("x"), "name": F.lit("y"), "hit": F.lit(1)})
+    made = url_filters.domain_rule_table(table)
+    loose = spark.createDataFrame([("odd", "block", "^$", [], 3), ("none", "block", None, ["x"], 9), ("short", "allow", "^com/", ["com"], 5)], made.schema)
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls_by_table(pages, made.unionByName(loose)).collect()}
+    want = set()
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host, path = rest[:cut].lower(), re.split(r"[?#]", rest[cut:])[0]
+        parts, fits = host.split("."), []
+        for k in range(len(parts)):
+            own = ".".join(parts[k:])
+            fits += [own + path[:n] for n in range(1, len(path) + 1) if own + path[:n] in verdict] + ([own] if own in verdict else [])
+        best = max(fits, key=len, default=None)
+        other = "block" if host + path == "" else "allow"
+        want.add((i, host, path, best, verdict[best] if best else other))
+    assert got == want and sum(w[3] is not None for w in want) > 1000
+    few = [url_filters.domain_rule(verdict[r], r) for r in rng.sample(sorted(verdict), 300)] + [url_filters.domain_rule("block", "com/")]
+    small = spark.createDataFrame([(r.name, r.verdict) for r in few], "rule string, verdict string")
+    assert sorted(map(tuple, url_filters.filter_urls_by_table(pages, url_filters.domain_rule_table(small)).collect())) == sorted(map(tuple, url_filters.filter_urls(pages, rules=tuple(few)).collect()))
+    assert url_filters.filter_urls_by_table(pages.limit(0), made).count() == 0 and url_filters.filter_urls_by_table(pages, made.limit(0)).where("verdict = 'allow'").count() == len(urls)
+    with pytest.raises(ValueError):
+        url_filters.filter_urls_by_table(pages, spark.createDataFrame([(str(i), "block", "x", [], 1) for i in range(65)], made.schema))
+
+
 def test_patterns_hold_their_tokens():
     for r in url_filters.PATTERN_RULES:
         text = "/" + "-".join(r.tokens) + "/" if r.regex.startswith("(?s)/") else "-".join(r.tokens) + ".site/"
