@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,6 +490,47 @@ def test_quality_classifier(spark, learned):
     assert quality_classifier.quality_classifier(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sees_order_and_letters(spark):
+    """Held-out good texts pass; the same with words shuffled, or with the letters of each word shuffled, mostly do not; a change of no weight does no harm."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(docs, labels, key="doc_id", text="text", label="quality", folds=5, sample=12_000)
+    held = docs.join(labels.where("quality = 1"), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").where("length(text) > 300").orderBy("doc_id")
+    texts = [r.text for r in held.select("text").collect()]
+    rng = random.Random(9)
+    of = lambda out: np.mean(quality_classifier.score(quality_classifier.features(pa.array(out), model["familiar"]), model) >= 0.3)
+    assert len(texts) > 40 and of(texts) >= 0.97 and of([t.replace("\n", " ") for t in texts]) >= 0.97 and of([t[: len(t) // 2] for t in texts]) >= 0.97
+    assert of([" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]) <= 0.1
+    assert of([" ".join("".join(rng.sample(w, len(w))) for w in t.split(" ")) for t in texts]) <= 0.2
+
+
+def test_quality_steps_and_runs():
+    """Steps from word to word and runs of three bytes, against plain loops, over parts smaller than the texts."""
+    texts = ["One two, three. Four\nfive 6; é x", "", "word", " a  B\t\nC. d! E", "x" * 50 + " Y. z", "Last. one"]
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    whole = quality_classifier._PART
+    try:
+        for part in (whole, 7):
+            quality_classifier._PART = part
+            got = [Counter() for _ in texts]
+            for bucket, row in quality_classifier.runs(data, bounds):
+                for b, r in zip(bucket.tolist(), row.tolist()):
+                    got[r][b] += 1
+            for t, g in zip(texts, got):
+                b = t.encode()
+                assert g == Counter(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2))
+    finally:
+        quality_classifier._PART = whole
+    steps = quality_classifier._steps(data, bounds)
+    for t, row in zip(texts, steps):
+        want, found = np.zeros(12), list(WORD.finditer(t))
+        for a, b in zip(found, found[1:]):
+            end, begin = a.group()[-1], b.group()[0]
+            kind = 3 if t[a.end()] == "\n" else 0 if end in ".!?" else 1 if end in ",;:" else 2
+            want[kind * 3 + (0 if "A" <= begin <= "Z" else 1 if "a" <= begin <= "z" else 2)] += 1
+        assert np.allclose(row, want / (want.sum() + quality_classifier.FEW))
+
+
 def test_pairwise_loss():
     """The weights are where the gradient of the pairs' loss, taken numerically, vanishes; the cut is the quantile of the bad documents' share."""
     rng = np.random.default_rng(3)
