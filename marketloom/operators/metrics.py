@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,25 +55,95 @@ def moments(rets: DataFrame, by: str = "symbol", least: int = 30) -> DataFrame:
     return agg.withColumns({"cvar5": total(tail) / F.size(tail)} | trailing).drop("_sorted", "_last")
 
 
-def correlations(rets: DataFrame, by: str = "symbol", days: int = 256) -> DataFrame:
+def grown(rets: DataFrame, by: str = "symbol") -> DataFrame:
+    """Each day with a return: its number, the summed log returns, the growth of 1 since before the first day and the highest growth so far, 1 included.
+
+    A return of -1 or less loses everything: growth is 0 from then on, and no log returns are given.
+    """
+    w = W.partitionBy(by).orderBy("date")
+    r = rets.where("ret IS NOT NULL").select(by, "date", F.col("ret").cast("double").alias("ret"))
+    r = r.withColumns({"day": F.row_number().over(w), "_lost": F.max((F.col("ret") <= -1).cast("int")).over(w), "_logs": F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).over(w)})
+    r = r.withColumns({"logs": F.when(F.col("_lost") == 0, F.col("_logs")), "growth": F.when(F.col("_lost") == 0, F.exp("_logs")).otherwise(0.0)}).drop("_lost", "_logs")
+    return r.withColumn("top", F.greatest(F.lit(1.0), F.max("growth").over(w)))
+
+
+def performance(rets: DataFrame, by: str = "symbol", market: DataFrame | None = None) -> DataFrame:
+    """The usual table of performance statistics of each group's daily returns; with ``market`` (date, market) alpha and beta as well.
+
+    Null returns count as no day. Null is what has no value: ratios to a deviation, loss or
+    drawdown of zero, the stability after a loss of everything. Value at risk is the mean less
+    two deviations; the tails are the 5 % and 95 % points; stability is the squared
+    correlation of summed log returns with the days; alpha is what is left of the mean, a year.
+    """
+    x, mean, std = F.col("ret"), F.avg("ret"), F.stddev_samp("ret")
+    loss, below = -F.sum(F.least(x, F.lit(0.0))), F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2.0))))
+    total, worst = F.max_by("growth", "date") - 1, F.min(F.col("growth") / F.col("top") - 1)
+    annual = F.pow(1 + total, YEAR / F.count("*")) - 1
+    trend = F.covar_pop("day", "logs") / F.nullif(F.stddev_pop("day") * F.stddev_pop("logs"), F.lit(0.0))
+    low = F.abs(F.percentile("ret", F.lit(0.05)))
+    out = {
+        "n": F.count("*"), "annual_return": annual, "cumulative_return": total, "volatility": std * YEAR**0.5, "sharpe": F.when(std > 0, mean / std * YEAR**0.5),
+        "calmar": F.when(worst < 0, annual / -worst), "stability": F.when(F.count("logs") == F.count("*"), trend * trend), "max_drawdown": worst,
+        "omega": F.when(loss > 0, F.sum(F.greatest(x, F.lit(0.0))) / loss), "sortino": F.when(below > 0, mean / below * YEAR**0.5), "skew": F.skewness("ret"), "kurtosis": F.kurtosis("ret"),
+        "tail_ratio": F.when(low > 0, F.abs(F.percentile("ret", F.lit(0.95))) / low), "value_at_risk": mean - 2 * std,
+    }
+    rows = grown(rets, by)
+    if market is not None:
+        rows = rows.join(market.select("date", F.col("market").cast("double").alias("_m")), "date", "left")
+        both = F.when(F.col("_m").isNotNull(), x)
+        spread = F.var_pop("_m")
+        beta = F.when(spread > 0, F.covar_pop(both, F.col("_m")) / spread)
+        out |= {"beta": beta, "alpha": F.pow(1 + F.avg(both) - beta * F.avg("_m"), F.lit(float(YEAR))) - 1}
+    return rows.groupBy(by).agg(*[v.alias(k) for k, v in out.items()])
+
+
+def drawdowns(rets: DataFrame, by: str = "symbol", most: int = 5) -> DataFrame:
+    """The ``most`` deepest falls of each group: rank, peak (null: before the first day), valley, recovery (null: not yet), depth and days from peak to recovery or the last day.
+
+    A fall goes from a day at the highest growth to the next day that is as high, up to the
+    twelfth place; equal depths come by date.
+    """
+    w = W.partitionBy(by).orderBy("date")
+    d = grown(rets, by).withColumn("_depth", F.round(F.col("growth") / F.col("top") - 1, 12)).withColumns({"_fall": F.sum((F.col("_depth") >= 0).cast("int")).over(w), "_next": F.lead("date").over(w)})
+    falls = d.groupBy(by, "_fall").agg(
+        F.min(F.when(F.col("_depth") >= 0, F.col("date"))).alias("peak"), F.min_by("date", F.struct("_depth", "date")).alias("valley"), F.max_by("_next", "date").alias("recovery"),
+        F.min("_depth").alias("depth"), F.min("date").alias("_first"), F.max("date").alias("_last"),
+    ).where("depth < 0")
+    ranked = falls.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("depth", "_first")))
+    return ranked.where(F.col("rank") <= most).select(by, "rank", "peak", "valley", "recovery", "depth", F.datediff(F.coalesce("recovery", "_last"), F.coalesce("peak", "_first")).alias("days"))
+
+
+def correlations(rets: DataFrame, by: str = "symbol", days: int = 256, tile: int = 512) -> DataFrame:
     """(a, b, n, corr) of every pair of symbols over their common dates.
 
     Dates go in blocks of ``days``: a block's returns are a matrix, whose products with itself
-    give every pair's sums, so a pair costs a row a block and not one a date.
+    give every pair's sums, so a pair costs a row a block and not one a date. Symbols go in
+    tiles of about ``tile``, and a task multiplies two tiles of a block, whatever their number.
     """
-
-    def sums(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index="date", columns=by, values="ret", aggfunc="first")
-        have = wide.notna().to_numpy(float)
-        x = np.nan_to_num(wide.to_numpy(float))
-        i, j = np.triu_indices(x.shape[1], 1)
-        names = wide.columns.to_numpy()
-        parts = {"n": have.T @ have, "sx": x.T @ have, "sy": have.T @ x, "sxx": (x * x).T @ have, "syy": have.T @ (x * x), "sxy": x.T @ x}
-        return pd.DataFrame({"a": names[i], "b": names[j]} | {k: v[i, j] for k, v in parts.items()})
+    keyed = rets.where("ret IS NOT NULL").select("date", by, F.col("ret").cast("double").alias("ret"))
+    tiles = -(-keyed.select(by).distinct().count() // tile) or 1
+
+    def sums(group: pa.Table) -> pa.Table:
+        rows = group.to_pandas()
+        one, other = rows["_one"].iloc[0], rows["_other"].iloc[0]
+        parts = []
+        days_of = np.unique(rows["date"])
+        for own in (one, other):
+            wide = rows[rows["_tile"] == own].pivot_table(index="date", columns=by, values="ret", aggfunc="first").reindex(days_of)
+            parts.append((np.array(list(wide.columns), object), wide.notna().to_numpy(float), np.nan_to_num(wide.to_numpy(float))))
+        (left, h, x), (right, g, y) = parts
+        i, j = np.triu_indices(len(left), 1) if one == other else (k.ravel() for k in np.indices((len(left), len(right))))
+        n, sx, sy, sxx, syy, sxy = (v[i, j] for v in (h.T @ g, x.T @ g, h.T @ y, (x * x).T @ g, h.T @ (y * y), x.T @ y))
+        a, b = left[i], right[j]
+        swap = np.array([p > q for p, q in zip(a, b)], bool)
+        turned = {"a": (a, b), "b": (b, a), "n": (n, n), "sx": (sx, sy), "sy": (sy, sx), "sxx": (sxx, syy), "syy": (syy, sxx), "sxy": (sxy, sxy)}
+        return pa.table({k: pa.array(np.where(swap, v, u), pa.string() if k in "ab" else pa.float64()) for k, (u, v) in turned.items()})
 
     # blocks are of the dates' own numbers, so no order is needed
-    blocks = rets.where("ret IS NOT NULL").select("date", by, F.col("ret").cast("double"), F.floor(F.datediff("date", F.lit("1970-01-01")) / days).alias("_block"))
-    got = blocks.groupBy("_block").applyInPandas(sums, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    own = F.pmod(F.xxhash64(by), F.lit(tiles)).cast("int")
+    dealt = keyed.withColumns({"_block": F.floor(F.datediff("date", F.lit("1970-01-01")) / days), "_tile": own}).withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.withColumns({"_one": F.least("_tile", "_with"), "_other": F.greatest("_tile", "_with")}).drop("_with")
+    got = dealt.groupBy("_block", "_one", "_other").applyInArrow(sums, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
     t = got.where("n > 0").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     spread = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))

@@ -644,3 +644,30 @@ def indicators_by_name(spark, d):
 def json_round_trip(spark, d):
     parsed = table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("p"))
     return parsed.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("again"))
+
+
+_GROWN = NB + RET + """, q AS (SELECT symbol, date, ret, row_number() OVER w AS day, sum(ln(1 + ret)) OVER w AS logs FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, exp(logs) AS growth, greatest(1, max(exp(logs)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS top FROM q)"""
+
+
+@query(_GROWN + """, m AS (SELECT date, avg(ret) AS market FROM r WHERE ret IS NOT NULL GROUP BY date), u AS (SELECT g.*, market, avg(ret) OVER s AS mean, stddev_pop(ret) OVER s AS dev FROM g LEFT JOIN m USING (date) WINDOW s AS (PARTITION BY symbol)),
+v AS (SELECT symbol, count(*) AS n, arg_max(growth, date) - 1 AS total, min(growth / top - 1) AS worst, avg(ret) AS mean, stddev_samp(ret) AS std, corr(day, logs) AS r, sum(greatest(ret, 0)) AS up, -sum(least(ret, 0)) AS down, sqrt(avg(pow(least(ret, 0), 2))) AS below,
+  avg(pow((ret - mean) / dev, 3)) AS skew, avg(pow((ret - mean) / dev, 4)) - 3 AS kurt, quantile_cont(ret, 0.05) AS low, quantile_cont(ret, 0.95) AS high, covar_pop(ret, market) / var_pop(market) AS beta, avg(market) AS market FROM u GROUP BY symbol)
+SELECT symbol, n, round(pow(1 + total, 252.0 / n) - 1, 6) AS annual_return, round(total, 6) AS cumulative_return, round(std * sqrt(252), 6) AS volatility, round(mean / std * sqrt(252), 6) AS sharpe, round((pow(1 + total, 252.0 / n) - 1) / -worst, 6) AS calmar,
+round(r * r, 6) AS stability, round(worst, 6) AS max_drawdown, round(up / down, 6) AS omega, round(mean / below * sqrt(252), 6) AS sortino, round(skew, 6) AS skew, round(kurt, 6) AS kurtosis, round(abs(high) / abs(low), 6) AS tail_ratio,
+round(mean - 2 * std, 6) AS value_at_risk, round(beta, 6) AS beta, round(pow(1 + mean - beta * market, 252) - 1, 6) AS alpha FROM v""")
+def performance_table(spark, d):
+    """The performance statistics of each symbol, against the mean of all symbols."""
+    rets = M.returns(nations(spark, d))
+    p = M.performance(rets, market=rets.where("ret IS NOT NULL").groupBy("date").agg(F.avg("ret").alias("market")))
+    return p.select("symbol", "n", *[F.round(c, 6).alias(c) for c in p.columns[2:]])
+
+
+@query(_GROWN + """, f AS (SELECT *, round(growth / top - 1, 12) AS deep FROM g),
+x AS (SELECT *, sum((deep >= 0)::INT) OVER w AS fall, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS later FROM f WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT symbol, fall, min(date) FILTER (deep >= 0) AS peak, arg_min(date, (deep, date)) AS valley, max(later) AS recovery, min(deep) AS depth, min(date) AS a, max(date) AS z, bool_or(later IS NULL) AS open FROM x GROUP BY symbol, fall HAVING min(deep) < 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY depth, a) AS rank, CASE WHEN NOT open THEN recovery END AS back FROM y)
+SELECT symbol, rank, peak, valley, back AS recovery, round(depth, 9) AS depth, date_diff('day', coalesce(peak, a), coalesce(back, z)) AS days FROM k WHERE rank <= 5""")
+def worst_drawdowns(spark, d):
+    """The five deepest falls of each symbol."""
+    return M.drawdowns(M.returns(nations(spark, d))).withColumn("depth", F.round("depth", 9))
