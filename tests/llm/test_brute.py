@@ -531,6 +531,15 @@ def test_quality_steps_and_runs():
         assert np.allclose(row, want / (want.sum() + quality_classifier.FEW))
 
 
+def test_spoilt_texts():
+    """The words, and each word's letters, are all there again; texts without any are left alone, and a text is always spoilt in the same way."""
+    for text in ("", " ", "\n", "a", "\x00", "One two, three. Four\nfive 6; é漢😀 x " * 20):
+        words, letters = quality_classifier.spoilt(text)
+        assert Counter(words.split()) == Counter(text.split()) and len(letters) == len(text)
+        assert [sorted(w) for w in WORD.findall(letters)] == [sorted(w) for w in WORD.findall(text)]
+        assert quality_classifier.spoilt(text) == [words, letters] and (len(text) < 9 or (words != text and letters != text))
+
+
 def test_pairwise_loss():
     """The weights are where the gradient of the pairs' loss, taken numerically, vanishes; the cut is the quantile of the bad documents' share."""
     rng = np.random.default_rng(3)
