@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Most queries that are broadcast at once.
-BLOCK = 10_000
-
+from .scan import scan
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,16 +20,14 @@ def squared_distance(a, b) -> Column:
 def nearest(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot") -> DataFrame:
     """The k nearest of the store (id, v) for each query (qid, q); a stated set of queries against all rows.
 
-    Queries go in blocks of at most ``BLOCK`` rows to every row of the store, each block a
-    broadcast of known size; the best k of a block's part are kept before they meet.
+    Queries go in blocks of known size to every row of the store; each task's best k of a query meet.
     """
-    score = dot("v", "q") if metric == "dot" else squared_distance("v", "q")
-    order = F.desc("score") if metric == "dot" else F.asc("score")
-    n = queries.count()
-    blocks = [queries] if n <= BLOCK else [queries.where(F.expr(f"pmod(xxhash64(qid), {-(-n // BLOCK)}) = {i}")) for i in range(-(-n // BLOCK))]
-    found = [store.join(F.broadcast(b)).select("qid", "id", score.alias("score")) for b in blocks]
-    scored = reduce(DataFrame.unionByName, found)
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
+    return _ranked(scan(store, queries, k, metric, blanks=True).drop("extra"), k, ["qid"], metric)
+
+
+def _ranked(scored: DataFrame, k: int, by: list[str], metric: str = "dot") -> DataFrame:
+    order = F.desc("score") if metric == "dot" else F.asc_nulls_last("score")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
 
 
 def compound(recency, importance) -> Column:
@@ -57,43 +51,40 @@ def normalised(v) -> Column:
     return F.when(size > 0, F.transform(F.col(v), lambda x: x.cast("double") / size)).otherwise(F.transform(F.col(v), lambda x: x.cast("double")))
 
 
-def _met(store: DataFrame, queries: DataFrame, on: list[str]) -> DataFrame:
-    """Every query with the store's rows of its group (``on``) or, without one, with all, queries in blocks of known size."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    parts = [queries if blocks == 1 else queries.where(F.expr(f"pmod(xxhash64(qid), {blocks}) = {i}")) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [store.join(F.broadcast(p), on) if on else store.join(F.broadcast(p)) for p in parts])
-
-
 def nearest_in_group(store: DataFrame, queries: DataFrame, k: int = 5, group: str = "symbol") -> DataFrame:
     """(group, qid, id, score, rank): the k largest products of a query with the normalised vectors (group, id, v) of its own group; the query (group, qid, q) isn't normalised."""
-    scored = _met(store.withColumn("v", normalised("v")), queries, [group]).select(group, "qid", "id", dot("v", "q").alias("score"))
-    rank = F.row_number().over(W.partitionBy(group, "qid").orderBy(F.desc("score"), "id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(_in_group(store, queries, k, group).select(group, "qid", "id", "score"), k, [group, "qid"])
+
+
+def _in_group(store: DataFrame, queries: DataFrame, k: int, group: str, extra: str | None = None) -> DataFrame:
+    """(group, qid, id, score, extra) of each task's best; a query is known by group and qid together."""
+    keyed = queries.select(F.struct(F.col(group).alias("group"), "qid").alias("qid"), "q", group)
+    found = scan(store.withColumn("v", normalised("v")), keyed, k, "dot", group=group, extra=extra, blanks=True)
+    return found.select(F.col("qid.group").alias(group), F.col("qid.qid").alias("qid"), "id", "score", "extra")
 
 
 def hybrid(store: DataFrame, queries: DataFrame, k: int = 5, group: str = "symbol", compat: bool = False) -> DataFrame:
     """(group, qid, id, score): of the k nearest and the k with the highest compound score, the k best by both together, in order of id.
 
     The store has (group, id, v, compound). ``compat`` takes the k with the lowest compound
-    score, and counts a row that is among both sets twice before it cuts to k.
+    score, and counts a row that is among both sets twice before it cuts to k. The k with the
+    highest compound score are the same for all queries of a group.
     """
-    met = _met(store.withColumn("v", normalised("v")), queries, [group]).select(group, "qid", "id", "compound", dot("v", "q").alias("near"))
-    by = W.partitionBy(group, "qid")
-    near = F.row_number().over(by.orderBy(F.desc("near"), "id")) <= k
-    strong = F.row_number().over(by.orderBy(F.asc("compound") if compat else F.desc("compound"), "id")) <= k
-    met = met.withColumns({"near_k": near, "strong_k": strong, "score": F.col("near") + F.col("compound")}).where("near_k OR strong_k")
-    if compat:
-        met = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("near_k").cast("int") + F.col("strong_k").cast("int"))))
-    best = met.withColumn("_r", F.row_number().over(by.orderBy(F.desc("score"), "id"))).where(F.col("_r") <= k)
-    return best.groupBy(group, "qid", "id").agg(F.max("score").alias("score")).orderBy(group, "qid", "id")
+    by = [group, "qid"]
+    near = _ranked(_in_group(store, queries, k, group, "compound"), k, by).select(*by, "id", (F.col("score") + F.col("extra")).alias("score"))
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.asc("compound") if compat else F.desc("compound"), "id"))
+    strong = store.withColumn("_r", place).where(F.col("_r") <= k).withColumn("v", normalised("v")).join(queries.select(group, "qid", "q"), group)
+    both = near.unionByName(strong.select(*by, "id", (dot("v", "q") + F.col("compound").cast("double")).alias("score")))
+    if not compat:
+        both = both.dropDuplicates([*by, "id"])
+    return _ranked(both, k, by).groupBy(*by, "id").agg(F.max("score").alias("score")).orderBy(*by, "id")
 
 
 def recall(events: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.1, decay_rate: float = 0.95) -> DataFrame:
     """(qid, id, score, rank): events (id, v, importance, days) of cosine at least ``least``, by cosine + importance x rate ** days."""
-    scored = _met(events, queries, []).withColumn("near", cosine("v", "q")).where(F.col("near") >= least)
-    scored = scored.select("qid", "id", (F.col("near") + F.col("importance") * F.pow(F.lit(decay_rate), F.col("days"))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
+    worth = F.col("importance") * F.pow(F.lit(decay_rate), F.col("days"))
+    found = scan(events.withColumn("_worth", worth), queries, k, "cosine", least=least, bonus="_worth")
+    return _ranked(found.drop("extra"), k, ["qid"])
 
 
 def prune(events: DataFrame, most: int, decay_rate: float = 0.95) -> DataFrame:
