@@ -46,9 +46,9 @@ def cosine(a, b) -> Column:
 
 
 def normalised(v) -> Column:
-    """A vector over its length; one without length stays."""
-    size = F.sqrt(dot(v, v))
-    return F.when(size > 0, F.transform(F.col(v), lambda x: x.cast("double") / size)).otherwise(F.transform(F.col(v), lambda x: x.cast("double")))
+    """A vector over its length, which is taken once a vector; one without length stays."""
+    over = lambda size: F.transform(F.col(v), lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
+    return F.transform(F.array(F.sqrt(dot(v, v))), over)[0]
 
 
 def nearest_in_group(store: DataFrame, queries: DataFrame, k: int = 5, group: str = "symbol") -> DataFrame:

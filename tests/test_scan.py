@@ -56,3 +56,10 @@ def test_recall_is_a_loop(sides):
             scored += [(round(-(near + c * 0.95 ** (i % 7)), 9), i)] if near >= 0.3 else []
         want |= {(qid, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:9], 1)}
     assert {(r.qid, r.id, round(r.score, 9), r["rank"]) for r in got} == want
+
+
+def test_length_is_taken_once(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<float>").withColumn("v", memory.normalised("v"))
+    assert [r.v for r in df.orderBy("id").collect()] == [[3.0 / 5, 4.0 / 5], [0.0, 0.0]]
+    # the sum of squares stands outside the function of an element
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
