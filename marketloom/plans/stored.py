@@ -131,11 +131,11 @@ def resumed_jobs(spark, d):
 
 @query(f"SELECT doc_id, item_key, count(*) + 1 AS lines FROM (SELECT doc_id, item_key, unnest(range(line_start, line_end + 1)) AS l FROM ({_SECTIONS})) GROUP BY ALL")
 def written_sections(spark, d):
-    """Sections written as texts by filing and item, and the lines of each file."""
+    """Sections written as lines by item, and the lines of each filing's."""
     path = shared(spark, "sections")
     few = filings(spark, d)
     S.write_sections(C.filing_sections(few, "10-K", ("item_1", "item_7", "item_7a"), keep=("doc_id",)), path, keys=("doc_id",))
-    texts = spark.read.schema("value string, doc_id long, item_key string").text(f"{path}/sections")
+    texts = spark.read.schema("doc_id long, line int, value string, item_key string").json(f"{path}/sections")
     return texts.groupBy("doc_id", "item_key").agg(F.count("*").alias("lines"))
 
 

@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -263,11 +264,24 @@ def summary_of(results: DataFrame, parts: tuple[str, ...]) -> DataFrame:
 
 
 def write_sections(sections: DataFrame, out: str, keys: tuple[str, ...] = ("symbol", "date")) -> None:
-    """Sections as a folder a filing and item of texts, their records as JSON lines, and a manifest of counts by status."""
-    found = sections.where("section_text IS NOT NULL")
-    found.select(*keys, "item_key", F.col("section_text").alias("value")).write.mode("overwrite").partitionBy(*keys, "item_key").text(f"{out}/sections")
-    sections.drop("section_text").write.mode("append").json(f"{out}/records")
-    counts = sections.groupBy("filing_status", "filing_audit").agg(F.count_distinct(*keys).alias("filings"))  # a handful of rows
+    """Sections as a folder an item of their lines, their records as JSON lines, and a manifest of counts by status.
+
+    A line of a text is a JSON line (``keys``, line from 1, value), so that a folder holds a
+    file a task however many filings there are; a text is its values in order of line. The
+    sections are found once, for the folder ``staged-...`` that all else is read from.
+    """
+    spark, path = sections.sparkSession, f"{out}/staged-{uuid.uuid4().hex}"
+    sections.write.parquet(path)
+    staged = spark.read.schema(sections.schema).parquet(path)
+    lines = staged.where("section_text IS NOT NULL").select(*keys, "item_key", F.posexplode(F.split("section_text", "\n")).alias("line", "value"))
+    most = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "32")  # a task writes all items side by side and sorts no lines
+    try:
+        lines.withColumn("line", F.col("line") + 1).write.mode("overwrite").partitionBy("item_key").option("compression", "gzip").json(f"{out}/sections")
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", most)
+    staged.drop("section_text").write.mode("append").json(f"{out}/records")
+    counts = staged.groupBy("filing_status", "filing_audit").agg(F.count_distinct(*keys).alias("filings"))  # a handful of rows
     _write_text(sections.sparkSession, json_text({"schema_version": 1, "status": [r.asDict() for r in counts.collect()]}), f"{out}/manifest")
 
 

@@ -1,6 +1,7 @@
 """Simulations, environments, memory, sections, jobs, sources and sinks against plain loops and hand-worked cases."""
 
 import datetime as dt
+import itertools
 import json
 import math
 import random
@@ -598,6 +599,27 @@ def test_json_and_traces(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/f").count() == 1
 
 
+def test_sections_of_many_filings_are_few_files(spark, tmp_path):
+    filings = spark.range(40).select("id", F.lit(annual()).alias("filing_text")).coalesce(2)
+    S.write_sections(C.filing_sections(filings, "10-K", ("item_7", "item_8"), keep=("id",)), f"{tmp_path}/s", keys=("id",))
+    found = spark.read.json(f"{tmp_path}/s/sections")
+    text = {r.item_key: r.section_text for r in C.filing_sections(filings.limit(1), "10-K", ("item_7", "item_8"), keep=("id",)).collect() if r.section_text}
+    assert text and len(found.inputFiles()) <= 8 and found.select("id", "item_key").distinct().count() == 40 * len(text)
+    for (i, key), rows in itertools.groupby(sorted((r.id, r.item_key, r.line, r.value) for r in found.collect()), key=lambda r: r[:2]):
+        assert "\n".join(r[3] for r in rows) == text[key]
+
+
+def test_overlay_moves_no_texts_and_equal_filings_are_extracted_once(spark, monkeypatch):
+    df = spark.createDataFrame([("A", DAY, annual())] * 3, "symbol string, date date, filing_text string")
+    plan = C.overlay(df, "10-K", "item_7")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    made = []
+    seen = C.Seen(lambda x: made.append(x) or [(x,)])
+    assert [seen(x) for x in "aab"] == [[("a",)], [("a",)], [("b",)]] and made == ["a", "b"]
+    monkeypatch.setattr(C, "REMEMBERED", 250)
+    assert [seen(x)[0][0] for x in "cdcd"] == list("cdcd") and len(seen.held) == 1
+
+
 def test_memory_store_and_queries(spark):
     store = spark.createDataFrame([("s", i, [float(i), 1.0], i / 10) for i in range(6)], "symbol string, id int, v array<double>, compound double")
     q = spark.createDataFrame([("s", 0, [1.0, 0.0])], "symbol string, qid int, q array<double>")
