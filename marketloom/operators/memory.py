@@ -172,11 +172,16 @@ class Layers:
                         x.update(layer=self.ORDER[place - 1], jumps=x["jumps"] + 1)
 
 
+#: Rows of a group of ``lifecycle``, items and feedback.
+GROUP = 20_000
+
+
 def lifecycle(items: DataFrame, days: int, feedback: DataFrame | None = None) -> DataFrame:
     """``LIFE`` rows of items (symbol, id, layer, importance, day) after days 1 to ``days``; ``removed`` is the day of clean-up, or null.
 
     An item joins on its day before the step, feedback (symbol, id, day, value) comes after
-    the step. Symbols are independent: an Arrow group holds one symbol's items.
+    the step. Items are independent: an Arrow group holds those of one symbol and hash, about
+    ``GROUP`` rows however many a symbol has.
     """
     import pandas as pd
 
@@ -199,7 +204,8 @@ def lifecycle(items: DataFrame, days: int, feedback: DataFrame | None = None) ->
         out = [(symbol, k, x["layer"], x["importance"], x["recency"], x["age"], x["accesses"], x["jumps"], x["removed"]) for k, x in layers.items.items()]
         return pd.DataFrame(out, columns=[c.split()[0] for c in LIFE.split(", ")]).astype({"removed": "Int32"})
 
-    return rows.groupBy("symbol").applyInPandas(run, LIFE)
+    parts = max(1, -(-rows.count() // GROUP))
+    return rows.groupBy("symbol", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")).applyInPandas(run, LIFE)
 
 
 def upserted(store: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
