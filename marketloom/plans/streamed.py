@@ -89,13 +89,33 @@ def stream_replay(spark, d):
 "SELECT symbol, id, min(step) AS step FROM s WHERE recency < 0.05 OR importance < 5 GROUP BY ALL")
 def stream_decay(spark, d):
     """When each memory of a stream falls under a threshold; the state holds those above both."""
-    path = shared(spark, "memories")
     e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.expr("cast(event_id div 20 as int)").alias("step"), F.col("event_id").alias("id"), F.col("value").alias("importance"))
-    e.coalesce(1).write.parquet(path)
-    got = to_the_end(Y.decaying(spark.readStream.schema(e.schema).parquet(path)), spark, "decay", "append")
+    got = to_the_end(Y.decaying(in_steps(e, spark, "memories", "step")), spark, "decay", "append")
     return got.where("status = 'gone'").select("symbol", "id", "step")
 
 
+#: Rows of a batch of ``in_steps``.
+SLICE = 500_000
+
+
+def in_steps(df: DataFrame, spark: SparkSession, name: str, at: str) -> DataFrame:
+    """``df`` as a stream of batches in order of the number ``at``, each of about ``SLICE`` rows if its numbers lie evenly.
+
+    One pass deals the rows to folders by slice; a slice at a time is then added to the
+    stream's folder as a file, so that batches keep their order and no number is in two of them.
+    """
+    staged, path = shared(spark, f"{name}-staged"), shared(spark, name)
+    ends = df.agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b")).first()
+    slices, low = max(1, -(-ends["n"] // SLICE)), ends["a"] or 0
+    width = ((ends["b"] or 0) - low) // slices + 1
+    own = F.coalesce(F.floor((F.col(at) - low) / width), F.lit(0)).cast("int")
+    df.withColumn("slice", own).repartition(slices, "slice").write.partitionBy("slice").parquet(staged)
+    held = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(staged)
+    for k in range(slices):
+        held.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def in_slices(df: DataFrame, spark: SparkSession, name: str, at: str, slices: int = 4) -> DataFrame:
     """``df`` as a stream of several batches in order of ``at``: a folder for each slice of its time, one batch a folder."""
     path = shared(spark, name)

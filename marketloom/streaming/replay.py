@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -68,14 +69,27 @@ def replay_batch(bars: DataFrame, cash: float = 100_000.0, rate: float = 0.0) ->
 def recent(items: DataFrame, by: str, at: str, text: str, k: int = 5) -> DataFrame:
     """(by, items): after each batch, the last k texts of every group that has new ones, oldest first; the state holds no more than those."""
 
+    def last(held: list, new: pd.DataFrame) -> list:
+        # equal times in order of text, so that the order of arrival decides nothing
+        return sorted([*held, *zip(new["at"].astype("int64").tolist(), new["text"].tolist())], key=lambda x: (x[0], x[1] is not None, x[1] or ""))[-k:]
+
+    def lately(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for new in frames:
+            for name, rows in new.groupby("by", dropna=False):
+                name = None if pd.isna(name) else name
+                held[name] = last(held.get(name, []), rows)
+        yield pd.DataFrame([(name, a, t) for name, rows in held.items() for a, t in rows], columns=["by", "at", "text"]).astype({"at": "int64"})
+
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
-        new = pd.concat(list(frames))
-        held = sorted([*held, *zip(new["at"].astype("int64").tolist(), new["text"].tolist())], key=lambda x: x[0])[-k:]
+        for new in frames:
+            held = last(held, new)
         state.update(([a for a, _ in held], [t for _, t in held]))
         yield pd.DataFrame({"by": [key[0]], "items": [[t for _, t in held]]})
 
     rows = items.select(F.col(by).cast("string").alias("by"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(text).alias("text"))
+    rows = rows.mapInPandas(lately, f"by string, at long, text {rows.schema['text'].dataType.simpleString()}")  # a task sends its last k of a group
     return rows.groupBy("by").applyInPandasWithState(run, "by string, items array<string>", "at array<long>, items array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -86,29 +100,34 @@ def decaying(events: DataFrame, recency: float = 3.0, importance: float = 0.92,
     """``MEMORY`` rows of a stream of (symbol, step, id, importance): every new step of a symbol ages what it holds.
 
     Memories under either threshold come out once as ``gone`` and leave the state; new ones
-    come out as ``new``. So the state holds only what is still above both.
+    come out as ``new``. So the state holds only what is still above both. A task holds one
+    symbol's rows of a batch, so batches of a bounded size bound it.
     """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, values, born, now = state.get if state.exists else ([], [], [], 0)
         held = {i: (v, b) for i, v, b in zip(ids, values, born)}
-        out = []
-        for step, rows in pd.concat(list(frames)).groupby("step"):
+        names, out = [c.split()[0] for c in MEMORY.split(", ")], []
+        new = pd.concat([f[["step", "id", "importance"]] for f in frames]).sort_values("step", kind="stable")
+        for step, rows in itertools.groupby(zip(*(new[c].tolist() for c in new)), key=lambda r: r[0]):
             if step < now:
-                out += [(key[0], r.id, int(step), r.importance, None, "late") for r in rows.itertuples()]
+                out += [(key[0], i, step, v, None, "late") for _, i, v in rows]
                 continue
             for i, (v, b) in list(held.items()):
-                age = int(step) - b
+                age = step - b
                 score, fresh = v * importance**age, math.exp(-age / recency)
                 if fresh < least[0] or score < least[1]:
                     del held[i]
-                    out.append((key[0], i, int(step), score, fresh, "gone"))
-            now = int(step)
-            for r in rows.itertuples():
-                held[int(r.id)] = (float(r.importance), now)
-                out.append((key[0], int(r.id), now, float(r.importance), 1.0, "new"))
+                    out.append((key[0], i, step, score, fresh, "gone"))
+            now = step
+            for _, i, v in rows:
+                held[i] = (v, now)
+                out.append((key[0], i, now, v, 1.0, "new"))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         state.update((list(held), [v for v, _ in held.values()], [b for _, b in held.values()], now))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MEMORY.split(", ")])
+        yield pd.DataFrame(out, columns=names)
 
     rows = events.select("symbol", F.col("step").cast("int"), F.col("id").cast("long"), F.col("importance").cast("double"))
     return rows.groupBy("symbol").applyInPandasWithState(run, MEMORY, "id array<long>, importance array<double>, born array<int>, step int", "append", GroupStateTimeout.NoTimeout)
