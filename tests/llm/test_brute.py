@@ -559,6 +559,56 @@ def test_pairwise_loss():
     assert quality_classifier.score(x, model)[np.argmin(abs(s - model["cut"]))] == pytest.approx(0.3, abs=0.05)
 
 
+def test_quality_learns_from_all_rows(spark):
+    """The only bad texts lie behind 12,000 labelled rows in the order of their ids' hashes."""
+    ids = spark.range(15_500).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("id"), "id")
+    order = [r.id for r in ids.collect()]
+    assert len(order) > 12_150
+    last = set(order[12_050:])
+    rows = [(i, f"a{i} #{i % 7}# $$ b|c" if i in last else f"The plain text {i % 97}, of few words.") for i in range(15_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in last)) for i in range(15_500)], "doc_id long, quality int")
+    got = quality_classifier.quality_classifier(docs, labels).collect()
+    assert {r.doc_id for r in got if not r.predicted} == last
+
+
+def feature_rows(x, good, worse):
+    own = iter(worse)
+    return [(int(g), bytearray(r.tobytes() + (next(own).tobytes() if g else b""))) for r, g in zip(x, good)]
+
+
+@pytest.mark.parametrize("shift,wild", [(0.4, 1.0), (3.0, 1e7)])
+def test_fit_of_a_table_is_that_of_all_pairs(spark, shift, wild):
+    """Against every pair made in memory: weights, threshold and slope; and bit by bit the same however the rows are dealt."""
+    rng = np.random.default_rng(5)
+    good = (rng.random(500) < 0.7).astype(int)
+    x = rng.normal(size=(500, quality_classifier.N_FEATURES)) + shift * good[:, None] * (np.arange(quality_classifier.N_FEATURES) % 5 == 0)
+    x[7, 3], x[:, 11] = wild, 0.25
+    worse = x[good == 1][:, None] + rng.normal(size=(good.sum(), 2, quality_classifier.N_FEATURES)) - 0.2
+    want = quality_classifier.fit(x, good, worse=worse)
+    rows = feature_rows(x, good, worse)
+    scratch = quality_classifier.Scratch(spark, "test")
+    found = []
+    for parts, order in ((1, range(500)), (7, rng.permutation(500))):
+        table = spark.createDataFrame([rows[i] for i in order], "y int, x binary").repartition(parts)
+        found.append(quality_classifier.fit_rows(table, scratch))
+    for k in ("mean", "scale", "w", "cut", "slope", "shift"):
+        assert np.array_equal(found[0][k], found[1][k]), k
+        assert np.allclose(found[0][k], want[k], rtol=1e-3, atol=1e-3 * np.abs(want["w"]).max()), k
+    assert np.abs(quality_classifier.score(x, found[0]) - quality_classifier.score(x, want)).max() < 1e-3
+
+
+def test_ranks_of_keys(spark):
+    """Any rank of doubles, many of them equal or negative."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-9, 9, 300), np.full(200, -1.5), [0.0, -0.0, 7.0, 7.0]])
+    keys = spark.createDataFrame([(int(k),) for k in quality_classifier._ordered(v)], "key long")
+    order = np.sort(quality_classifier._ordered(v))
+    assert (quality_classifier._ordered(np.sort(v)) == order).all()
+    for rank in (0, 1, 150, 250, len(v) - 1):
+        assert quality_classifier._ranked(keys, rank) == order[rank]
+
+
 def test_toxicity(learned):
     docs, labels, rows, truth = learned
     got = toxicity.toxicity(docs, labels).collect()
